@@ -1,8 +1,17 @@
 """The corpus operators' queries and the SQL of those that SQL can express."""
 
+from . import line_dedup
+from .line_dedup import op8
+from .ngram_join import op4
+from .packing import op7
 from .substring_dedup import op6
 
 QUERIES = {
+    "op4_ngram_jaccard_join": op4,
     "op6_substring_dedup": op6,
+    "op7_best_fit_packing": op7,
+    "op8_line_dedup": op8,
+}
+ORACLES: dict[str, str] = {
+    "op8_line_dedup": line_dedup.ORACLE,
 }
-ORACLES: dict[str, str] = {}
