@@ -76,8 +76,8 @@ def shared_places(df: DataFrame, keys_of, with_keys: bool = False) -> DataFrame:
 
     ``df`` has longs ``_a, _b`` that name a row, and whatever ``keys_of`` needs.
     ``keys_of(batch)`` returns arrays: row in the batch, position, key (64 bits)
-    and check (32 further bits). Returns one row per exchanged part and row of
-    ``df``: ``_a, _b, positions``; with ``with_keys`` one row per place:
+    and check (32 further bits). Returns ``_a, _b, positions`` for each row of
+    ``df`` that has such places (equal rows share one); with ``with_keys`` one row per place:
     ``_key, _a, _b, _pos``.
     """
     n_buckets = partitions(df.sparkSession)
@@ -133,14 +133,32 @@ def shared_places(df: DataFrame, keys_of, with_keys: bool = False) -> DataFrame:
         if with_keys:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[at].view(np.int64), a[doc[at]], b[doc[at]], pos[at].astype(np.int32))], names=["_key", "_a", "_b", "_pos"])
             return
-        # one row per document: several packed parts may name the same one
-        at = at[np.lexsort((pos[at], b[doc[at]], a[doc[at]]))]
+        # packed again by the document's home, so rows don't multiply with the parts
         da, db = a[doc[at]], b[doc[at]]
-        starts = np.concatenate([[0], np.flatnonzero((np.diff(da) != 0) | (np.diff(db) != 0)) + 1])
-        offsets = np.append(starts, len(at)).astype(np.int32)
-        positions = pa.ListArray.from_arrays(pa.array(offsets), pa.array(pos[at].astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([pa.array(da[starts]), pa.array(db[starts]), positions], names=["_a", "_b", "positions"])
+        with np.errstate(over="ignore"):
+            order, edges = blob_lists(mixed(da.view(U64) * U64(3) + db.view(U64)) % U64(n_buckets), n_buckets)
+        homes = np.flatnonzero(np.diff(edges))
+        parts = [order[edges[i] : edges[i + 1]] for i in homes]
+        yield pa.RecordBatch.from_arrays([pa.array(homes.astype(np.int32)), *(pa.array([x[part].tobytes() for part in parts], pa.binary()) for x in (da, db, pos[at].astype(np.int32)))], names=["_home", "_a", "_b", "_pos"])
+
+    def gather(batches):
+        held = [[np.frombuffer(r[n], dtype=t) for n, t in (("_a", np.int64), ("_b", np.int64), ("_pos", np.int32))] for batch in batches for r in batch.to_pylist()]
+        if not held:
+            return
+        a, b, pos = (np.concatenate([h[i] for h in held]) for i in range(3))
+        order = np.lexsort((pos, b, a))
+        a, b, pos = a[order], b[order], pos[order]
+        starts = np.concatenate([[0], np.flatnonzero((np.diff(a) != 0) | (np.diff(b) != 0)) + 1])
+        for i in range(0, len(starts), 10_000):
+            part = starts[i : i + 10_000]
+            to = starts[i + 10_000] if i + 10_000 < len(starts) else len(pos)
+            offsets = np.append(part, to) - part[0]
+            positions = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(pos[part[0] : to]))
+            yield pa.RecordBatch.from_arrays([pa.array(a[part]), pa.array(b[part]), positions], names=["_a", "_b", "positions"])
 
     packed = df.mapInArrow(pack, PACKED)
     dealt = packed.repartitionById(n_buckets, F.col("_bucket"))
-    return dealt.mapInArrow(settle, "_key long, _a long, _b long, _pos int" if with_keys else "_a long, _b long, positions array<int>")
+    if with_keys:
+        return dealt.mapInArrow(settle, "_key long, _a long, _b long, _pos int")
+    homes = dealt.mapInArrow(settle, "_home int, _a binary, _b binary, _pos binary")
+    return homes.repartitionById(n_buckets, F.col("_home")).mapInArrow(gather, "_a long, _b long, positions array<int>")

@@ -150,10 +150,10 @@ def substring_dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
         raise ValueError(f"width must be at least {2 * MARGIN + 2 * PAIR_CAPS[-1] - 1}")
     docs = docs.select("doc_id", "text").select("doc_id", "text", *row_keys())
     named = docs.select(F.col("_k1").alias("_a"), F.col("_k2").alias("_b"), "text")
-    candidates = shared_places(named, _anchor_keys(width)).groupBy("_a", "_b").agg(F.flatten(F.collect_list("positions")).alias("candidates"))
+    candidates = shared_places(named, _anchor_keys(width)).withColumnRenamed("positions", "candidates")
     joined = docs.join(candidates, (F.col("_k1") == F.col("_a")) & (F.col("_k2") == F.col("_b")), "left").select("doc_id", "text", "_k1", "_k2", "candidates")
     windows = shared_places(joined.select("doc_id", "text", F.col("_k1").alias("_a"), F.col("_k2").alias("_b"), "candidates"), _window_keys(width))
-    repeats = windows.groupBy("_a", "_b").agg(F.flatten(F.collect_list("positions")).alias("starts"))
+    repeats = windows.withColumnRenamed("positions", "starts")
     last = joined.join(repeats, (F.col("_k1") == F.col("_a")) & (F.col("_k2") == F.col("_b")), "left").select("doc_id", "text", "starts")
 
     def remove(batches):
