@@ -1,11 +1,92 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: documents in, packed sequences out.
 
-STAGES: list = []
+Each stage takes the documents that its predecessor kept, decides over all of
+them, and returns documents with the columns it got; the last returns pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from leafmill.llm.common import crc_bucket, row_keys, table
+from leafmill.llm.line_dedup import line_dedup
+from leafmill.llm.mixing import mix_sources, row_identity
+from leafmill.llm.ngram_join import ngram_join
+from leafmill.llm.packing import best_fit_packing
+from leafmill.llm.toxicity import THRESHOLD, score_toxicity, train_toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine scores under its threshold.
+
+    It learns from the labelled rows that op1 learns from. No documents, or no
+    labels, drop nothing.
+    """
+    labels = table(spark, sf_dir, "labels").filter(crc_bucket("doc_id", 4) != 2)
+    scored = score_toxicity(docs.withColumnRenamed("score", "_own_score"), train_toxicity(docs, labels))
+    return scored.filter(F.col("score") < THRESHOLD).drop("score").withColumnRenamed("_own_score", "score").select(*docs.columns)
+
+
+def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that stand in ten or more of them.
+
+    A document of nothing but such lines stays, with an empty text; n_chars,
+    where there is one, follows the text.
+    """
+    others = {c: f"_in_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    found = line_dedup(docs.withColumnsRenamed(others))
+    dropped = F.col("n_dropped") > 0
+    new = {c: F.col(n) for c, n in others.items()} | {"text": F.when(dropped, F.col("kept")).otherwise(F.col("text"))}
+    if "n_chars" in others:
+        new["n_chars"] = F.when(dropped, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(new["n_chars"])
+    return found.select([new.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: the one with the smallest id.
+
+    Documents without words are in no class and stay. Of equal rows one stays;
+    a row that repeats the smallest id with another text stays, too.
+    """
+    stays = ngram_join(docs).filter("n_shingles = 0 or doc_id <=> component_id").select(F.col("row_id").alias("_row")).distinct()
+    keyed = docs.withColumn("_row", row_keys()[0])
+    return keyed.join(stays, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it: none, once or twice."""
+    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    taken = mix_sources(docs).groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_key")).agg(F.sum(copies).alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
+    own = docs.withColumn("_own", row_identity())
+    met = own.join(taken, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_own") == F.col("_key")))
+    # equal rows share their copies
+    turn = F.row_number().over(Window.partitionBy("_d", "_key").orderBy("_copies"))
+    times = F.floor(F.col("_copies") / F.col("_rows")) + F.when(turn <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
+    met = met.withColumn("_times", times.cast("int")).filter("_times > 0")
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 1024 tokens."""
+    return best_fit_packing(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_common_lines),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("source_mixing", mix),
+    ("best_fit_packing", pack),
+]
+
+#: The learned toxicity model is beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table of documents."""
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

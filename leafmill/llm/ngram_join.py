@@ -34,6 +34,8 @@ from .shared import shared_places
 WIDTH, PERCENT = 5, 75
 #: Cells of the counting sketch, and the parts it is merged in: 4 MB whatever the input.
 CELLS, PARTS = 1 << 20, 64
+#: Longest list of ids that is broadcast: 8 MB.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(batch, width: int):
@@ -121,8 +123,9 @@ def _prefix_keys(batch):
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (``a, b``: row ids) whose whole sets reach the threshold."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.join(needed, "id", "left_semi").select("id", "text")
+    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    # a bounded list of ids saves an exchange of all texts; a longer one is joined by exchange
+    texts = docs.join(F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed, "id", "left_semi").select("id", "text")
 
     def sets(batches):
         for batch in chunks(batches):
@@ -131,7 +134,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
             values = np.concatenate(found).view(np.int64) if found else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["id", "grams"])
 
-    held = texts.dropDuplicates(["id"]).mapInArrow(sets, "id long, grams array<long>")
+    held = texts.mapInArrow(sets, "id long, grams array<long>").dropDuplicates(["id"])
     met = pairs.join(held.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
     met = met.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).cast("long").alias("k"))
     return met.filter(100 * F.col("k") >= percent * (F.col("m") + F.col("n") - F.col("k"))).select("a", "b")
@@ -142,7 +145,7 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
 
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored. Returns
     one row per row: ``doc_id, n_shingles, component_id`` (smallest doc_id
-    reached by links, itself included). A text of fewer than ``width`` words
+    reached by links, itself included) and ``row_id``, the first of ``row_keys``. A text of fewer than ``width`` words
     is one shingle; a null or blank one has none and stands alone. Equal rows
     share a class; null ids count as smallest and stay null.
     """
@@ -187,12 +190,12 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     labelled = classes.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     smallest = labelled.groupBy("comp").agg(F.min(F.struct("first_doc")).alias("s")).select("comp", F.col("s.first_doc").alias("component_id"))
     by_set = labelled.join(smallest, "comp").select("f1", "f2", "component_id", F.lit(True).alias("_found"))
-    out = described.select("doc_id", "n", "f1", "f2").join(by_set, ["f1", "f2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("_found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = described.select("doc_id", "id", "n", "f1", "f2").join(by_set, ["f1", "f2"], "left")
+    return out.select("doc_id", F.col("id").alias("row_id"), F.col("n").alias("n_shingles"), F.when(F.col("_found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents"))
+    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def brute_force(rows: list[tuple], width: int = WIDTH, percent: int = PERCENT) -> list[tuple]:
