@@ -18,6 +18,7 @@ sorted in one place.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -31,10 +32,33 @@ from .common import chunks, cut, table
 
 CAPACITY, END = 1024, 2
 #: Entries of a task's memo from text pieces to token ids.
-MEMO = 400_000
+MEMO = 150_000
 
 _ODD_SPACE = re.compile(r"[^\S \n]")
 _SPLIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: Parts that may be encoded side by side, tabs between them: at most one space, then common letters and signs.
+_PLAIN = re.compile(r"[ \n]?[!-~\u00a1-\u024f]+\Z")
+
+
+def ranks_of(path: str) -> dict[bytes, int] | None:
+    """Byte sequences to ids, if the file's ids follow the order of its merges; else None.
+
+    Then merging the pair of least id, as a rank-based encoder does, is merging
+    by the file's order.
+    """
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    # fixed values of byte-level BPE: printable bytes stand for themselves, the others follow from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    vocabulary, before = model["vocab"], -1
+    for merge in model["merges"]:
+        made = vocabulary["".join(merge if isinstance(merge, list) else merge.split(" "))]
+        if made <= before:
+            return None
+        before = made
+    return {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if all(c in byte for c in token)}
 
 
 class MemoTokenizer:
@@ -43,29 +67,56 @@ class MemoTokenizer:
     Byte-level pre-tokenization never joins a character with white space that
     follows it, so a text may be cut before each run of spaces and line feeds
     that follows another character, and the ids of the parts follow each
-    other. Parts are remembered. Texts with other white space, which may form
-    runs with these, are encoded whole.
+    other. Parts are remembered. New plain parts are encoded side by side by
+    the rank-based encoder, which gives the same ids faster; parts with special
+    tokens or less common characters, and texts with other white space, go to
+    the file's own tokenizer.
     """
 
     def __init__(self, path: str, most: int = MEMO):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.memo, self.most = Tokenizer.from_file(path), {}, most
+        self.path, self.memo, self.most, self.own = path, {}, most, None
+        ranks = ranks_of(path)
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            # without special tokens: parts that may hold one go to the own tokenizer
+            self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={b: i for b, i in ranks.items()}, special_tokens={})
+            self.tab = self.fast.encode_ordinary("\t")[0]
+        else:
+            self.fast = None
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        if not parts:
+            return []
+        if self.own is None:
+            from tokenizers import Tokenizer
+
+            self.own = Tokenizer.from_file(self.path)
+        return [np.array(e.ids, dtype="<u4").tobytes() for i in range(0, len(parts), 1000) for e in self.own.encode_batch_fast(parts[i : i + 1000], add_special_tokens=False)]
+
+    def _learn(self, parts: set[str]) -> None:
+        plain = [p for p in parts if _PLAIN.match(p) and "<|" not in p] if self.fast else []
+        if plain:
+            ids = self.fast.encode_to_numpy("\t".join(plain)).astype("<u4")
+            raw, at = ids.tobytes(), 0
+            for part, end in zip(plain, [*np.flatnonzero(ids == self.tab).tolist(), len(ids)]):
+                self.memo[part] = raw[4 * at : 4 * end]
+                at = end + 1
+        rest = list(parts.difference(plain))
+        self.memo.update(zip(rest, self._encode(rest)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if _ODD_SPACE.search(t)]
         odd = dict(zip(whole, self._encode([texts[i] for i in whole])))
         parts = [None if i in odd else _SPLIT.findall(t) for i, t in enumerate(texts)]
+        asked = {p for x in parts if x for p in x}
+        new = asked.difference(self.memo)
+        if len(self.memo) + len(new) > self.most:
+            self.memo.clear()
+            new = asked
+        self._learn(new)
         memo = self.memo
-        new = list({p for x in parts if x for p in x if p not in memo})
-        if len(memo) + len(new) > self.most:
-            memo.clear()
-            new = list({p for x in parts if x for p in x})
-        memo.update(zip(new, self._encode(new)))
         return [odd[i] if x is None else b"".join([memo[p] for p in x]) for i, x in enumerate(parts)]
 
 
