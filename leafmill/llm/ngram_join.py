@@ -6,12 +6,16 @@
    among their first ``n - ceil(t * n) + 1``. Classes with equal prefixes and
    size are one group, and only groups are indexed.
 3. Prefix shingles held by a single group are dropped in a packed exchange.
-4. First links: every group is paired with the least group of its token and
-   size band, so a token with m groups gives 2 m pairs, not m^2. Pairs are
-   expanded to member classes and verified on whole sets.
-5. Rest: members of one component need no more pairs. Tokens that join
-   different components are expanded, filtered by size and by the bound that
-   shared prefix tokens and their places give, and verified.
+4. First links: every group is paired with one leader of its token and size
+   band, so a token with m groups gives 2 m pairs, not m^2. The leader is the
+   group with the fewest rarer shingles before the token, which of many edited
+   copies is the original. Pairs are expanded to member classes and verified
+   on whole sets.
+5. Rest: members of one component need no more pairs. What stands before a
+   token in a set's order limits the sizes of its partners. Within a token,
+   size classes that admit each other and hold different components are found
+   first, then only their rows meet; these pairs are filtered by the bound that
+   all shared prefix tokens give, and verified.
 
 So each link between different components is either found or excluded by a
 bound, and the classes are exact.
@@ -140,6 +144,40 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return met.filter(100 * F.col("k") >= percent * (F.col("m") + F.col("n") - F.col("k"))).select("a", "b")
 
 
+def size_class(n):
+    """Sizes below 256 are their own class; above, a class spans about 0.4 percent."""
+    return F.when(n < 256, n).otherwise(256 + F.floor(256 * F.log(F.greatest(n, F.lit(256)) / 256.0))).cast("int")
+
+
+def crossing_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different components that their prefix tokens don't exclude.
+
+    ``placed``: ``_key, _pos`` (token, and how many of the set's tokens come
+    before it in the common order), ``id, n, comp``. At a pair's first shared
+    token the overlap is at most what is left of either set, so the partner's
+    size is at most ``top``; a pair that fails there fails at later tokens.
+    """
+    several = placed.groupBy("_key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("_key")
+    rows = placed.join(several, "_key")
+    rows = rows.withColumn("top", F.least(F.expr(f"(n - _pos) * {100 + percent} div {percent} - n"), F.expr(f"n * 100 div {percent}"))).withColumn("low", F.expr(f"(n * {percent} + 99) div 100")).filter("top >= low")
+    rows = cut(rows.withColumns({"c": size_class(F.col("n")), "c_top": size_class(F.col("top")), "c_low": size_class(F.col("low"))}))
+    # at most some 75 classes of one token admit each other, however many sets share it
+    sizes = rows.groupBy("_key", "c").agg(F.max("c_top").alias("c_top"), F.min("c_low").alias("c_low"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    two = sizes.select("_key", *[F.col(k).alias(f"{k}2") for k in ("c", "c_top", "c_low", "x", "y")])
+    met = sizes.join(two, "_key").filter("c <= c2 and c2 <= c_top and c <= c_top2 and c2 >= c_low and c >= c_low2 and least(x, x2) < greatest(y, y2)").select("_key", "c", "c2")
+    one = rows.join(met, ["_key", "c"]).filter("c_low <= c2 and c2 <= c_top").select("_key", "c", "c2", "id", "n", "_pos", "comp", "top")
+    other = rows.withColumnRenamed("c", "c2").join(met, ["_key", "c2"]).filter("c_low <= c and c <= c_top").select("_key", "c", "c2", *[F.col(k).alias(f"{k}2") for k in ("id", "n", "_pos", "comp", "top")])
+    both = one.select("_key", "c", "c2", "comp").unionByName(other.select("_key", "c", "c2", F.col("comp2").alias("comp")))
+    live = both.groupBy("_key", "c", "c2").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("_key", "c", "c2")
+    found = one.join(live, ["_key", "c", "c2"]).join(other, ["_key", "c", "c2"]).filter("comp <> comp2 and n2 <= top and n <= top2 and (c < c2 or id < id2)")
+    swap = lambda k: F.when(F.col("id") < F.col("id2"), F.struct(k, f"{k}2")).otherwise(F.struct(F.col(f"{k}2").alias(k), F.col(k).alias(f"{k}2")))
+    found = found.select(*[swap(k).alias(f"s{k}") for k in ("id", "n", "_pos")]).select("sid.*", "sn.*", "s_pos.*")
+    # after the last token that met, both sets may share all that is left
+    counted = found.groupBy("id", "id2").agg(F.first("n").alias("n"), F.first("n2").alias("n2"), F.count("*").alias("k"), F.max("_pos").alias("p"), F.max("_pos2").alias("p2"))
+    kept = counted.filter(F.expr(f"(k + least(n - 1 - p, n2 - 1 - p2)) * {100 + percent} >= {percent} * (n + n2)"))
+    return kept.select(F.col("id").alias("a"), F.col("id2").alias("b"))
+
+
 def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Classes of documents joined by links of Jaccard similarity >= ``percent`` / 100.
 
@@ -164,7 +202,7 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     groups = full.select("g", "n", "prefix").dropDuplicates(["g"]).select(F.col("g").alias("_a"), F.col("n").alias("_b"), "prefix")
     index = cut(shared_places(groups, _prefix_keys, with_keys=True))
     banded = index.withColumn("band", F.floor(F.log("_b") / F.log(F.lit(100.0 / percent))))
-    heads = banded.groupBy("_key", "band").agg(F.min(F.struct("_a", "_b")).alias("h"))
+    heads = banded.groupBy("_key", "band").agg(F.min(F.struct("_pos", "_a", "_b")).alias("h"))
     heads = heads.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
     close = F.col("h._b") * 100 >= percent * F.col("_b")
     close &= F.col("_b") * 100 >= percent * F.col("h._b")
@@ -175,15 +213,8 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     links = cut(verified(cut(outside.unionByName(inside)), docs, width, percent))
     comps = connected_components(links)
 
-    # what may still join different components
     placed = index.select("_key", "_pos", F.col("_a").alias("g")).join(members, "g").join(comps, "id", "left").select("_key", "_pos", "id", "n", F.coalesce("comp", "id").alias("comp"))
-    placed = cut(placed)
-    mixed_keys = placed.groupBy("_key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("_key")
-    placed = placed.join(mixed_keys, "_key")
-    other = placed.select("_key", F.col("_pos").alias("_pos2"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    pairs = placed.join(other, "_key").filter(F.expr(f"comp < comp2 and n2 * 100 >= {percent} * n and n * 100 >= {percent} * n2"))
-    pairs = pairs.groupBy("id", "id2").agg(F.first("n").alias("n"), F.first("n2").alias("n2"), F.count("*").alias("k"), F.max("_pos").alias("p"), F.max("_pos2").alias("p2"))
-    pairs = pairs.filter(F.expr(f"(k + least(n - 1 - p, n2 - 1 - p2)) * {100 + percent} >= {percent} * (n + n2)")).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    pairs = crossing_pairs(placed, percent)
     links = links.unionByName(verified(cut(pairs), docs, width, percent))
     comps = connected_components(links)
 
