@@ -8,6 +8,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 IMAGES = r"\.(jpg|jpeg|png)$"
 IMAGES_AND_DOCUMENTS = r"\.(pdf|jpg|jpeg|png|tif)$"
@@ -69,7 +70,7 @@ def write_texts(docs: DataFrame, path: str, by: str) -> None:
     docs.select(by, "content").write.mode("overwrite").partitionBy(by).text(path)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def zipped(files: pd.Series) -> pd.Series:
     """An archive of each row's array of struct(name, content)."""
 
