@@ -269,7 +269,7 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     blank lines have none and stay. ``docs`` has ``doc_id`` and ``text``;
     other columns pass through. Adds ``n_lines`` (before dropping),
     ``n_dropped`` and ``kept`` (other lines joined by \\n; input columns with
-    these names are replaced). A null or empty text is one blank line. Every
+    these names are replaced, and _k1, _k2, _drop left out). A null or empty text is one blank line. Every
     row counts as a document, repeated ids and equal rows included.
     """
     return LineIndex.build(docs, min_docs).apply(docs)
