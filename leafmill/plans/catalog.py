@@ -1,6 +1,6 @@
 """All queries by name, and the SQL that checks them."""
 
-from . import layout_queries, source_queries, text_queries
+from . import export_queries, layout_queries, source_queries, text_queries
 
-QUERIES: dict = layout_queries.QUERIES | text_queries.QUERIES | source_queries.QUERIES
-ORACLES: dict = layout_queries.ORACLES | text_queries.ORACLES | source_queries.ORACLES
+QUERIES: dict = layout_queries.QUERIES | text_queries.QUERIES | source_queries.QUERIES | export_queries.QUERIES
+ORACLES: dict = layout_queries.ORACLES | text_queries.ORACLES | source_queries.ORACLES | export_queries.ORACLES
