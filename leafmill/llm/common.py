@@ -118,7 +118,7 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def chunks(batches, most_bytes: int = 4 << 20):
+def chunks(batches, most_bytes: int = 1 << 20):
     """Record batches cut into slices of bounded text, so memory does not follow batch size."""
     for batch in batches:
         if not batch.num_rows:
