@@ -10,7 +10,7 @@
    band, so a token with m groups gives 2 m pairs, not m^2. The leader is the
    group with the fewest rarer shingles before the token, which of many edited
    copies is the original. Pairs are expanded to member classes and verified
-   on whole sets.
+   on whole sets, after bitmaps have excluded what cannot reach the threshold.
 5. Rest: members of one component need no more pairs. What stands before a
    token in a set's order limits the sizes of its partners. Within a token,
    size classes that admit each other and hold different components are found
@@ -36,8 +36,8 @@ from .components import connected_components
 from .shared import shared_places
 
 WIDTH, PERCENT = 5, 75
-#: Cells of the counting sketch, and the parts it is merged in: 4 MB whatever the input.
-CELLS, PARTS = 1 << 20, 64
+#: Cells of the counting sketch, and the parts it is merged in: 16 MB whatever the input.
+CELLS, PARTS = 1 << 22, 64
 #: Longest list of ids that is broadcast: 8 MB.
 BROADCAST_IDS = 1_000_000
 
@@ -63,7 +63,29 @@ def shingle_sets(batch, width: int):
 
 
 def _cells(grams):
-    return (mixed(grams) >> U64(44)).astype(np.int64)
+    return (mixed(grams) >> U64(42)).astype(np.int64)
+
+
+def bitmap(grams: np.ndarray) -> bytes:
+    """A set as bits, four to eight for each element; sizes are powers of two, so a larger one folds onto a smaller."""
+    size = max(64, 1 << int(4 * len(grams) - 1).bit_length())
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(grams >> U64(7)).astype(np.int64) & (size - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_shared(a: bytes, m: int, b: bytes, n: int) -> int:
+    """No two sets of m and n elements with these bitmaps share more elements than this.
+
+    Every bit that only one of them has stands for at least one element that
+    the other lacks.
+    """
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return min(m - int(np.bitwise_count(x & ~y).sum()), n - int(np.bitwise_count(y & ~x).sum()))
 
 
 def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
@@ -97,12 +119,12 @@ def _sets(counts, width: int, percent: int):
     def described(batches):
         cells = counts.value
         for batch in chunks(batches):
-            cols = {n: [] for n in ("n", "f1", "f2", "g", "prefix")}
+            cols = {n: [] for n in ("n", "f1", "f2", "g", "prefix", "bits")}
             for s in shingle_sets(batch, width):
                 n = len(s)
                 cols["n"].append(n)
                 if not n:
-                    for c in ("f1", "f2", "g", "prefix"):
+                    for c in ("f1", "f2", "g", "prefix", "bits"):
                         cols[c].append(None)
                     continue
                 f = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8")
@@ -112,7 +134,8 @@ def _sets(counts, width: int, percent: int):
                 cols["f2"].append(int(f[1]))
                 cols["g"].append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(prefix, seed=n)))))
                 cols["prefix"].append(prefix)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(cols[c], pa.int64()) for c in ("n", "f1", "f2", "g")), pa.array(cols["prefix"], pa.binary())], names=["doc_id", "id", *cols])
+                cols["bits"].append(bitmap(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(cols[c], pa.int64()) for c in ("n", "f1", "f2", "g")), *(pa.array(cols[c], pa.binary()) for c in ("prefix", "bits"))], names=["doc_id", "id", *cols])
 
     return described
 
@@ -125,6 +148,20 @@ def _prefix_keys(batch):
     return np.repeat(np.arange(len(prefixes)), sizes), pos, key, np.zeros(len(key), dtype=np.uint32)
 
 
+def plausible(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose bitmaps (``id, n, bits``) allow the threshold; a twentieth of what their sets would move."""
+
+    def judge(batches):
+        for batch in batches:
+            a, b, m, n, x, y = (c.to_pylist() for c in batch.columns)
+            good = [i for i in range(len(a)) if (100 + percent) * most_shared(x[i], m[i], y[i], n[i]) >= percent * (m[i] + n[i])]
+            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+
+    side = lambda k: bitmaps.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    return met.mapInArrow(judge, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (``a, b``: row ids) whose whole sets reach the threshold."""
     needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -191,10 +228,11 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     docs = docs.select("doc_id", "text").select("doc_id", "text", row_keys()[0].alias("id"))
     counts = sparks.sparkContext.broadcast(shingle_counts(docs, width))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    described = cut(docs.mapInArrow(_sets(counts, width, percent), f"doc_id {kind}, id long, n long, f1 long, f2 long, g long, prefix binary"))
+    described = cut(docs.mapInArrow(_sets(counts, width, percent), f"doc_id {kind}, id long, n long, f1 long, f2 long, g long, prefix binary, bits binary"))
     full = described.filter("n > 0")
 
-    classes = cut(full.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "id", "n", "g")).alias("r")).select("f1", "f2", F.col("r.doc_id").alias("first_doc"), "r.id", "r.n", "r.g"))
+    classes = cut(full.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "id", "n", "g", "bits")).alias("r")).select("f1", "f2", F.col("r.doc_id").alias("first_doc"), "r.id", "r.n", "r.g", "r.bits"))
+    bitmaps = classes.select("id", "n", "bits")
     members = classes.select("g", "id", "n")
     leaders = classes.groupBy("g").agg(F.min("id").alias("leader"))
 
@@ -210,12 +248,12 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
 
     outside = group_pairs.join(members.select(F.col("g").alias("_a"), F.col("id").alias("a")), "_a").join(leaders.select(F.col("g").alias("_h"), F.col("leader").alias("b")), "_h").select("a", "b")
     inside = members.join(leaders, "g").filter("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
-    links = cut(verified(cut(outside.unionByName(inside)), docs, width, percent))
+    links = cut(verified(cut(plausible(outside.unionByName(inside), bitmaps, percent)), docs, width, percent))
     comps = connected_components(links)
 
     placed = index.select("_key", "_pos", F.col("_a").alias("g")).join(members, "g").join(comps, "id", "left").select("_key", "_pos", "id", "n", F.coalesce("comp", "id").alias("comp"))
     pairs = crossing_pairs(placed, percent)
-    links = links.unionByName(verified(cut(pairs), docs, width, percent))
+    links = links.unionByName(verified(cut(plausible(pairs, bitmaps, percent)), docs, width, percent))
     comps = connected_components(links)
 
     labelled = classes.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))

@@ -146,6 +146,14 @@ def test_exact_pairs_without_first_links(spark):
     assert want and want <= got and len(got) < 3 * len(want)
 
 
+def test_bitmaps_never_exclude():
+    rng = np.random.default_rng(17)
+    for _ in range(300):
+        both = rng.integers(0, 2**62, int(rng.integers(1, 400))).astype(np.uint64)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**62, int(rng.integers(0, 300))).astype(np.uint64)])) for _ in range(2))
+        assert len(np.intersect1d(a, b)) <= ngram_join.most_shared(ngram_join.bitmap(a), len(a), ngram_join.bitmap(b), len(b)) <= min(len(a), len(b))
+
+
 def test_components(spark):
     rnd = random.Random(11)
     links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(170)] + [(i + 1000, i + 1001) for i in range(60)]
