@@ -5,7 +5,8 @@
    documents (ties by hash). Two sets that reach the threshold share a shingle
    among their first ``n - ceil(t * n) + 1``. Classes with equal prefixes and
    size are one group, and only groups are indexed.
-3. Prefix shingles held by a single group are dropped in a packed exchange.
+3. Prefix shingles held by a single group are dropped in a packed exchange;
+   they matter only inside that group.
 4. First links: every group is paired with one leader of its token and size
    band, so a token with m groups gives 2 m pairs, not m^2. The leader is the
    group with the fewest rarer shingles before the token, which of many edited
@@ -15,7 +16,9 @@
    token in a set's order limits the sizes of its partners. Within a token,
    size classes that admit each other and hold different components are found
    first, then only their rows meet; these pairs are filtered by the bound that
-   all shared prefix tokens give, and verified.
+   all shared prefix tokens give, and verified. Inside a group, whose members
+   share the whole prefix, no bound excludes a pair: all members of different
+   components meet once.
 
 So each link between different components is either found or excluded by a
 bound, and the classes are exact.
@@ -215,6 +218,15 @@ def crossing_pairs(placed: DataFrame, percent: int) -> DataFrame:
     return kept.select(F.col("id").alias("a"), F.col("id2").alias("b"))
 
 
+def group_pairs_left(crowded: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of members of one group (``g, id``) that are in different components."""
+    held = crowded.select("g", "id").join(comps, "id", "left").select("g", "id", F.coalesce("comp", "id").alias("comp"))
+    split = held.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("g")
+    rows = cut(held.join(split, "g"))
+    other = rows.select("g", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
+    return rows.join(other, "g").filter("id < id2 and comp <> comp2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
+
+
 def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Classes of documents joined by links of Jaccard similarity >= ``percent`` / 100.
 
@@ -234,7 +246,8 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     classes = cut(full.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "id", "n", "g", "bits")).alias("r")).select("f1", "f2", F.col("r.doc_id").alias("first_doc"), "r.id", "r.n", "r.g", "r.bits"))
     bitmaps = classes.select("id", "n", "bits")
     members = classes.select("g", "id", "n")
-    leaders = classes.groupBy("g").agg(F.min("id").alias("leader"))
+    leaders = classes.groupBy("g").agg(F.min("id").alias("leader"), F.count("*").alias("m"))
+    crowded = cut(members.join(leaders.filter("m > 1"), "g").select("g", "id", "leader"))
 
     # groups by prefix token, only tokens that two groups share
     groups = full.select("g", "n", "prefix").dropDuplicates(["g"]).select(F.col("g").alias("_a"), F.col("n").alias("_b"), "prefix")
@@ -247,12 +260,12 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     group_pairs = banded.join(heads, ["_key", "band"]).filter((F.col("_a") != F.col("h._a")) & close).select("_a", F.col("h._a").alias("_h")).distinct()
 
     outside = group_pairs.join(members.select(F.col("g").alias("_a"), F.col("id").alias("a")), "_a").join(leaders.select(F.col("g").alias("_h"), F.col("leader").alias("b")), "_h").select("a", "b")
-    inside = members.join(leaders, "g").filter("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
+    inside = crowded.filter("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
     links = cut(verified(cut(plausible(outside.unionByName(inside), bitmaps, percent)), docs, width, percent))
     comps = connected_components(links)
 
     placed = index.select("_key", "_pos", F.col("_a").alias("g")).join(members, "g").join(comps, "id", "left").select("_key", "_pos", "id", "n", F.coalesce("comp", "id").alias("comp"))
-    pairs = crossing_pairs(placed, percent)
+    pairs = crossing_pairs(placed, percent).unionByName(group_pairs_left(crowded, comps)).distinct()
     links = links.unionByName(verified(cut(plausible(pairs, bitmaps, percent)), docs, width, percent))
     comps = connected_components(links)
 

@@ -129,6 +129,34 @@ def test_ngram_join(spark, docs, empty):
     assert ngram_join.ngram_join(empty).count() == 0
 
 
+def test_links_inside_a_prefix_group(spark):
+    """Two of three sets with one prefix link, the third doesn't, whichever of them leads the group."""
+    rnd = random.Random(18)
+    ids = rnd.sample(range(10**6), 2000)
+    rows, roles, bare = [], {}, set()
+    for f in range(24):
+        rare, common = [f"r{f}x{i}" for i in range(5)], [f"c{f}x{i}" for i in range(22)]
+        # 16 words, a prefix of 5: the first two share 14, the third shares 5 with them
+        texts = [rare + common[:9] + common[9:11], rare + common[:9] + common[11:13], rare + common[11:22]]
+        if f % 2:  # another group holds the last of the rare words
+            texts.append([rare[4], *(f"o{f}x{i}" for i in range(15))])
+        else:
+            bare.add(f)
+        for i, t in enumerate(texts):
+            rows.append((ids.pop(), " ".join(t)))
+            roles[rows[-1][0]] = (f, i)
+        rows += [(ids.pop(), c) for c in common for _ in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    first = {}
+    for r in df.select("doc_id", ngram_join.row_keys()[0].alias("id")).orderBy("id").collect():
+        f, i = roles.get(r["doc_id"], (None, 3))
+        if i < 3:
+            first.setdefault(f, i)
+    assert {(f in bare, i) for f, i in first.items()} == {(b, i) for b in (True, False) for i in range(3)}
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(df, width=1).collect())
+    assert got == Counter(ngram_join.brute_force(rows, width=1))
+
+
 def test_exact_pairs_without_first_links(spark):
     """The last phase alone finds every link: no pair that reaches the threshold is pruned."""
     rnd = random.Random(10)
