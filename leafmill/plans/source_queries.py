@@ -58,7 +58,7 @@ def layout_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 def detector_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """Detector answers (JSON) parsed, labelled and scaled."""
     box = F.struct(F.array(F.col("l") + 500, F.col("t") + 500, F.col("w"), F.col("h")).alias("box"), F.when(F.col("tok_idx") % 2 == 0, "w").otherwise("x").alias("class"), F.col("conf").alias("conf"))
-    answers = V.words(spark, sf).filter("tok_idx < 20 and line_idx < 3").groupBy(F.col("doc_id").cast("string").alias("page_id")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "tok_idx", box.alias("b")))), lambda x: x["b"])).alias("response"))
+    answers = V.words(spark, sf).groupBy(F.col("doc_id").cast("string").alias("page_id")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "tok_idx", box.alias("b")))), lambda x: x["b"])).alias("response"))
     return detector.boxes_of(answers, {"w": "Word", "x": "Line"}, 0.5)
 
 

@@ -14,7 +14,7 @@ from leafmill.functions import geometry as G
 from leafmill.functions import metrics, pixels
 from leafmill.functions import text as T
 from leafmill.operators import decode, rewrite, spatial, suppress, text_tree
-from leafmill.plans import api, segment
+from leafmill.plans import api, segment, source_queries
 from leafmill.sources import detector, files, layout_xml
 
 Box = namedtuple("Box", "l t w h conf")
@@ -216,6 +216,20 @@ def test_detector(spark):
     assert detector.detect(images, fails, "word").first()["error"] == "OSError: no answer"
 
 
+def test_detector_boxes_of_whole_texts(spark, tmp_path):
+    """Every word of every line has its box, also behind the 20th word and the third line."""
+    texts = {1: "\n".join(" ".join(f"w{i}x{j}" for j in range(25)) for i in range(6)), 2: "a  b\n\nc", 3: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for d, text in texts.items():
+        words = [(i, j, line, w) for i, line in enumerate(text.split("\n")) for j, w in enumerate(line.split(" ")) if w]
+        for k, (i, j, line, w) in enumerate(words):
+            at, wide = 10 * len(" ".join([*line.split(" ")[:j], ""])), 10 * len(w)
+            want.append((str(d), k, "Line" if j % 2 else "Word", 2 * (at + 500 - wide // 2), 2 * (20 * i + 500 - 8), 2 * wide, 32, (d * 13 + i * 7 + j * 3) % 100 / 100))
+    got = source_queries.detector_boxes(spark, str(tmp_path)).select("page_id", "det_id", "label", "l", "t", "w", "h", "conf")
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 153
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name, text in (("a.png", "x"), ("b.txt", "w\nw\nv"), ("c.tsv", "i\tt\ni\t\ni\tt\tz")):
