@@ -9,7 +9,9 @@ insult and a mention of a group can count for more together than apart.
 
 The model is trained on the driver from a sample of at most ``MOST_TOXIC`` and
 ``MOST_CLEAN`` labelled documents, the first by hash of their ids; its size is
-fixed, and so is what is broadcast. Scoring is one narrow pass.
+fixed, and so is what is broadcast. The two limits change the ratio of the
+classes, so the bias is moved to the ratio of all labels: a score means the
+same at every size of input. Scoring is one narrow pass.
 """
 
 from __future__ import annotations
@@ -122,6 +124,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TO
                 n, zero = pa.array(n), pa.array(np.zeros(len(n), dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), n if label else zero, zero if label else n], names=["h", "a", "b"])
 
+    held = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    # how much larger a part of the toxic labels than of the clean ones is learned from, as a logarithm
+    favour = float(np.log(min(held[1], most_toxic) / held[1]) - np.log(min(held[0], most_clean) / held[0])) if len(held) == 2 and most_toxic and most_clean else 0.0
     sums = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = sums.get(1, 0), sums.get(0, 0)
     vocabulary = np.empty(0, dtype=np.uint64)
@@ -142,7 +147,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TO
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     rows = sorted(texts.mapInArrow(describe, f"doc_id {kind}, toxic int, at binary").collect(), key=lambda r: (str(r["doc_id"]), r["toxic"], bytes(r["at"])))
-    return fit(vocabulary, [np.frombuffer(bytes(r["at"]), dtype=np.int32) for r in rows], np.array([r["toxic"] for r in rows], dtype=np.float64))
+    machine = fit(vocabulary, [np.frombuffer(bytes(r["at"]), dtype=np.int32) for r in rows], np.array([r["toxic"] for r in rows], dtype=np.float64))
+    machine.bias -= favour
+    return machine
 
 
 def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:

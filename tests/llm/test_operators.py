@@ -365,6 +365,18 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score_toxicity(empty, none).count() == 0 and 0 <= none.score(None) <= 1
 
 
+def test_scores_do_not_follow_the_caps(spark):
+    """A capped sample of another class ratio gives the scores of all labels."""
+    rnd = random.Random(19)
+    rows = [(i, " ".join([*(["bad"] if rnd.random() < (0.6 if i < 600 else 0.1) else []), f"n{rnd.randrange(50)}"]), int(i < 600)) for i in range(6600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").cache()
+    share = np.mean([t for _, text, t in rows if "bad" in text])
+    machines = [toxicity.train_toxicity(df, df.select("doc_id", "toxic"), *most) for most in ((6600, 6600), (600, 1500))]
+    for machine in machines:
+        assert machine.score("bad") == pytest.approx(share, abs=0.1)
+        assert machine.score("other") == pytest.approx(0.4 * 600 / (0.4 * 600 + 0.9 * 6000), abs=0.03)
+
+
 def test_machine_learns_pairs():
     """An insult counts only together with a mention: no linear weights can tell."""
     terms = np.arange(4, dtype=np.uint64)
