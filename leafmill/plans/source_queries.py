@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import detector, layout_xml
@@ -26,8 +26,11 @@ def query(sql: str | None = None):
 def layout_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """Every document as a page of one block: nodes as the layout reader gives them."""
     words = V.words(spark, sf).select("doc_id", "line_idx", F.struct("tok_idx", "content", "l", "t", "w", "h", "conf").alias("k"))
-    # idx keeps the order: page 0, block 1, a line's tokens after the line
-    line = words.groupBy("doc_id", "line_idx").agg(F.count("*").alias("n"))
+    # idx counts in order: page 0, block 1, then each line and its tokens after it
+    by_line = Window.partitionBy("doc_id").orderBy("line_idx")
+    at = 1 + F.row_number().over(Window.partitionBy("doc_id").orderBy("line_idx", "k.tok_idx")) + F.dense_rank().over(by_line)
+    words = words.withColumn("at", at).withColumn("line_at", F.min("at").over(Window.partitionBy("doc_id", "line_idx")) - 1)
+    line = words.groupBy("doc_id", "line_idx").agg(F.min("line_at").alias("line_at"))
     null = lambda kind: F.lit(None).cast(kind)
     base = {n: null(t) for n, t in (f.split() for f in layout_xml.NODES.split(", "))}
 
@@ -36,11 +39,10 @@ def layout_nodes(spark: SparkSession, sf: str) -> DataFrame:
         return df.select(*[got[n].cast(t).alias(n) for n, t in (f.split() for f in layout_xml.NODES.split(", "))])
 
     one = words.select("doc_id").distinct()
-    at = (F.col("line_idx") + 1) * 1_000_000
     page = nodes(one, node=F.lit("page"), idx=F.lit(0), w=F.lit(2000), h=F.lit(3000), lang=F.lit("en"))
     block = nodes(one, node=F.lit("block"), parent_idx=F.lit(0), idx=F.lit(1), kind=F.lit("text"), id=F.lit("TB_00001_001_000"), l=F.lit(0), t=F.lit(0), w=F.lit(2000), h=F.lit(3000))
-    lines = nodes(line, node=F.lit("line"), parent_idx=F.lit(1), idx=at % 2_000_000_000, l=F.lit(0), t=F.col("line_idx") * 20, w=F.lit(100), h=F.lit(20), x1=F.lit(0), y1=F.col("line_idx") * 20 + 16, x2=F.lit(100), y2=F.col("line_idx") * 20 + 16)
-    tokens = nodes(words, node=F.lit("token"), parent_idx=at % 2_000_000_000, idx=at % 2_000_000_000 + 1 + F.col("k.tok_idx"), kind=F.lit("word"), content=F.col("k.content"), l=F.col("k.l"), t=F.col("k.t"), w=F.col("k.w"), h=F.col("k.h"), conf=F.col("k.conf"))
+    lines = nodes(line, node=F.lit("line"), parent_idx=F.lit(1), idx=F.col("line_at"), l=F.lit(0), t=F.col("line_idx") * 20, w=F.lit(100), h=F.lit(20), x1=F.lit(0), y1=F.col("line_idx") * 20 + 16, x2=F.lit(100), y2=F.col("line_idx") * 20 + 16)
+    tokens = nodes(words, node=F.lit("token"), parent_idx=F.col("line_at"), idx=F.col("at"), kind=F.lit("word"), content=F.col("k.content"), l=F.col("k.l"), t=F.col("k.t"), w=F.col("k.w"), h=F.col("k.h"), conf=F.col("k.conf"))
     return page.unionByName(block).unionByName(lines).unionByName(tokens)
 
 

@@ -198,6 +198,16 @@ def test_layout_roundtrip_keeps_order(spark):
     assert api.analyze(nodes.filter("node <> 'error'"), ("text",)).first()["text"] == "a&b c-"
 
 
+def test_layout_roundtrip_of_many_lines(spark, tmp_path):
+    """A document of more than 2,000 lines comes back with every word once and in order."""
+    texts = {1: "\n".join(f"a{i}  b{i}" if i % 3 else f"c{i}" for i in range(2002)), 2: "x y\n\nz"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    nodes = source_queries.layout_nodes(spark, str(tmp_path)).select("file", "idx").collect()
+    assert len(set(nodes)) == len(nodes)
+    got = {r["file"]: (r["content"], r["n"]) for r in source_queries.layout_roundtrip(spark, str(tmp_path)).collect()}
+    assert got == {str(d): (" ".join(t.split()), len(t.split())) for d, t in texts.items()}
+
+
 def test_baselines():
     assert layout_xml.baseline("", 1, 2) == (0, 0, 0, 0)
     assert layout_xml.baseline("5", 1, 0) == (1, 5, 2, 5)
