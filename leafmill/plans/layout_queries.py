@@ -252,7 +252,7 @@ def combine_words(spark: SparkSession, sf: str) -> DataFrame:
 def combined_confidence(spark: SparkSession, sf: str) -> DataFrame:
     """Confidence of words combined one after the other: the root of each product, an ordered fold."""
     rows = F.array_sort(F.collect_list(F.struct("tok_idx", "conf")))
-    fold = F.aggregate(F.slice("r", 2, 1_000_000), F.get("r", F.lit(0))["conf"], lambda a, x: F.sqrt(a * x["conf"]))
+    fold = F.aggregate(F.slice("r", F.lit(2), F.size("r")), F.get("r", F.lit(0))["conf"], lambda a, x: F.sqrt(a * x["conf"]))
     return V.words(spark, sf).groupBy("doc_id", "line_idx").agg(rows.alias("r")).select("doc_id", "line_idx", F.round(fold, 6).alias("conf"))
 
 

@@ -14,7 +14,7 @@ from leafmill.functions import geometry as G
 from leafmill.functions import metrics, pixels
 from leafmill.functions import text as T
 from leafmill.operators import decode, rewrite, spatial, suppress, text_tree
-from leafmill.plans import api, segment, source_queries
+from leafmill.plans import api, layout_queries, segment, source_queries
 from leafmill.sources import detector, files, layout_xml
 
 Box = namedtuple("Box", "l t w h conf")
@@ -208,6 +208,13 @@ def test_layout_roundtrip_of_many_lines(spark, tmp_path):
     assert got == {str(d): (" ".join(t.split()), len(t.split())) for d, t in texts.items()}
 
 
+def test_confidence_of_a_long_line(spark, monkeypatch):
+    """The fold goes on to the last of more than a million words."""
+    words = spark.range(1_000_003).select(F.lit(1).alias("doc_id"), F.lit(0).alias("line_idx"), F.col("id").cast("int").alias("tok_idx"), F.when(F.col("id") < 1_000_002, 1.0).otherwise(0.25).alias("conf"))
+    monkeypatch.setattr(layout_queries.V, "words", lambda *_: words)
+    assert [tuple(r) for r in layout_queries.combined_confidence(spark, "").collect()] == [(1, 0, 0.5)]
+
+
 def test_baselines():
     assert layout_xml.baseline("", 1, 2) == (0, 0, 0, 0)
     assert layout_xml.baseline("5", 1, 0) == (1, 5, 2, 5)
