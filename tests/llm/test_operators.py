@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from leafmill.llm import components, language, line_dedup, mixing, ngram_join, packing, quality, substring_dedup, topk, toxicity, url_filter
@@ -415,6 +417,119 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert near.filter("doc_id in (5, 6, 7)").select("text").distinct().count() <= 2  # one of the copies, and the row that repeats an id
 
 
+def spark_hash(*values) -> int:
+    """Spark's xxhash64 of texts, longs and nulls; a tuple (n,) is an int. Unsigned."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<i", *v) if isinstance(v, tuple) else struct.pack("<q", v), h)
+    return h
+
+
+def mixed_by_hand(rows: list[tuple]) -> Counter:
+    """Copies of each row ``(doc_id, text, source)``, none of them equal; at most one bucket a source."""
+    size = {r: len((r[1] or "").encode().split()) for r in rows}
+    of = defaultdict(list)
+    for r in rows:
+        of[r[2]].append(r)
+    names = sorted((s for s in of if s is not None), key=str.encode) + [None] * (None in of)
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    total = {s: sum(size[r] for r in of[s]) for s in names}
+    open_, rest, target = set(names), 1.5 * sum(total.values()), {}
+    while over := [s for s in open_ if rest * weight[s] / sum(weight[x] for x in open_) > 2 * total[s]]:
+        target |= {s: 2 * total[s] for s in over}
+        open_ -= set(over)
+        rest = 1.5 * sum(total.values()) - sum(target.values())
+    target |= {s: rest * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    copies = Counter()
+    for s in names:
+        assert len(of[s]) <= mixing.FAN
+        ratio = target[s] / total[s] if total[s] else 0.0
+        whole = int(ratio + 1e-12)
+        copies.update({r: whole for r in of[s] if size[r]})
+        signed = lambda h: h - (h >> 63 << 64)
+        left = sorted([r[0], signed(spark_hash(r[1], r[0])), size[r], ratio - whole, r] for r in of[s] if size[r]) if ratio - whole > 1e-12 else []
+        while left:
+            if len(left) == 1:
+                copies[left[0][4]] += left[0][3] >= 0.5
+                break
+            later = []
+            for x, y in zip(left[::2], left[1::2]):
+                up, down = min((1 - x[3]) * x[2], y[3] * y[2]), min(x[3] * x[2], (1 - y[3]) * y[2])
+                draw = (spark_hash(x[0], y[0], x[1], y[1], (mixing.SEED,)) >> 11) / 2**53
+                mass = up if draw * (up + down) < down else -down
+                x_ends = (1 - x[3]) * x[2] <= y[3] * y[2] if mass > 0 else x[3] * x[2] <= (1 - y[3]) * y[2]
+                ends, stays, sign = (x, y, 1) if x_ends else (y, x, -1)
+                copies[ends[4]] += sign * mass > 0
+                later.append([*stays[:3], min(1.0, max(0.0, stays[3] - sign * mass / stays[2])), stays[4]])
+            left = later + left[len(left) // 2 * 2 :]
+    return copies
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """The rows of the whole pipeline, each stage written out; the toxicity model is taken as it is learned."""
+    import corpus_pipeline
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(20)
+    words = lambda n: " ".join(f"v{rnd.randrange(10**6)}" for _ in range(n))
+    texts = {1000 + i: words(20) + (" idiot fool" if i < 40 else "") for i in range(120)}
+    for f in range(3):  # copies with some edits, so some link and some don't
+        base = words(80).split()
+        for i in range(12):
+            edited = list(base)
+            for _ in range(rnd.randrange(6)):
+                edited[rnd.randrange(80)] = words(1)
+            texts[2000 + 100 * f + i] = " ".join(edited)
+    for f in range(8):  # three texts with one prefix, of which only two link; all their other shingles are more common
+        rare, common = words(9).split(), words(22).split()
+        for i, end in enumerate((common[:11], common[:9] + common[11:13], common[11:])):
+            texts[3000 + 100 * f + i] = " ".join(rare + end)
+            texts |= dict.fromkeys(range(3010 + 100 * f + 10 * i, 3014 + 100 * f + 10 * i), " ".join([words(100), *rare[-4:], *end]))
+    rows = [*awkward(), *((d, t, "en", ["a", "b", None][d % 3], len(t), "s", "k", "c") for d, t in texts.items())]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1000 + i, 1, int(i < 40)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    labels = spark.read.parquet(str(tmp_path / "labels.parquet")).collect()
+    taught = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in labels if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2], "doc_id long, toxic int")
+    machine = toxicity.train_toxicity(docs, taught)
+    clean = [(r[0], r[1], r[3]) for r in rows if machine.score(r[1]) < 0.3]
+    assert 30 <= len(rows) - len(clean) <= 50
+
+    counts = Counter(k for _, t, _ in clean for k in {k for k in line_dedup.line_keys(t) if k})
+    lined = []
+    for d, t, s in clean:
+        kept = [x for x, k in zip((t or "").split("\n"), line_dedup.line_keys(t)) if not k or counts[k] < 10]
+        lined.append((d, t if len(kept) == len((t or "").split("\n")) else "\n".join(kept), s))
+    assert lined != clean
+
+    found = ngram_join.brute_force([r[:2] for r in lined])
+    single = list(dict.fromkeys(r for r, (d, n, first) in zip(lined, found) if not n or d == first))
+    assert len({r[:2] for r in single}) == len(single) < len(lined)
+
+    copies = mixed_by_hand(single)
+    assert {0, 1, 2} <= {copies[r] for r in single}
+    own, pieces = Tokenizer.from_file(path), Counter()
+    for (d, t, s), n in copies.items():
+        ids = np.array([*own.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        edges = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
+            pieces[d, k, a, b - a, zlib.crc32(ids[a:b].tobytes())] += n
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == +pieces
+    lengths = Counter(r["length"] for r in got)
+    places, n = packing.plan(lengths, 1024)
+    assert Counter((r["sequence_id"], r["offset"], r["length"]) for r in got) == Counter((first + i, offset, length) for length, _, count, first, offset in places for i in range(count))
+    filled = Counter()
+    for s, offset, length in sorted((r["sequence_id"], r["offset"], r["length"]) for r in got):
+        assert offset == filled[s]
+        filled[s] += length
+    assert len(filled) == n and max(filled.values()) <= 1024
+
+
 def test_pa_batches_are_cut():
     from leafmill.llm.common import chunks
 
