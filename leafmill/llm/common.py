@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,27 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; choose one only where none is named.
-
-    In local mode that is a temporary folder; on a cluster without the setting
-    it lies in the warehouse, which is shared, never in a machine's own folder.
-    """
+    """Use the folder the cluster names; where none is named, one in the warehouse, which is shared."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and sc.master.startswith("local") and "cluster" not in sc.master:
-        named = os.path.join(tempfile.gettempdir(), f"leafmill-checkpoints-{os.getpid()}")
-    if not named:
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    sc.setCheckpointDir(named)
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage with a reliable checkpoint.
 
     The files lie in the shared checkpoint folder, so a lost executor loses
-    nothing; Spark's cleaner removes them once the plan is garbage.
+    nothing; where spark.cleaner.referenceTracking.cleanCheckpoints is set,
+    Spark removes them once the plan is garbage.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -51,6 +40,57 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key counts as hot if it holds more than one part in this many of all rows; at most so many keys can.
+HOT_PARTS = 1000
+#: Rows of a side that may be broadcast, and their bytes.
+SMALL_ROWS, SMALL_BYTES = 200_000, 16 << 20
+
+
+def hot_keys(df: DataFrame, key, parts: int = HOT_PARTS) -> list[tuple[int, int]]:
+    """Hashes of the keys that hold more than 1 / ``parts`` of the rows, and into how many pieces to deal each.
+
+    A frequent-items sketch per task finds them in one narrow pass; at most
+    ``parts`` keys can be that frequent, so the list is bounded whatever the input.
+    """
+    found, total = df.select(key.alias("_h")).agg(F.expr(f"approx_top_k(_h, {parts}, {8 * parts})"), F.count("*")).first()
+    return [(r["item"], int(min(4 * parts, -(-r["count"] * parts // total)))) for r in found or [] if r["item"] is not None and r["count"] * parts > total]
+
+
+def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small`` (few rows per key) on ``keys``, hot keys dealt to many tasks.
+
+    Rows of a hot key are dealt into pieces of at most one part in
+    ``HOT_PARTS`` of all rows, and the small side's rows of that key go to
+    every piece. ``how`` is inner, left, left_semi or left_anti; null keys
+    meet nothing.
+    """
+    key = F.xxhash64(*keys)
+    hot = hot_keys(big, key)
+    if not hot:
+        return big.join(small, keys, how)
+    listed = F.broadcast(big.sparkSession.createDataFrame(hot, "_h long, _pieces int"))
+    pieces = F.coalesce("_pieces", F.lit(1))
+    one = big.withColumn("_h", key).join(listed, "_h", "left").withColumn("_salt", (F.monotonically_increasing_id() % pieces).cast("int")).drop("_h", "_pieces")
+    other = small.withColumn("_h", key).join(listed, "_h", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("_h", "_pieces")
+    return one.join(other, [*keys, "_salt"], how).drop("_salt")
+
+
+def group_join(big: DataFrame, groups: DataFrame, keys: list[str], row_bytes: int = 256, most_rows: int = SMALL_ROWS, how: str = "inner") -> DataFrame:
+    """``big`` with the columns of its group; ``groups`` (computed before) has one row per ``keys``, nulls included.
+
+    Groups are counted: few are broadcast, so ``big`` is not exchanged; more
+    are joined with hot groups dealt to many tasks.
+    """
+    names = {k: f"_g_{i}" for i, k in enumerate(keys)}
+    marks = lambda df: df.select("*", *[F.to_json(F.array(k)).alias(n) for k, n in names.items()])
+    small = marks(groups).drop(*keys)
+    if groups.limit(most_rows + 1).count() <= min(most_rows, SMALL_BYTES // row_bytes):
+        out = marks(big).join(F.broadcast(small), list(names.values()), how)
+    else:
+        out = skew_join(marks(big), small, list(names.values()), how)
+    return out.drop(*names.values())
+
+
 def crc_bucket(column: str, modulus: int):
     """crc32 of the id as text, modulo; a null id counts as bucket 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus, F.lit(0))
