@@ -58,13 +58,24 @@ class Machine:
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         return np.sort(at[self.terms[at] == hashes])
 
-    def logit(self, at: np.ndarray) -> float:
-        v = self.vectors[at]
-        return float(self.bias + self.weights[at].sum() + 0.5 * (v.sum(0) ** 2 - (v**2).sum(0)).sum())
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Scores of whole texts: all their terms are looked up and summed together."""
+        found = [term_hashes(t) for t in texts]
+        sizes = np.array([len(h) for h in found], dtype=np.int64)
+        hashes = np.concatenate([*found, np.empty(0, dtype=np.uint64)])
+        known = np.minimum(np.searchsorted(self.terms, hashes), max(len(self.terms) - 1, 0))
+        hits = np.flatnonzero(self.terms[known] == hashes) if len(self.terms) else np.empty(0, dtype=np.int64)
+        at, doc = known[hits], np.repeat(np.arange(len(texts)), sizes)[hits]
+        order = np.lexsort((at, doc))  # sums in one order, whatever the order of a set
+        at, doc = at[order], doc[order]
+        linear = np.bincount(doc, self.weights[at], len(texts))
+        pairs = np.zeros(len(texts))
+        for v in self.vectors.T:
+            pairs += np.bincount(doc, v[at], len(texts)) ** 2 - np.bincount(doc, v[at] ** 2, len(texts))
+        return 1 / (1 + np.exp(-np.clip(self.bias + linear + 0.5 * pairs, -40, 40)))
 
     def score(self, text: str | None) -> float:
-        z = np.clip(self.logit(self.inputs(term_hashes(text))), -40, 40)
-        return float(1 / (1 + np.exp(-z)))
+        return float(self.scores([text])[0])
 
 
 def fit(terms: np.ndarray, inputs: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS) -> Machine:
@@ -104,14 +115,16 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TO
     """Learn from ``labels`` (``doc_id, toxic``) and the texts of ``docs``.
 
     Null labels and ids are left out; of differing labels of an id the highest
-    counts. With no labels, or of one class only, every score is the same.
+    counts, of its texts the first in order. With no labels, or of one class only, every score is the same.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = known.withColumn("_h", F.xxhash64("doc_id"))
     taken = [known.filter(F.col("toxic") == c).orderBy("_h", "doc_id").limit(most) for c, most in ((1, most_toxic), (0, most_clean))]
     sample = taken[0].unionByName(taken[1]).select("doc_id", "toxic")
     # at most most_toxic + most_clean ids are broadcast
-    texts = cut(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # one text of an id, however often the id is repeated
+    texts = cut(texts.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")))
 
     def count(batches):
         held = {0: [], 1: []}
@@ -158,13 +171,15 @@ def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
     A column named ``score`` is replaced. Null and empty texts get the score
     of a text without terms.
     """
-    held = docs.sparkSession.sparkContext.broadcast(machine)
+    # plain arrays: a broadcast object's class would have to be importable on executors
+    held = docs.sparkSession.sparkContext.broadcast((machine.terms, machine.bias, machine.weights, machine.vectors))
     own = [c for c in docs.columns if c != "score"]
     at = own.index("text")
 
     def score(batches):
+        machine = Machine(*held.value)
         for batch in chunks(batches):
-            found = [held.value.score(t) for t in batch.column(at).to_pylist()]
+            found = machine.scores(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*own, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema)
