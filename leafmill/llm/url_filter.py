@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import skew_join, table
 
 #: Rules of more text than this are joined, not broadcast.
 RULE_BYTES = 16 << 20
@@ -44,7 +44,7 @@ class HostPathTrie:
     def __init__(self, rules):
         self.root: dict = {}
         for host, path, verdict in rules:
-            node = self.root
+            node, host, path = self.root, host or "", path or ""
             for label in reversed(host.split(".")):
                 node = node.setdefault(label, {})
             node = node.setdefault("/", {"ends": {}})
@@ -68,6 +68,12 @@ class HostPathTrie:
                 break
         return best
 
+    @classmethod
+    def of(cls, root: dict) -> HostPathTrie:
+        made = cls(())
+        made.root = root
+        return made
+
     def longest(self, host: str, path: str) -> tuple[str, str] | None:
         """Rule and verdict of the longest match."""
         node, paths = self.root, []
@@ -81,12 +87,13 @@ class HostPathTrie:
 
 
 def _by_trie(pages: DataFrame, rules: list, default: str) -> DataFrame:
-    trie = pages.sparkSession.sparkContext.broadcast(HostPathTrie(rules))
+    # the plain tree: a broadcast object's class would have to be importable on executors
+    root = pages.sparkSession.sparkContext.broadcast(HostPathTrie(rules).root)
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     at = own.index("url")
 
     def judge(batches):
-        find = trie.value.longest
+        find = HostPathTrie.of(root.value).longest
         for batch in batches:
             hosts, paths, names, verdicts = [], [], [], []
             for url in batch.column(at).to_pylist():
@@ -105,14 +112,17 @@ def _by_trie(pages: DataFrame, rules: list, default: str) -> DataFrame:
 def _by_join(pages: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     lower = F.translate(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    split = pages.select(*own, F.coalesce(lower, F.lit("")).alias("host"), F.coalesce(F.regexp_extract("url", r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit("")).alias("path"))
+    # own columns travel in one struct, so none of their names can clash
+    split = pages.select(F.struct(*own).alias("own"), F.coalesce(lower, F.lit("")).alias("host"), F.coalesce(F.regexp_extract("url", r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit("")).alias("path"))
     # distinct hosts and paths meet the rules, so repeated urls are judged once
     keys = split.select("host", "path").distinct()
     labels = F.split("host", "[.]")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
-    met = keys.withColumn("_suffix", F.explode(suffixes)).join(rules.select(F.col("host").alias("_suffix"), F.col("path").alias("_start"), F.col("verdict").alias("_v")), "_suffix").filter(F.col("path").startswith(F.col("_start")))
-    best = met.groupBy("host", "path").agg(F.max(F.struct(F.size(F.split("_suffix", "[.]")), F.length("_start"), "_v", F.concat("_suffix", "_start").alias("rule"))).alias("_best"))
-    return split.join(best, ["host", "path"], "left").select(*own, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best._v", F.lit(default)).alias("verdict"))
+    listed = rules.select(F.coalesce("host", F.lit("")).alias("suffix"), F.coalesce("path", F.lit("")).alias("start"), F.col("verdict").alias("v"))
+    listed = listed.groupBy("suffix", "start").agg(F.max("v").alias("v"))  # of equal rules "block"
+    met = skew_join(keys.withColumn("suffix", F.explode(suffixes)), listed, ["suffix"]).filter(F.col("path").startswith(F.col("start")))
+    best = met.groupBy("host", "path").agg(F.max(F.struct(F.size(F.split("suffix", "[.]")), F.length("start"), "v", F.concat("suffix", "start").alias("rule"))).alias("best"))
+    return skew_join(split, best, ["host", "path"], "left").select("own.*", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.v", F.lit(default)).alias("verdict"))
 
 
 def url_filter(pages: DataFrame, rules, default: str = DEFAULT, rule_bytes: int = RULE_BYTES) -> DataFrame:
@@ -122,7 +132,8 @@ def url_filter(pages: DataFrame, rules, default: str = DEFAULT, rule_bytes: int
     DataFrame with these columns for lists of any size. Host: after the first
     "://" up to "/", "?", "#" or the end, A-Z lower-cased; path: then up to
     "?", "#" or the end; both empty if the url is null or has no "://". A url
-    that no rule fits has a null rule and the default verdict.
+    that no rule fits has a null rule and the default verdict. A rule's null
+    host or path counts as empty; an empty host fits urls without one.
     """
     spark = pages.sparkSession
     if isinstance(rules, DataFrame):
