@@ -8,7 +8,8 @@ one-versus-rest ridge regression in it gives a weight per language. Scoring
 multiplies a batch of rows with the landmarks' matrix, then with the weights.
 
 Landmarks and training texts are a bounded sample: at most ``PER_LANG`` texts
-of each language, the first by hash.
+of each of the ``MOST_LANGS`` most frequent languages, the first by hash of
+their ids; landmarks are at most ``MOST_LANDMARKS`` in all, 64 MB.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_bucket, table
+from .common import chunks, crc_bucket, cut, table
 
 PER_LANG, LANDMARKS, RIDGE = 250, 48, 0.1
+MOST_LANGS, MOST_LANDMARKS = 200, 2048
 BITS, SPECTRUM = 13, 3
 CELLS = 1 << BITS
 UNKNOWN = "und"
@@ -75,12 +77,12 @@ class Kernel:
         return langs, scores
 
 
-def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Kernel:
-    """``landmarks`` texts of each language span the space; all texts train the regression."""
+def fit(rows: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Kernel:
+    """``landmarks`` rows (of ``presence``) of each language span the space; all rows train the regression."""
     names = sorted(set(langs))
     if not names:
         return Kernel([], np.zeros((0, CELLS), np.float32), np.zeros(0, np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
-    rows = presence(texts)
+    landmarks = max(1, min(landmarks, MOST_LANDMARKS // len(names)))
     taken = [i for name in names for i in [j for j, x in enumerate(langs) if x == name][:landmarks]]
     marks = rows[taken]
     made = Kernel(names, marks, np.maximum(marks.sum(1), 1), np.zeros((len(taken), len(names)), np.float32), np.zeros(len(names), np.float32))
@@ -99,23 +101,41 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     return made
 
 
-def train_language(docs: DataFrame, per_lang: int = PER_LANG) -> Kernel:
-    """Learn from ``docs`` (``doc_id, text, lang``) with a language and a letter in the text."""
-    known = docs.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
-    counts = docs.filter("lang is not null").groupBy("lang").agg(F.count("*").alias("n"))
-    # about twice as many as needed by hash, then the first of these: bounded, whatever a language's share
+def train_language(docs: DataFrame, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> Kernel:
+    """Learn from ``docs`` (``doc_id, text, lang``) with a language and a letter in the text.
+
+    Of each of the ``most_langs`` most frequent languages the ids of least
+    hash are drawn before any text is touched: a hash filter that follows the
+    language's count keeps some twice as many as are needed, whatever a
+    language's share of all rows; texts of these ids alone are read, whole,
+    and leave the executors as rows of bits. Of a repeated id the first text
+    in order counts.
+    """
+    known = docs.filter("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_h"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
     share = F.least(F.lit(1.0), F.lit(2.0 * per_lang + 50) / F.col("n"))
-    picked = known.join(counts.select("lang", share.alias("_share")), "lang").filter(F.pmod("_h", F.lit(1_000_000)) < F.col("_share") * 1_000_000)
-    by_lang: dict[str, list] = {}
-    for r in picked.select("lang", "_h", "text").toLocalIterator():
-        if _LETTER.search(r["text"]):
-            by_lang.setdefault(r["lang"], []).append((r["_h"], r["text"]))
-    texts, langs = [], []
-    for lang in sorted(by_lang):
-        for _, text in sorted(by_lang[lang])[:per_lang]:
-            texts.append(text)
+    drawn = known.join(F.broadcast(counts.select("lang", share.alias("_share"))), "lang").filter(F.pmod("_h", F.lit(1 << 40)) < F.col("_share") * float(1 << 40)).drop("_share").distinct()
+    # about twice per_lang ids of each language: the first of them
+    first = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    drawn = cut(drawn.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= 2 * per_lang).select("lang", "_h", "_n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")))
+    texts = docs.filter("text is not null").select("lang", "text", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"))
+    texts = texts.join(F.broadcast(drawn), ["lang", "_id"]).groupBy("lang", "_n").agg(F.min("text").alias("text"))
+
+    def bits(batches):
+        for batch in chunks(batches):
+            lettered = [bool(_LETTER.search(t)) for t in batch.column(2).to_pylist()]
+            batch = batch.filter(pa.array(lettered))
+            rows = np.packbits(presence(batch.column(2).to_pylist()).astype(bool), axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], names=["lang", "n", "bits"])
+
+    # at most 2 * per_lang * most_langs rows of one kilobyte
+    found = sorted(tuple(r) for r in texts.mapInArrow(bits, "lang string, n int, bits binary").collect())
+    rows, langs = [], []
+    for lang, _, raw in found:
+        if len(langs) < per_lang or langs[-per_lang] != lang:  # sorted by language
+            rows.append(np.unpackbits(np.frombuffer(bytes(raw), dtype=np.uint8)).astype(np.float32))
             langs.append(lang)
-    return fit(texts, langs)
+    return fit(np.stack(rows) if rows else np.zeros((0, CELLS), np.float32), langs)
 
 
 def identify_language(docs: DataFrame, kernel: Kernel) -> DataFrame:
@@ -124,15 +144,17 @@ def identify_language(docs: DataFrame, kernel: Kernel) -> DataFrame:
     A null text or one without letters is "und" with score 0; so is every
     text if nothing was learned.
     """
-    held = docs.sparkSession.sparkContext.broadcast(kernel)
+    # plain arrays: a broadcast object's class would have to be importable on executors
+    held = docs.sparkSession.sparkContext.broadcast((kernel.langs, kernel.landmarks, kernel.sizes, kernel.weights, kernel.offset))
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     at = own.index("text")
 
     def predict(batches):
+        kernel = Kernel(*held.value)
         for batch in chunks(batches):
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                langs, scores = held.value.predict(part.column(at).to_pylist())
+                langs, scores = kernel.predict(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*own, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema)
