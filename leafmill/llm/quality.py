@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, group_join, table
 
 WINDOW = 8
 MIN_WORDS, MOST_REPEATED = 20, 30
@@ -23,6 +23,7 @@ LOW, HIGH, MARGIN = 0.2, 0.8, 2.0
 #: A group of so many documents weighs as much as its language.
 PRIOR = 200
 #: Measured ratios, and the least spread that counts: a group of equal texts keeps near ones, and short texts vary.
+#: Where a group is tighter than that, this floor and the group's own middle make the cutoff.
 RATIOS = {"word_length": 0.8, "symbol_ratio": 0.03, "dup_line_ratio": 0.2, "repeat_ratio": 0.1, "stutter_ratio": 0.05}
 
 
@@ -89,7 +90,8 @@ def thresholds(measured: DataFrame) -> DataFrame:
     sketched = measured.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(r).alias(r) for r in RATIOS])
     sketched = cut(sketched)
     merged = sketched.groupBy("lang").agg(F.sum("n").alias("all_n"), *[F.kll_merge_agg_double(r).alias(f"all_{r}") for r in RATIOS])
-    both = sketched.join(merged.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")))
+    # a row here is some kilobytes of sketches
+    both = group_join(sketched, cut(merged), ["lang"], row_bytes=8192)
     own = F.col("n") / (F.col("n") + PRIOR)
     at = lambda r, q: own * F.kll_sketch_get_quantile_double(F.col(r), F.lit(q)) + (1 - own) * F.kll_sketch_get_quantile_double(F.col(f"all_{r}"), F.lit(q))
     out = both.select("lang", "source", "n", *[at(r, q).alias(f"{r}_{s}") for r in RATIOS for s, q in (("low", LOW), ("mid", 0.5), ("high", HIGH))])
@@ -111,9 +113,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     measured = measures(docs)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     measured = cut(_with_ratios(measured).withColumn("base_failed", failed))
-    limits = thresholds(measured.filter(~F.col("base_failed")))
-    same = F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))
-    judged = measured.join(limits.drop("n").withColumnsRenamed({"lang": "_l", "source": "_s"}), same, "left")
+    limits = cut(thresholds(measured.filter(~F.col("base_failed"))).drop("n"))
+    judged = group_join(measured, limits, ["lang", "source"], how="left")
     usual = F.lit(True)
     for r in RATIOS:
         usual &= F.col(r).between(F.col(f"{r}_min"), F.col(f"{r}_max"))
