@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, group_join, partitions, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST_COPIES = 1.5, 2
@@ -43,13 +43,32 @@ def row_identity() -> Column:
     return F.xxhash64("text", "doc_id")
 
 
+#: Equal rows are numbered in blocks of so many.
+TURNS = 10_000
+
+
+def numbered(sized: DataFrame) -> DataFrame:
+    """Adds ``turn``, which counts equal rows from 0, so that they fall into different buckets.
+
+    Equal rows are counted with map-side sums and dealt out again in blocks,
+    so no window gathers them; rows that differ have turn 0 on every run.
+    """
+    counted = cut(sized.groupBy(*sized.columns).agg(F.count("*").alias("_m")))
+    most = counted.agg(F.max("_m")).first()[0] or 0
+    if most <= TURNS:
+        return counted.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1))).drop("_m")
+    blocks = counted.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m") - 1) / TURNS)))).repartition(partitions(sized.sparkSession), "doc_id", "key", "_b")
+    return blocks.withColumn("turn", F.explode(F.sequence(F.col("_b") * TURNS, F.least(F.col("_m"), (F.col("_b") + 1) * TURNS) - 1))).drop("_m", "_b")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
     """``source, source_size, n, target`` from ``source, size``.
 
     Sources by code point, null last, take the weights in turn. What exceeds
     ``most`` times a source's size is shared among the others by weight until
     none is above: with sources in order of most * size / weight, the first
-    ones are full and the rest share by weight.
+    ones are full and the rest share by weight. One row per source is ordered
+    in one task: sources are names of collections, up to some millions.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     turn = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))) - 1
@@ -121,16 +140,14 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
     """
     sized = cut(docs.select("doc_id", "source", words_in("text").alias("size"), row_identity().alias("key")))
     targets = cut(source_targets(sized, weights, share, most))
-    # few rows, one per source; the join's own planning decides how they travel
-    same = F.col("source").eqNullSafe(F.col("t_source"))
-    both = sized.join(targets.withColumnRenamed("source", "t_source"), same).drop("t_source")
+    both = group_join(numbered(sized), targets, ["source"])
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     both = both.withColumn("ratio", ratio).withColumn("whole", F.floor(F.col("ratio") + 1e-12)).withColumn("p", F.greatest(F.lit(0.0), F.col("ratio") - F.col("whole")))
-    meant = both.select("source", "doc_id", "key", "size", "p", F.greatest(F.lit(1), F.ceil(F.col("n") / FAN)).alias("buckets"))
+    meant = both.select("source", "doc_id", "key", "turn", "size", "p", F.greatest(F.lit(1), F.ceil(F.col("n") / FAN)).alias("buckets"))
     rounding = meant.filter((F.col("size") > 0) & (F.col("p") > 1e-12))
 
     item = F.struct(F.col("doc_id").alias("id"), "key", F.col("size").cast("double").alias("size"), "p")
-    level = rounding.select("source", F.pmod(F.xxhash64("doc_id", "key", F.lit(SEED)), F.col("buckets")).alias("bucket"), F.col("buckets"), item.alias("item"))
+    level = rounding.select("source", F.pmod(F.xxhash64("doc_id", "key", "turn", F.lit(SEED)), F.col("buckets")).alias("bucket"), F.col("buckets"), item.alias("item"))
     most_buckets = targets.agg(F.max(F.ceil(F.col("n") / FAN))).first()[0] or 0
     done = None
     while True:
@@ -150,7 +167,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
         most_buckets = math.ceil(most_buckets / FAN)
     rounded = done.select("source", F.col("d.id").alias("doc_id"), F.col("d.key").alias("key"), F.col("d.size").cast("long").alias("size"), F.when(F.col("d.p") >= 0.5, 1).otherwise(0).alias("more"))
     plain = meant.filter(~((F.col("size") > 0) & (F.col("p") > 1e-12))).select("source", "doc_id", "key", "size", F.lit(0).alias("more"))
-    out = rounded.unionByName(plain).join(targets.withColumnRenamed("source", "t_source"), same)
+    out = group_join(rounded.unionByName(plain), targets, ["source"])
     whole = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) + 1e-12)
     return out.select("doc_id", "key", "source", "size", "source_size", "target", ((whole + F.col("more")) * F.col("size")).cast("long").alias("taken"))
 
