@@ -7,9 +7,11 @@ cuckoo filter per shard over the keys that reach the threshold; a key that
 crosses it up or down is inserted into or deleted from its shard's filter.
 
 To apply the index, filters whose total size is within a bound are broadcast;
-each task then sends only lines that may be common, and these are settled by a
-join with the exact counts. Filters beyond the bound are not broadcast: all
-lines go to the same join. Both ways give the same rows.
+each task then sees which lines may be common. If the exact keys behind the
+filters are few as well, they are broadcast too and settle these lines in the
+same pass, so no text is exchanged; else the lines go to a join with the exact
+counts. Filters beyond the bound are not broadcast: all lines go to that join.
+All ways give the same rows.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, blob_lists, chunks, cut, hashes128, mixed, partitions, row_keys, table
+from .common import U64, blob_lists, chunks, cut, hashes128, mixed, partitions, row_keys, skew_join, table
 
 MIN_DOCS = 10
-#: Filters of more bytes than this are not broadcast.
-FILTER_BYTES = 64 << 20
+#: Filters of more bytes than this are not broadcast; nor are more exact keys than this, of 16 bytes each.
+FILTER_BYTES, EXACT_KEYS = 64 << 20, 1 << 20
 FLUSH = 1_000_000
 
 
@@ -169,7 +171,9 @@ class LineIndex:
 
     def _changed(self, change: DataFrame) -> LineIndex:
         """``change``: h1, h2, n to add, negative to subtract."""
-        new = cut(self.counts.unionByName(change).groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 0"))
+        new = cut(self.counts.unionByName(change).groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n <> 0"))
+        if new.filter("n < 0").limit(1).count():
+            raise ValueError("documents were deleted that had not been inserted")
         was = self.counts.filter(F.col("n") >= self.min_docs).select("h1", "h2", F.lit(True).alias("was"))
         now = new.filter(F.col("n") >= self.min_docs).select("h1", "h2", F.lit(True).alias("now"))
         crossed = was.join(now, ["h1", "h2"], "full").filter("was is null or now is null").select(_shard(self.shards).alias("shard"), "h1", "h2", F.col("now").isNotNull().alias("rises"))
@@ -201,9 +205,44 @@ class LineIndex:
         return self._changed(line_counts(docs))
 
     def delete(self, docs: DataFrame) -> LineIndex:
-        """Takes back documents inserted before."""
+        """Takes back documents inserted before; a ValueError if some had not been."""
         return self._changed(line_counts(docs).withColumn("n", -F.col("n")))
 
+    def _applied_in_place(self, docs: DataFrame, filters, known: pa.Table) -> DataFrame:
+        """One narrow pass: filters name the lines that may be common, the exact keys settle them."""
+        h1, h2 = (known[c].to_numpy().view(U64) for c in ("h1", "h2"))
+        order = np.argsort(h1)
+        exact = docs.sparkSession.sparkContext.broadcast((h1[order], h2[order]))
+        names, shards, at = docs.columns, self.shards, docs.columns.index("text")
+
+        def drop(batches):
+            held = {s: CuckooFilter.from_bytes(b) for s, b in filters.value.items()}
+            for batch in chunks(batches):
+                texts = [t or "" for t in batch.column(at).to_pylist()]
+                lines = [line_keys(t) for t in texts]
+                sizes = np.array([len(x) for x in lines], dtype=np.int64)
+                flat = [k for x in lines for k in x]
+                h = hashes128(flat)
+                gone = np.zeros(len(flat), dtype=bool)
+                order, edges = blob_lists((h[:, 1] >> U64(40)) % U64(shards), shards)
+                for s, f in held.items():
+                    part = order[edges[s] : edges[s + 1]]
+                    gone[part] = f.contains(h[part, 0], h[part, 1])
+                maybe = np.flatnonzero(gone)
+                one, two = exact.value
+                found = np.minimum(np.searchsorted(one, h[maybe, 0]), max(len(one) - 1, 0))
+                gone[maybe] = (one[found] == h[maybe, 0]) & (two[found] == h[maybe, 1]) if len(one) else False
+                gone &= np.fromiter(map(bool, flat), dtype=bool, count=len(flat))
+                starts = np.cumsum(sizes) - sizes
+                dropped = np.add.reduceat(gone.astype(np.int64), starts) if len(starts) else np.empty(0, dtype=np.int64)
+                for i in np.flatnonzero(dropped):
+                    mine = gone[starts[i] : starts[i] + sizes[i]]
+                    texts[i] = "\n".join(x for x, g in zip(texts[i].split("\n"), mine) if not g)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), pa.array(dropped), pa.array(texts, pa.string())], names=[*names, "n_lines", "n_dropped", "kept"])
+
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+        return docs.mapInArrow(drop, f"{fields}, n_lines long, n_dropped long, kept string")
+
     def apply(self, docs: DataFrame) -> DataFrame:
         """``docs`` plus ``n_lines, n_dropped, kept``; see ``line_dedup``."""
         spark = docs.sparkSession
@@ -212,6 +251,11 @@ class LineIndex:
         if size <= FILTER_BYTES:
             filters = spark.sparkContext.broadcast({r["shard"]: r["blob"] for r in self.filters.collect()})
         own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept", "_k1", "_k2", "_drop")]
+        hot = self.counts.filter(F.col("n") >= self.min_docs).select("h1", "h2")
+        if filters:
+            known = hot.limit(EXACT_KEYS + 1).toArrow()
+            if known.num_rows <= EXACT_KEYS:
+                return self._applied_in_place(docs.select(*own), filters, known)
         keyed, shards = docs.select(*own, *row_keys()), self.shards
 
         def suspects(batches):
@@ -236,9 +280,8 @@ class LineIndex:
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[row[at]], k2[row[at]], pos[at].astype(np.int32), np.ascontiguousarray(h[at, 0]).view(np.int64), np.ascontiguousarray(h[at, 1]).view(np.int64))], names=["_k1", "_k2", "pos", "h1", "h2"])
 
-        hot = self.counts.filter(F.col("n") >= self.min_docs).select("h1", "h2")
         lines = keyed.select("_k1", "_k2", "text").mapInArrow(suspects, "_k1 long, _k2 long, pos int, h1 long, h2 long")
-        drops = lines.join(hot, ["h1", "h2"]).groupBy("_k1", "_k2").agg(F.collect_set("pos").alias("_drop"))
+        drops = skew_join(lines, hot, ["h1", "h2"]).groupBy("_k1", "_k2").agg(F.collect_set("pos").alias("_drop"))
         joined = keyed.join(drops, ["_k1", "_k2"], "left").select(*own, "_drop")
         at = own.index("text")
 
