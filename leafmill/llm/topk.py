@@ -1,17 +1,20 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-The components are dealt into lists; an item's score is the sum of its scores
-in all lists. Phase 1 gathers, for each query, the best entries of every list
-and each list's least score, and adds up what is known of the items seen: the
-k-th best of these sums, with the least score wherever an item was not seen,
-is a lower bound of the k-th best score. Phase 2 broadcasts the cutoff that
-follows: an item below it in every list cannot reach the bound. Entries at or
-above the cutoff in some list are enough. Phase 3 resolves the remaining lists
-of these items, drops items under the bound, and merges what is left.
-
-Scores are integers and computed as such. Queries are broadcast in blocks of a
-fixed size; of each block of rows only k entries per query and list leave a
-task.
+A candidate's score is the sum of its scores in two lists: its components are
+split into a coarse digit and a fine one (``base`` * coarse + fine), and each
+list scores one of them. Phase 1 gathers, for each query, every task's best
+entries of the coarse list with their whole scores, and how much the fine list
+can add at most; the k-th best whole score is a safe bound. Phase 2 broadcasts
+the cutoff that follows for the coarse list, one number per query; no entry of
+the fine list alone can reach it. Each task collects the coarse entries at or
+above the cutoff: all others are out, whatever their fine score. Phase 3
+resolves the missing fine scores of these entries, and of no others, exactly.
+
+Scores are whole numbers and computed as such. What the fine list can add is
+bounded by lengths (Cauchy and Schwarz): that of the query times that of the
+row's fine digits, so a row far from a query is settled by one short product.
+Queries are held in groups of a fixed size that are broadcast; of each block of
+rows only k entries per query leave a task.
 """
 
 from __future__ import annotations
@@ -21,20 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import table
 
-K, LISTS, SCALE, EVERY = 5, 4, 256, 50
-#: Components of the queries in one block: 8 bytes each.
-BLOCK_VALUES = 1 << 20
-ROWS = 2048
+K, SCALE, EVERY = 5, 256, 50
+#: Coarse digits are multiples of this.
+BASE = 8
+#: Components of the queries that are broadcast together, 8 bytes each; queries and rows that are multiplied at once.
+BLOCK_VALUES, SOME_QUERIES, ROWS = 4 << 20, 1024, 2048
 
 
 def _integers(vectors: DataFrame, scale: int) -> DataFrame:
-    """``vec_id, v, row``: usable vectors only; row tells vectors of one id apart."""
+    """``vec_id, v``: usable vectors only."""
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double"))
     usable = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()
     usable &= F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    return vectors.filter(F.coalesce(usable, F.lit(False))).select("vec_id", whole.alias("v")).withColumn("row", F.xxhash64("vec_id", "v"))
+    return vectors.filter(F.coalesce(usable, F.lit(False))).select("vec_id", whole.alias("v"))
 
 
 def _matrix(column, dims: int) -> np.ndarray:
@@ -50,110 +54,106 @@ def _matrix(column, dims: int) -> np.ndarray:
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T as int64: by doubles where every sum stays below 2^53, else by integers."""
+    """a @ b.T, exact: by floats where every sum stays below what they hold exactly, else by integers."""
     bound = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1])
-    return (a @ b.T).astype(np.int64) if bound < 2**53 else a.astype(np.int64) @ b.astype(np.int64).T
+    if bound < 2**24:
+        return a.astype(np.float32) @ b.astype(np.float32).T
+    return a @ b.T if bound < 2**53 else a.astype(np.int64) @ b.astype(np.int64).T
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to smaller ids."""
-    if len(scores) > 4 * k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= least)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))[:k]]
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row products as int64."""
+    bound = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1])
+    if bound < 2**53:
+        return np.einsum("ij,ij->i", a, b).astype(np.int64)
+    return (a.astype(np.int64) * b.astype(np.int64)).sum(1)
+
+
+def _merge(best, q, ids, totals, n: int, k: int):
+    """The k best (by score, then smaller id) entries of each query, of those held and new ones."""
+    if best is not None:
+        q, ids, totals = (np.concatenate(x) for x in zip(best, (q, ids, totals)))
+    order = np.lexsort((ids, -totals, q))
+    q, ids, totals = q[order], ids[order], totals[order]
+    first = np.searchsorted(q, np.arange(n))
+    keep = np.arange(len(q)) - first[q] < k
+    return q[keep], ids[keep], totals[keep]
 
 
-def _phases(rows: DataFrame, queries: list, dims: int, k: int, lists: int) -> DataFrame:
-    """Top k of each query in one block of queries, in three phases."""
+def _phases(rows: DataFrame, queries: pa.Table, dims: int, k: int, base: int, touched=None) -> DataFrame:
+    """Top k of each query of one group, in three phases; ``touched`` is an accumulator of resolved entries."""
     spark = rows.sparkSession
-    matrix = np.zeros((len(queries), dims))
-    for i, q in enumerate(queries):
-        matrix[i, : len(q["v"])] = q["v"]
-    ids = np.array([q["vec_id"] for q in queries], dtype=np.int64)
-    edges = np.linspace(0, dims, min(lists, dims) + 1).astype(int)
-    held = spark.sparkContext.broadcast((ids, matrix, edges))
-    m = len(edges) - 1
+    held = spark.sparkContext.broadcast((queries["vec_id"].to_numpy(), _matrix(queries["v"].combine_chunks(), dims)))
+    n = queries.num_rows
 
     def blocks(batches):
+        """Ids, vectors, coarse digits and the lengths of the fine ones."""
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
-                yield part.column(0).to_numpy(), _matrix(part.column(1), dims), part.column(2).to_numpy()
+                x = _matrix(part.column(1), dims)
+                coarse = np.floor((x + base // 2) / base)
+                yield part.column(0).to_numpy(), x, coarse, np.sqrt(((x - base * coarse) ** 2).sum(1))
 
-    def scores(x):
-        _, q, e = held.value
-        return [_product(q[:, a:b], x[:, a:b]) for a, b in zip(e, e[1:])]
+    def entries(vec, ids, q, x, s, at, row):
+        """Whole scores of coarse entries: the fine score is added to that of the coarse list."""
+        other = vec[row] != ids[at]
+        at, row = at[other], row[other]
+        coarse = np.floor((x[row] + base // 2) / base)
+        return at, row, base * s[at, row].astype(np.int64) + _dots(q[at], x[row] - base * coarse)
 
     def gather(batches):
-        """Per query and list: the best entries with all partial scores known in the list, and the least score."""
-        q_ids = held.value[0]
-        best, least = {}, np.full((len(q_ids), m), np.iinfo(np.int64).max)
-        for vec, x, row in blocks(batches):
-            for j, s in enumerate(scores(x)):
-                least[:, j] = np.minimum(least[:, j], s.min(1))
-                # k + 1: one may be the query itself
-                top = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, : k + 1]
-                found = vec[top], np.take_along_axis(s, top, 1), row[top]
-                if j in best:
-                    found = tuple(np.hstack(x) for x in zip(best[j], found))
-                order = np.lexsort((found[0], -found[1]), axis=1)[:, : k + 1]
-                best[j] = tuple(np.take_along_axis(x, order, 1) for x in found)
-        for j, (v, value, rows_) in best.items():
-            n, width = v.shape
-            own = v == q_ids[:, None]
-            yield pa.RecordBatch.from_pydict({"q": pa.array(np.repeat(np.arange(n, dtype=np.int32), width)), "list": pa.array(np.full(n * width, j, dtype=np.int32)), "row": pa.array(rows_.ravel()), "score": pa.array(value.ravel()), "least": pa.array(np.repeat(least[:, j], width)), "own": pa.array(own.ravel())})
-
-    lists_ = cut(rows.mapInArrow(gather, "q int, list int, row long, score long, least long, own boolean"))
-    floors = lists_.groupBy("q", "list").agg(F.min("least").alias("least"))
-    per_query = floors.groupBy("q").agg(F.sum("least").alias("floor"))
-    seen = lists_.filter("not own").groupBy("q", "list", "row").agg(F.min("score").alias("score")).join(floors, ["q", "list"])
-    sums = seen.groupBy("q", "row").agg(F.sum(F.col("score") - F.col("least")).alias("above")).groupBy("q").agg(F.slice(F.sort_array(F.collect_list("above"), asc=False), k, 1).alias("kth"))
-    cutoffs = sums.join(per_query, "q").select("q", F.when(F.size("kth") > 0, F.col("kth")[0]).alias("kth"), "floor")
-    # bounded by the block: one row per query and list
-    kth = np.zeros(len(queries), dtype=np.int64)
-    bound = np.full(len(queries), np.iinfo(np.int64).min)
-    low = np.zeros((len(queries), m), dtype=np.int64)
-    for r in floors.collect():
-        low[r["q"], r["list"]] = r["least"]
-    for r in cutoffs.collect():
-        if r["kth"] is not None:
-            kth[r["q"]], bound[r["q"]] = r["kth"], r["kth"] + r["floor"]
-    cutoff = spark.sparkContext.broadcast((low - (-kth // m)[:, None], bound))
+        """Per query: the best coarse entries with whole scores, and the length of the largest fine digits."""
+        ids, q = held.value
+        best, longest = None, 0.0
+        for vec, x, coarse, fine in blocks(batches):
+            longest = max(longest, float(fine.max()))
+            for a in range(0, n, SOME_QUERIES):
+                s = _product(q[a : a + SOME_QUERIES], coarse)
+                m = min(k + 1, s.shape[1])  # one may be the query itself
+                top = np.argpartition(-s, m - 1, axis=1)[:, :m]
+                at, row, total = entries(vec, ids[a:], q[a:], x, s, np.repeat(np.arange(len(s)), m), top.ravel())
+                best = _merge(best, at + a, vec[row], total, n, k)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(best[0].astype(np.int32)), pa.array(best[2]), pa.array(np.full(len(best[0]), longest))], names=["q", "score", "fine"])
+
+    seen = rows.mapInArrow(gather, "q int, score long, fine double")
+    # k scores per query reach the driver: bounded by the group
+    kth = seen.groupBy("q").agg(F.element_at(F.slice(F.array_sort(F.collect_list(-F.col("score"))), 1, k), -1).alias("least"), F.count("*").alias("m")).filter(F.col("m") >= k).select("q", (-F.col("least")).alias("least")).toArrow()
+    bound = np.full(n, np.iinfo(np.int64).min)
+    bound[kth["q"].to_numpy()] = kth["least"].to_numpy()
+    cutoff = spark.sparkContext.broadcast(bound)
 
     def resolve(batches):
-        q_ids = held.value[0]
-        least, bound = cutoff.value
-        kept: dict[int, tuple] = {}
-        for vec, x, _ in blocks(batches):
-            parts = scores(x)
-            enough = np.zeros(parts[0].shape, dtype=bool)
-            for j, s in enumerate(parts):
-                enough |= s >= least[:, j : j + 1]
-            enough &= vec[None, :] != q_ids[:, None]
-            q, c = np.nonzero(enough)
-            total = sum(s[q, c] for s in parts)  # only of the entries collected
-            reach = total >= bound[q]
-            q, c, total = q[reach], c[reach], total[reach]
-            starts = np.searchsorted(q, np.arange(len(q_ids) + 1))
-            for i in np.unique(q):
-                a, b = starts[i], starts[i + 1]
-                v, s = vec[c[a:b]], total[a:b]
-                if i in kept:
-                    v, s = np.concatenate([kept[i][0], v]), np.concatenate([kept[i][1], s])
-                at = _best(v, s, k)
-                kept[i] = v[at], s[at]
-        if kept:
-            n = [len(v) for v, _ in kept.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids[list(kept)], n)), pa.array(np.repeat(np.array(list(kept), dtype=np.int32), n)), *(pa.array(np.concatenate([x[i] for x in kept.values()])) for i in (0, 1))], names=["query_id", "q", "vec_id", "score"])
+        ids, q = held.value
+        bound = cutoff.value
+        known = bound > np.iinfo(np.int64).min
+        lengths = np.sqrt((q**2).sum(1))
+        best = None
+        for vec, x, coarse, fine in blocks(batches):
+            for a in range(0, n, SOME_QUERIES):
+                s = _product(q[a : a + SOME_QUERIES], coarse)
+                some = slice(a, a + len(s))
+                # the cutoff of the coarse list: the bound less what the fine list can add (and one for rounding)
+                need = (bound[some, None].astype(np.float64) - lengths[some, None] * fine[None, :]) / base - 1 - 1e-9 * np.abs(bound[some, None].astype(np.float64))
+                at, row = np.nonzero((s >= need) | ~known[some, None])
+                if not len(at):
+                    continue
+                if touched is not None:
+                    touched.add(len(at))
+                for i in range(0, len(at), 1 << 17):
+                    i_at, i_row, total = entries(vec, ids[a:], q[a:], x, s, at[i : i + (1 << 17)], row[i : i + (1 << 17)])
+                    reach = total >= bound[i_at + a]
+                    best = _merge(best, i_at[reach] + a, vec[i_row[reach]], total[reach], n, k)
+        if best is not None and len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[0].astype(np.int32)), pa.array(best[1]), pa.array(best[2])], names=["query_id", "q", "vec_id", "score"])
 
     found = rows.mapInArrow(resolve, "query_id long, q int, vec_id long, score long")
     ranked = found.groupBy("query_id", "q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
     return ranked.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, lists: int = LISTS, scale: int = SCALE) -> DataFrame:
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, base: int = BASE, touched=None) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k highest integer inner products in ``vectors``.
 
     Both have ``vec_id, embedding``; other columns are ignored. A component x
@@ -162,20 +162,21 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, lists: int =
     rows. Null ids, null vectors and vectors with a null or non-finite
     component take no part; a shorter vector counts as filled with zeros, and
     an empty one scores 0. A query row that is repeated is answered once for
-    each row.
+    each row. Queries beyond one broadcast group make further passes over the
+    rows, each of which is bound by its products, not by reading.
     """
     spark = vectors.sparkSession
     rows, asked = _integers(vectors, scale), _integers(queries, scale)
     shape = rows.agg(F.max(F.size("v")).alias("dims")).first()
     n, widest = asked.agg(F.count("*"), F.max(F.size("v"))).first()
     dims = max(shape["dims"] or 0, widest or 0, 1)
-    blocks = max(1, -(-n * dims // BLOCK_VALUES))
-    asked = asked.withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    groups = max(1, -(-n * dims // BLOCK_VALUES))
+    asked = asked.withColumn("_g", F.pmod(F.xxhash64("vec_id"), F.lit(groups)))
     out = None
-    for b in range(blocks):  # a block at a time reaches the driver
-        part = asked.filter(F.col("_b") == b).select("vec_id", "v").collect()
-        if part:
-            found = _phases(rows, part, dims, k, lists)
+    for g in range(groups):  # a group at a time reaches the driver
+        part = asked.filter(F.col("_g") == g).select("vec_id", "v").toArrow()
+        if part.num_rows:
+            found = _phases(rows, part, dims, k, base, touched)
             out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 

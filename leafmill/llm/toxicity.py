@@ -68,11 +68,17 @@ class Machine:
         at, doc = known[hits], np.repeat(np.arange(len(texts)), sizes)[hits]
         order = np.lexsort((at, doc))  # sums in one order, whatever the order of a set
         at, doc = at[order], doc[order]
-        linear = np.bincount(doc, self.weights[at], len(texts))
-        pairs = np.zeros(len(texts))
+        return 1 / (1 + np.exp(-np.clip(self.logits(at, doc, len(texts)), -40, 40)))
+
+    def logits(self, at: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+        """Of ``n`` documents, from pairs of a term's place and its document."""
+        pairs = np.zeros(n)
         for v in self.vectors.T:
-            pairs += np.bincount(doc, v[at], len(texts)) ** 2 - np.bincount(doc, v[at] ** 2, len(texts))
-        return 1 / (1 + np.exp(-np.clip(self.bias + linear + 0.5 * pairs, -40, 40)))
+            pairs += np.bincount(doc, v[at], n) ** 2 - np.bincount(doc, v[at] ** 2, n)
+        return self.bias + np.bincount(doc, self.weights[at], n) + 0.5 * pairs
+
+    def logit(self, at: np.ndarray) -> float:
+        return float(self.logits(at, np.zeros(len(at), dtype=np.int64), 1)[0])
 
     def score(self, text: str | None) -> float:
         return float(self.scores([text])[0])
