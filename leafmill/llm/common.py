@@ -56,23 +56,23 @@ def hot_keys(df: DataFrame, key, parts: int = HOT_PARTS) -> list[tuple[int, int]
     return [(r["item"], int(min(4 * parts, -(-r["count"] * parts // total)))) for r in found or [] if r["item"] is not None and r["count"] * parts > total]
 
 
-def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", of: DataFrame | None = None) -> DataFrame:
     """``big`` joined with ``small`` (few rows per key) on ``keys``, hot keys dealt to many tasks.
 
     Rows of a hot key are dealt into pieces of at most one part in
     ``HOT_PARTS`` of all rows, and the small side's rows of that key go to
     every piece. ``how`` is inner, left, left_semi or left_anti; null keys
-    meet nothing.
+    meet nothing. Hot keys are looked for in ``of`` where ``big`` is costly.
     """
     key = F.xxhash64(*keys)
-    hot = hot_keys(big, key)
+    hot = hot_keys(big if of is None else of, key)
     if not hot:
         return big.join(small, keys, how)
-    listed = F.broadcast(big.sparkSession.createDataFrame(hot, "_h long, _pieces int"))
-    pieces = F.coalesce("_pieces", F.lit(1))
-    one = big.withColumn("_h", key).join(listed, "_h", "left").withColumn("_salt", (F.monotonically_increasing_id() % pieces).cast("int")).drop("_h", "_pieces")
-    other = small.withColumn("_h", key).join(listed, "_h", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("_h", "_pieces")
-    return one.join(other, [*keys, "_salt"], how).drop("_salt")
+    listed = F.broadcast(big.sparkSession.createDataFrame(hot, "_skew_h long, _skew_pieces int"))
+    pieces = F.coalesce("_skew_pieces", F.lit(1))
+    one = big.withColumn("_skew_h", key).join(listed, "_skew_h", "left").withColumn("_skew_salt", (F.monotonically_increasing_id() % pieces).cast("int")).drop("_skew_h", "_skew_pieces")
+    other = small.withColumn("_skew_h", key).join(listed, "_skew_h", "left").withColumn("_skew_salt", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("_skew_h", "_skew_pieces")
+    return one.join(other, [*keys, "_skew_salt"], how).drop("_skew_salt")
 
 
 def group_join(big: DataFrame, groups: DataFrame, keys: list[str], row_bytes: int = 256, most_rows: int = SMALL_ROWS, how: str = "inner") -> DataFrame:

@@ -7,11 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, skew_join
+
+#: Edges that a task contracts together.
+BLOCK = 1_000_000
 
 
 def _contract(batches):
-    """Each task replaces its own edges by one star per component it sees."""
+    """Each task replaces blocks of its edges by one star per component that it sees in them."""
     parent: dict[int, int] = {}
 
     def root(x):
@@ -20,32 +23,38 @@ def _contract(batches):
             x = p
         return x
 
+    def stars():
+        pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
+        if pairs:
+            u, v = np.array(pairs, dtype=np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
-    if pairs:
-        u, v = np.array(pairs, dtype=np.int64).T
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        if len(parent) > BLOCK:
+            yield from stars()
+            parent.clear()
+    yield from stars()
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """``links`` has longs ``a, b``; returns ``id, comp`` for every id in a link, comp the least id reached.
 
-    Each round is two equi-joins on pre-aggregated minima; edges never exceed
-    the links, and no component is gathered in one place. Loops and repeated
-    links change nothing; no links give no rows.
+    Each round is two equi-joins on pre-aggregated minima, in which the edges
+    of a large star's centre are dealt to many tasks; edges never exceed the
+    links. Loops and repeated links change nothing; no links give no rows.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").mapInArrow(_contract, "u long, v long").distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = skew_join(both.filter("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = skew_join(large, least, ["u"])
         edges = cut(small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u > v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

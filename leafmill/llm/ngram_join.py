@@ -12,13 +12,15 @@
    group with the fewest rarer shingles before the token, which of many edited
    copies is the original. Pairs are expanded to member classes and verified
    on whole sets, after bitmaps have excluded what cannot reach the threshold.
-5. Rest: members of one component need no more pairs. What stands before a
-   token in a set's order limits the sizes of its partners. Within a token,
-   size classes that admit each other and hold different components are found
-   first, then only their rows meet; these pairs are filtered by the bound that
-   all shared prefix tokens give, and verified. Inside a group, whose members
-   share the whole prefix, no bound excludes a pair: all members of different
-   components meet once.
+5. Rest: members of one component need no more pairs. Only tokens (cells)
+   that hold sets of different components are kept. What stands before a token
+   in a set's order limits the sizes of its partners. A cell of few sets gives
+   its pairs; in a larger one every set is dealt again, to cells of this token
+   and each of its next ones within reach, since sets that link share more than
+   one token. Inside a group, whose members share the whole prefix, members of
+   different components meet in the same way, in cells of the tokens after it.
+   Two such steps are made; what is still crowded then meets in full.
+   Bitmaps exclude pairs before whole sets are compared.
 
 So each link between different components is either found or excluded by a
 bound, and the classes are exact.
@@ -34,15 +36,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, cut, hashes64, mixed, row_keys, table, window_hashes
+from .common import U64, chunks, cut, hashes64, mixed, row_keys, skew_join, table, window_hashes
 from .components import connected_components
 from .shared import shared_places
 
 WIDTH, PERCENT = 5, 75
-#: Cells of the counting sketch, and the parts it is merged in: 16 MB whatever the input.
-CELLS, PARTS = 1 << 22, 64
+#: Least and most cells of the counting sketch (one byte each where it is broadcast) and the cells of one of its parts.
+LEAST_CELLS, MOST_CELLS, PART_CELLS = 1 << 20, 1 << 25, 1 << 16
 #: Longest list of ids that is broadcast: 8 MB.
 BROADCAST_IDS = 1_000_000
+#: A cell of more sets than this is dealt again by its sets' next tokens, at most so many times.
+CELL, STEPS = 64, 2
 
 
 def shingle_sets(batch, width: int):
@@ -65,8 +69,8 @@ def shingle_sets(batch, width: int):
     return out
 
 
-def _cells(grams):
-    return (mixed(grams) >> U64(42)).astype(np.int64)
+def _cells(grams, size: int):
+    return (mixed(grams) & U64(size - 1)).astype(np.int64)
 
 
 def bitmap(grams: np.ndarray) -> bytes:
@@ -92,32 +96,45 @@ def most_shared(a: bytes, m: int, b: bytes, n: int) -> int:
 
 
 def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """How many documents' sets fall in each cell; fixed size, merged on executors by parts."""
+    """How many documents' sets fall in each cell, as eighths of a binary logarithm: a byte a cell.
+
+    The number of cells follows the text's length between two fixed bounds;
+    tasks' sketches are merged on executors by parts, in 64 bits.
+    """
+    length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = min(MOST_CELLS, max(LEAST_CELLS, 1 << (length // 48).bit_length()))
+    parts = size // PART_CELLS
 
     def count(batches):
-        total = np.zeros(CELLS, dtype=np.uint32)
+        total = np.zeros(size, dtype=np.uint32)
         for batch in chunks(batches):
             for part in shingle_sets(batch, width):
-                np.add.at(total, _cells(part), 1) if len(part) < 50_000 else total.__iadd__(np.bincount(_cells(part), minlength=CELLS).astype(np.uint32))
-        parts = [zlib.compress(p.tobytes(), 1) for p in total.reshape(PARTS, -1)]
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "cells": pa.array(parts, pa.binary())})
+                np.add.at(total, _cells(part, size), 1)
+        packed = [zlib.compress(p.tobytes(), 1) for p in total.reshape(parts, -1)]
+        yield pa.RecordBatch.from_pydict({"part": pa.array(range(parts), pa.int32()), "cells": pa.array(packed, pa.binary())})
 
     def merge(batches):
         total = {}
         for batch in batches:
-            for r in batch.to_pylist():
-                x = np.frombuffer(zlib.decompress(r["cells"]), dtype=np.uint32)
-                total[r["part"]] = total[r["part"]] + x if r["part"] in total else x
+            for part, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(zlib.decompress(cells), dtype=np.uint32).astype(np.uint64)
+                total[part] = total[part] + x if part in total else x
+        levels = [np.minimum(np.rint(8 * np.log2(x + 1.0)), 255).astype(np.uint8).tobytes() for x in total.values()]
         if total:
-            yield pa.RecordBatch.from_pydict({"part": pa.array(list(total), pa.int32()), "cells": pa.array([x.tobytes() for x in total.values()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array(list(total), pa.int32()), "cells": pa.array(levels, pa.binary())})
 
-    merged = docs.select("text").mapInArrow(count, "part int, cells binary").repartitionById(PARTS, F.col("part")).mapInArrow(merge, "part int, cells binary")
-    out = np.zeros((PARTS, CELLS // PARTS), dtype=np.uint32)
+    merged = docs.select("text").mapInArrow(count, "part int, cells binary").repartitionById(parts, F.col("part")).mapInArrow(merge, "part int, cells binary")
+    out = np.zeros((parts, PART_CELLS), dtype=np.uint8)
     for r in merged.collect():
-        out[r["part"]] = np.frombuffer(r["cells"], dtype=np.uint32)
+        out[r["part"]] = np.frombuffer(r["cells"], dtype=np.uint8)
     return out.reshape(-1)
 
 
+def rare_first(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A set in the common order of all sets."""
+    return grams[np.lexsort((grams, counts[_cells(grams, len(counts))]))]
+
+
 def _sets(counts, width: int, percent: int):
     def described(batches):
         cells = counts.value
@@ -132,7 +149,7 @@ def _sets(counts, width: int, percent: int):
                     continue
                 f = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8")
                 size = n - (percent * n + 99) // 100 + 1
-                prefix = s[np.lexsort((s, cells[_cells(s)]))[:size]].tobytes()
+                prefix = rare_first(s, cells)[:size].tobytes()
                 cols["f1"].append(int(f[0]))
                 cols["f2"].append(int(f[1]))
                 cols["g"].append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(prefix, seed=n)))))
@@ -161,15 +178,19 @@ def plausible(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
     side = lambda k: bitmaps.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    met = skew_join(skew_join(pairs, side("a"), ["a"]), side("b"), ["b"], of=pairs).select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
     return met.mapInArrow(judge, "a long, b long")
 
 
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """``id, text`` of the rows with these ``id``; a bounded list of them saves an exchange of all texts."""
+    ids = cut(ids.distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi").select("id", "text")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (``a, b``: row ids) whose whole sets reach the threshold."""
-    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    # a bounded list of ids saves an exchange of all texts; a longer one is joined by exchange
-    texts = docs.join(F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed, "id", "left_semi").select("id", "text")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs)
 
     def sets(batches):
         for batch in chunks(batches):
@@ -179,52 +200,75 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["id", "grams"])
 
     held = texts.mapInArrow(sets, "id long, grams array<long>").dropDuplicates(["id"])
-    met = pairs.join(held.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
+    met = skew_join(pairs, held.select(F.col("id").alias("a"), F.col("grams").alias("x")), ["a"])
+    met = skew_join(met, held.select(F.col("id").alias("b"), F.col("grams").alias("y")), ["b"], of=pairs)
     met = met.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).cast("long").alias("k"))
     return met.filter(100 * F.col("k") >= percent * (F.col("m") + F.col("n") - F.col("k"))).select("a", "b")
 
 
-def size_class(n):
-    """Sizes below 256 are their own class; above, a class spans about 0.4 percent."""
-    return F.when(n < 256, n).otherwise(256 + F.floor(256 * F.log(F.greatest(n, F.lit(256)) / 256.0))).cast("int")
+def least_shared(n, percent: int):
+    """How many elements a set of ``n`` shares at least with any that it links with."""
+    return F.expr(f"({n} * {percent} + 99) div 100")
 
 
-def crossing_pairs(placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of different components that their prefix tokens don't exclude.
+def pairs_in_cells(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different components in one cell that sizes and places don't exclude.
 
-    ``placed``: ``_key, _pos`` (token, and how many of the set's tokens come
-    before it in the common order), ``id, n, comp``. At a pair's first shared
-    token the overlap is at most what is left of either set, so the partner's
-    size is at most ``top``; a pair that fails there fails at later tokens.
+    ``rows``: ``_key, _pos, _shared, id, n, comp``: at most ``_shared`` elements
+    and what follows ``_pos`` are shared with a partner in this cell.
+    """
+    most = "(_shared + n - _pos)"
+    top = F.least(F.expr(f"{most} * {100 + percent} div {percent} - n"), F.expr(f"n * 100 div {percent}"))
+    rows = rows.select("_key", "id", "n", "comp", top.alias("top")).filter(F.col("top") >= least_shared("n", percent))
+    other = rows.select("_key", *[F.col(k).alias(f"{k}2") for k in ("id", "n", "comp", "top")])
+    return skew_join(rows, other, ["_key"]).filter("id < id2 and comp <> comp2 and n2 <= top and n <= top2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
+
+
+def next_tokens(rows: DataFrame, docs: DataFrame, counts, width: int) -> DataFrame:
+    """Every row of a cell once for each token after ``_pos`` up to ``_last``, in the cell of both."""
+    held = rows.groupBy("id", "n", "comp").agg(F.collect_list(F.struct("_key", "_pos", "_shared", "_last", "_least")).alias("at"))
+    texts = texts_of(rows.select("id"), docs).dropDuplicates(["id"])
+
+    def expand(batches):
+        cells = counts.value
+        for batch in chunks(batches):
+            out = {k: [] for k in ("_key", "_pos", "_shared", "id", "n", "comp", "_last", "_least")}
+            for grams, id_, n, comp, at in zip(shingle_sets(batch.select(["text"]), width), *(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
+                order = rare_first(grams, cells)
+                for r in at:
+                    pos = np.arange(r["_pos"] + 1, min(r["_last"], n - 1) + 1)
+                    with np.errstate(over="ignore"):
+                        out["_key"].append(mixed(np.array([r["_key"]], dtype=np.int64).view(U64) * U64(0x9E3779B97F4A7C15) + order[pos]).view(np.int64))
+                    out["_pos"].append(pos.astype(np.int32))
+                    for k, x in (("_shared", r["_shared"] + 1), ("id", id_), ("n", n), ("comp", comp), ("_last", r["_last"] + 1), ("_least", r["_least"])):
+                        out[k].append(np.full(len(pos), x, dtype=np.int64))
+            if out["id"]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out.values()], names=list(out))
+
+    return texts.join(held, "id").select("text", "id", "n", "comp", "at").mapInArrow(expand, "_key long, _pos int, _shared long, id long, n long, comp long, _last long, _least long")
+
+
+def crossing_pairs(placed: DataFrame, docs: DataFrame, counts, width: int, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different components that may reach the threshold.
+
+    ``placed``: ``_key, _pos, _shared, id, n, comp, _last, _least``: a set's
+    tokens with their places in the common order, how many shared elements may
+    come before, the place up to which the next shared element must come, and
+    how many elements it shares at least with any partner. A cell of more than
+    ``CELL`` sets is dealt again by next tokens; sets whose partners may share
+    no more than what the cell stands for meet in it all the same.
     """
-    several = placed.groupBy("_key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("_key")
-    rows = placed.join(several, "_key")
-    rows = rows.withColumn("top", F.least(F.expr(f"(n - _pos) * {100 + percent} div {percent} - n"), F.expr(f"n * 100 div {percent}"))).withColumn("low", F.expr(f"(n * {percent} + 99) div 100")).filter("top >= low")
-    rows = cut(rows.withColumns({"c": size_class(F.col("n")), "c_top": size_class(F.col("top")), "c_low": size_class(F.col("low"))}))
-    # at most some 75 classes of one token admit each other, however many sets share it
-    sizes = rows.groupBy("_key", "c").agg(F.max("c_top").alias("c_top"), F.min("c_low").alias("c_low"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-    two = sizes.select("_key", *[F.col(k).alias(f"{k}2") for k in ("c", "c_top", "c_low", "x", "y")])
-    met = sizes.join(two, "_key").filter("c <= c2 and c2 <= c_top and c <= c_top2 and c2 >= c_low and c >= c_low2 and least(x, x2) < greatest(y, y2)").select("_key", "c", "c2")
-    one = rows.join(met, ["_key", "c"]).filter("c_low <= c2 and c2 <= c_top").select("_key", "c", "c2", "id", "n", "_pos", "comp", "top")
-    other = rows.withColumnRenamed("c", "c2").join(met, ["_key", "c2"]).filter("c_low <= c and c <= c_top").select("_key", "c", "c2", *[F.col(k).alias(f"{k}2") for k in ("id", "n", "_pos", "comp", "top")])
-    both = one.select("_key", "c", "c2", "comp").unionByName(other.select("_key", "c", "c2", F.col("comp2").alias("comp")))
-    live = both.groupBy("_key", "c", "c2").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("_key", "c", "c2")
-    found = one.join(live, ["_key", "c", "c2"]).join(other, ["_key", "c", "c2"]).filter("comp <> comp2 and n2 <= top and n <= top2 and (c < c2 or id < id2)")
-    swap = lambda k: F.when(F.col("id") < F.col("id2"), F.struct(k, f"{k}2")).otherwise(F.struct(F.col(f"{k}2").alias(k), F.col(k).alias(f"{k}2")))
-    found = found.select(*[swap(k).alias(f"s{k}") for k in ("id", "n", "_pos")]).select("sid.*", "sn.*", "s_pos.*")
-    # after the last token that met, both sets may share all that is left
-    counted = found.groupBy("id", "id2").agg(F.first("n").alias("n"), F.first("n2").alias("n2"), F.count("*").alias("k"), F.max("_pos").alias("p"), F.max("_pos2").alias("p2"))
-    kept = counted.filter(F.expr(f"(k + least(n - 1 - p, n2 - 1 - p2)) * {100 + percent} >= {percent} * (n + n2)"))
-    return kept.select(F.col("id").alias("a"), F.col("id2").alias("b"))
-
-
-def group_pairs_left(crowded: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of members of one group (``g, id``) that are in different components."""
-    held = crowded.select("g", "id").join(comps, "id", "left").select("g", "id", F.coalesce("comp", "id").alias("comp"))
-    split = held.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("g")
-    rows = cut(held.join(split, "g"))
-    other = rows.select("g", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-    return rows.join(other, "g").filter("id < id2 and comp <> comp2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    found = None
+    for step in range(STEPS + 1):
+        cells = cut(placed.groupBy("_key").agg(F.count("*").alias("_m"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("_key", "_m"))
+        rows = cut(skew_join(placed, cells, ["_key"]))
+        last = step == STEPS or not rows.filter(F.col("_m") > CELL).limit(1).count()
+        here = rows if last else rows.filter((F.col("_m") <= CELL) | (F.col("_least") < F.col("_shared") + 2))
+        pairs = pairs_in_cells(here, percent)
+        found = pairs if found is None else found.unionByName(pairs)
+        if last:
+            return found.distinct()
+        placed = cut(next_tokens(rows.filter(F.col("_m") > CELL), docs, counts, width))
 
 
 def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -246,8 +290,7 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     classes = cut(full.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "id", "n", "g", "bits")).alias("r")).select("f1", "f2", F.col("r.doc_id").alias("first_doc"), "r.id", "r.n", "r.g", "r.bits"))
     bitmaps = classes.select("id", "n", "bits")
     members = classes.select("g", "id", "n")
-    leaders = classes.groupBy("g").agg(F.min("id").alias("leader"), F.count("*").alias("m"))
-    crowded = cut(members.join(leaders.filter("m > 1"), "g").select("g", "id", "leader"))
+    leaders = cut(classes.groupBy("g").agg(F.min("id").alias("leader"), F.count("*").alias("m")))
 
     # groups by prefix token, only tokens that two groups share
     groups = full.select("g", "n", "prefix").dropDuplicates(["g"]).select(F.col("g").alias("_a"), F.col("n").alias("_b"), "prefix")
@@ -257,16 +300,28 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     heads = heads.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
     close = F.col("h._b") * 100 >= percent * F.col("_b")
     close &= F.col("_b") * 100 >= percent * F.col("h._b")
-    group_pairs = banded.join(heads, ["_key", "band"]).filter((F.col("_a") != F.col("h._a")) & close).select("_a", F.col("h._a").alias("_h")).distinct()
+    group_pairs = cut(skew_join(banded, heads, ["_key", "band"]).filter((F.col("_a") != F.col("h._a")) & close).select("_a", F.col("h._a").alias("_h")).distinct())
 
-    outside = group_pairs.join(members.select(F.col("g").alias("_a"), F.col("id").alias("a")), "_a").join(leaders.select(F.col("g").alias("_h"), F.col("leader").alias("b")), "_h").select("a", "b")
-    inside = crowded.filter("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
-    links = cut(verified(cut(plausible(outside.unionByName(inside), bitmaps, percent)), docs, width, percent))
+    outside = skew_join(members.select(F.col("g").alias("_a"), F.col("id").alias("a")), group_pairs, ["_a"])
+    outside = skew_join(outside, leaders.select(F.col("g").alias("_h"), F.col("leader").alias("b")), ["_h"], of=group_pairs).select("a", "b")
+    inside = skew_join(members.select("g", F.col("id").alias("a")), leaders.filter("m > 1").select("g", F.col("leader").alias("b")), ["g"]).filter("a <> b").select("a", "b")
+    links = cut(verified(cut(plausible(cut(outside.unionByName(inside)), bitmaps, percent)), docs, width, percent))
     comps = connected_components(links)
 
-    placed = index.select("_key", "_pos", F.col("_a").alias("g")).join(members, "g").join(comps, "id", "left").select("_key", "_pos", "id", "n", F.coalesce("comp", "id").alias("comp"))
-    pairs = crossing_pairs(placed, percent).unionByName(group_pairs_left(crowded, comps)).distinct()
-    links = links.unionByName(verified(cut(plausible(pairs, bitmaps, percent)), docs, width, percent))
+    # cells and groups that hold sets of different components
+    held = cut(members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    of_group = cut(held.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")))
+    mixed_cells = index.select("_key", F.col("_a").alias("g")).join(of_group, "g").groupBy("_key").agg(F.min("x").alias("x"), F.max("y").alias("y")).filter("x < y").select("_key")
+    crossing = skew_join(index.select("_key", "_pos", F.col("_a").alias("g")), mixed_cells, ["_key"], "left_semi")
+    least = least_shared("n", percent)
+    rows = lambda key, pos, shared, last, least: [F.col(key).alias("_key"), F.expr(pos).cast("int").alias("_pos"), F.expr(shared).cast("long").alias("_shared"), "id", "n", "comp", last.cast("long").alias("_last"), least.cast("long").alias("_least")]
+    placed = cut(skew_join(held, crossing, ["g"]).select(*rows("_key", "_pos", "0", F.col("n") - least + 1, least)))
+    # members of a group have one size, n, and share the first n - least + 1 tokens and at least `same` in all
+    same = F.expr(f"(2 * n * {percent} + {99 + percent}) div {100 + percent}")
+    split = cut(skew_join(held, of_group.filter("x < y").select("g"), ["g"]).select(*rows("g", "0", "0", F.lit(0), same), (F.col("n") - least).cast("int").alias("_p")))
+    grouped = next_tokens(split.select("_key", F.col("_p").alias("_pos"), F.col("_p").cast("long").alias("_shared"), "id", "n", "comp", (F.col("_p") + 1 + F.col("n") - F.col("_least")).alias("_last"), "_least"), docs, counts, width)
+    pairs = crossing_pairs(placed.unionByName(grouped), docs, counts, width, percent)
+    links = links.unionByName(verified(cut(plausible(cut(pairs), bitmaps, percent)), docs, width, percent))
     comps = connected_components(links)
 
     labelled = classes.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))

@@ -159,21 +159,40 @@ def test_links_inside_a_prefix_group(spark):
     assert got == Counter(ngram_join.brute_force(rows, width=1))
 
 
-def test_exact_pairs_without_first_links(spark):
-    """The last phase alone finds every link: no pair that reaches the threshold is pruned."""
+@pytest.mark.parametrize("cell", [ngram_join.CELL, 1])
+def test_exact_pairs_without_first_links(spark, monkeypatch, cell):
+    """The last phase alone finds every link, in crowded cells that are dealt again, too."""
+    monkeypatch.setattr(ngram_join, "CELL", cell)
     rnd = random.Random(10)
-    sets = []
-    for _ in range(12):
-        base = [rnd.randrange(2**62) for _ in range(rnd.randrange(20, 90))]
+    texts = []
+    for f in range(14):
+        base = [f"w{f}x{rnd.randrange(10**6)}" for _ in range([3, 4, 5, 6][f] if f < 4 else rnd.randrange(20, 90))]
         for _ in range(5):
-            s = [x if rnd.random() > 0.06 else rnd.randrange(2**62) for x in base]
-            sets.append(set(s[: len(s) - rnd.randrange(6)]))
-    counts = Counter(x for s in sets for x in s)
-    placed = [(x, p, i, len(s), i) for i, s in enumerate(sets) for p, x in enumerate(sorted(s, key=lambda x: (counts[x], x))[: len(s) - (75 * len(s) + 99) // 100 + 1])]
-    df = spark.createDataFrame(placed, "_key long, _pos int, id long, n long, comp long")
-    got = {(r["a"], r["b"]) for r in ngram_join.crossing_pairs(df, 75).collect()}
-    want = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
-    assert want and want <= got and len(got) < 3 * len(want)
+            s = [x if rnd.random() > 0.06 else f"e{rnd.randrange(10**6)}" for x in base]
+            texts.append(" ".join(dict.fromkeys(s[: len(s) - rnd.randrange(6 if f > 3 else 2)])))
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, id long").repartition(3)
+    counts = ngram_join.shingle_counts(docs, 1)
+    held = spark.sparkContext.broadcast(counts)
+    sets = ngram_join.shingle_sets(pa.RecordBatch.from_pydict({"text": texts}), 1)
+    placed = []
+    for i, s in enumerate(sets):
+        n, least = len(s), (75 * len(s) + 99) // 100
+        placed += [(int(x), p, 0, i, n, i, n - least + 1, least) for p, x in enumerate(ngram_join.rare_first(s, counts).view(np.int64)[: n - least + 1])]
+    df = spark.createDataFrame(placed, "_key long, _pos int, _shared long, id long, n long, comp long, _last long, _least long")
+    got = {(r["a"], r["b"]) for r in ngram_join.crossing_pairs(df, docs, held, 1, 75).collect()}
+    as_sets = [set(s.tolist()) for s in sets]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(as_sets[i] & as_sets[j]) >= 75 * len(as_sets[i] | as_sets[j])}
+    assert len(want) > 20 and want <= got
+
+
+def test_one_shingle_in_many_sets(spark, monkeypatch):
+    """Thousands of unlinked sets that share shingles: their cell is dealt again, and few pairs come out of it."""
+    rnd = random.Random(21)
+    common = [f"c{i}" for i in range(40)]
+    rows = [(i, " ".join([*rnd.sample(common, 34), f"own{i}"])) for i in range(1500)] + [(5000 + i, "same few words") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(df).collect())
+    assert got[1, 5000] == 3000 and sum(n for (k, _), n in got.items() if k == 31) == 1500
 
 
 def test_bitmaps_never_exclude():
@@ -349,6 +368,25 @@ def test_top_k(spark):
     assert topk.exact_top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_resolves_candidates_only(spark):
+    """The cutoff keeps most entries from being resolved."""
+    touched = spark.sparkContext.accumulator(0)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    found = topk.exact_top_k(df, df.filter("vec_id % 50 = 0"), touched=touched)
+    assert found.count() == 200
+    assert 0 < touched.value < 0.06 * 40 * df.count()
+
+
+def test_top_k_of_large_numbers(spark):
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(3).integers(-(2**20), 2**20, (60, 4)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.exact_top_k(df, df).collect()}
+    for q, v in rows:
+        order = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(v, x)), i) for i, x in rows if i != q)
+        for k in range(5):
+            assert got[q, k + 1] == (order[k][1], -order[k][0])
+
+
 def test_top_k_in_blocks(spark, monkeypatch):
     want = sorted(map(tuple, topk.op10(spark, DATA).collect()))
     monkeypatch.setattr(topk, "BLOCK_VALUES", 200)
