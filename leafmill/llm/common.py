@@ -42,6 +42,8 @@ def partitions(spark: SparkSession) -> int:
 
 #: A key counts as hot if it holds more than one part in this many of all rows; at most so many keys can.
 HOT_PARTS = 1000
+#: Fewer rows than this are joined in one task each key whatever their keys: some megabytes.
+FEW_ROWS = 200_000
 #: Rows of a side that may be broadcast, and their bytes.
 SMALL_ROWS, SMALL_BYTES = 200_000, 16 << 20
 
@@ -56,16 +58,17 @@ def hot_keys(df: DataFrame, key, parts: int = HOT_PARTS) -> list[tuple[int, int]
     return [(r["item"], int(min(4 * parts, -(-r["count"] * parts // total)))) for r in found or [] if r["item"] is not None and r["count"] * parts > total]
 
 
-def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", of: DataFrame | None = None) -> DataFrame:
+def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", of: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """``big`` joined with ``small`` (few rows per key) on ``keys``, hot keys dealt to many tasks.
 
     Rows of a hot key are dealt into pieces of at most one part in
     ``HOT_PARTS`` of all rows, and the small side's rows of that key go to
     every piece. ``how`` is inner, left, left_semi or left_anti; null keys
-    meet nothing. Hot keys are looked for in ``of`` where ``big`` is costly.
+    meet nothing. Hot keys are looked for in ``of`` where ``big`` is costly,
+    and not at all if ``rows``, the size of ``big`` where it is known, is small.
     """
     key = F.xxhash64(*keys)
-    hot = hot_keys(big if of is None else of, key)
+    hot = hot_keys(big if of is None else of, key) if rows is None or rows > FEW_ROWS else []
     if not hot:
         return big.join(small, keys, how)
     listed = F.broadcast(big.sparkSession.createDataFrame(hot, "_skew_h long, _skew_pieces int"))

@@ -42,7 +42,7 @@ from .shared import shared_places
 
 WIDTH, PERCENT = 5, 75
 #: Least and most cells of the counting sketch (one byte each where it is broadcast) and the cells of one of its parts.
-LEAST_CELLS, MOST_CELLS, PART_CELLS = 1 << 20, 1 << 25, 1 << 16
+LEAST_CELLS, MOST_CELLS, PART_CELLS = 1 << 20, 1 << 23, 1 << 16
 #: Longest list of ids that is broadcast: 8 MB.
 BROADCAST_IDS = 1_000_000
 #: A cell of more sets than this is dealt again by its sets' next tokens, at most so many times.
@@ -102,7 +102,7 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
     tasks' sketches are merged on executors by parts, in 64 bits.
     """
     length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    size = min(MOST_CELLS, max(LEAST_CELLS, 1 << (length // 48).bit_length()))
+    size = min(MOST_CELLS, max(LEAST_CELLS, 1 << (length // 128).bit_length()))
     parts = size // PART_CELLS
 
     def count(batches):
@@ -178,7 +178,8 @@ def plausible(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
     side = lambda k: bitmaps.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
-    met = skew_join(skew_join(pairs, side("a"), ["a"]), side("b"), ["b"], of=pairs).select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    n = pairs.count()
+    met = skew_join(skew_join(pairs, side("a"), ["a"], rows=n), side("b"), ["b"], of=pairs, rows=n).select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
     return met.mapInArrow(judge, "a long, b long")
 
 
@@ -200,8 +201,9 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["id", "grams"])
 
     held = texts.mapInArrow(sets, "id long, grams array<long>").dropDuplicates(["id"])
-    met = skew_join(pairs, held.select(F.col("id").alias("a"), F.col("grams").alias("x")), ["a"])
-    met = skew_join(met, held.select(F.col("id").alias("b"), F.col("grams").alias("y")), ["b"], of=pairs)
+    n = pairs.count()
+    met = skew_join(pairs, held.select(F.col("id").alias("a"), F.col("grams").alias("x")), ["a"], rows=n)
+    met = skew_join(met, held.select(F.col("id").alias("b"), F.col("grams").alias("y")), ["b"], of=pairs, rows=n)
     met = met.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).cast("long").alias("k"))
     return met.filter(100 * F.col("k") >= percent * (F.col("m") + F.col("n") - F.col("k"))).select("a", "b")
 
@@ -211,17 +213,18 @@ def least_shared(n, percent: int):
     return F.expr(f"({n} * {percent} + 99) div 100")
 
 
-def pairs_in_cells(rows: DataFrame, percent: int) -> DataFrame:
+def pairs_in_cells(rows: DataFrame, percent: int, of: DataFrame, n: int) -> DataFrame:
     """Pairs ``a, b`` of different components in one cell that sizes and places don't exclude.
 
     ``rows``: ``_key, _pos, _shared, id, n, comp``: at most ``_shared`` elements
-    and what follows ``_pos`` are shared with a partner in this cell.
+    and what follows ``_pos`` are shared with a partner in this cell. They are
+    part of ``of``, which has ``n`` rows.
     """
     most = "(_shared + n - _pos)"
     top = F.least(F.expr(f"{most} * {100 + percent} div {percent} - n"), F.expr(f"n * 100 div {percent}"))
     rows = rows.select("_key", "id", "n", "comp", top.alias("top")).filter(F.col("top") >= least_shared("n", percent))
     other = rows.select("_key", *[F.col(k).alias(f"{k}2") for k in ("id", "n", "comp", "top")])
-    return skew_join(rows, other, ["_key"]).filter("id < id2 and comp <> comp2 and n2 <= top and n <= top2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    return skew_join(rows, other, ["_key"], of=of, rows=n).filter("id < id2 and comp <> comp2 and n2 <= top and n <= top2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
 
 
 def next_tokens(rows: DataFrame, docs: DataFrame, counts, width: int) -> DataFrame:
@@ -262,9 +265,10 @@ def crossing_pairs(placed: DataFrame, docs: DataFrame, counts, width: int, perce
     for step in range(STEPS + 1):
         cells = cut(placed.groupBy("_key").agg(F.count("*").alias("_m"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("_key", "_m"))
         rows = cut(skew_join(placed, cells, ["_key"]))
-        last = step == STEPS or not rows.filter(F.col("_m") > CELL).limit(1).count()
+        n, crowded = rows.agg(F.count("*"), F.count_if(F.col("_m") > CELL)).first()
+        last = step == STEPS or not crowded
         here = rows if last else rows.filter((F.col("_m") <= CELL) | (F.col("_least") < F.col("_shared") + 2))
-        pairs = pairs_in_cells(here, percent)
+        pairs = pairs_in_cells(here, percent, rows, n)
         found = pairs if found is None else found.unionByName(pairs)
         if last:
             return found.distinct()
