@@ -12,15 +12,17 @@
    group with the fewest rarer shingles before the token, which of many edited
    copies is the original. Pairs are expanded to member classes and verified
    on whole sets, after bitmaps have excluded what cannot reach the threshold.
-5. Rest: members of one component need no more pairs. Only tokens (cells)
-   that hold sets of different components are kept. What stands before a token
-   in a set's order limits the sizes of its partners. A cell of few sets gives
-   its pairs; in a larger one every set is dealt again, to cells of this token
-   and each of its next ones within reach, since sets that link share more than
-   one token. Inside a group, whose members share the whole prefix, members of
-   different components meet in the same way, in cells of the tokens after it.
-   Two such steps are made; what is still crowded then meets in full.
-   Bitmaps exclude pairs before whole sets are compared.
+5. Rest: members of one component need no more pairs. Only tokens that hold
+   sets of different components are kept. What stands before a token in a set's
+   order limits the sizes of its partners. Within a token, size classes that
+   admit each other and hold different components are found first, then only
+   their sets meet; these pairs are filtered by the bound that all shared prefix
+   tokens give, by bitmaps, and verified. Where two crowded classes would meet,
+   their sets are dealt again, to cells of this token and each of their next
+   ones within reach, since sets that link share more than one token; two such
+   steps are made before a cell meets in full. Inside a group, whose members
+   share the whole prefix, members of different components meet in the same
+   way, in cells of the tokens after it.
 
 So each link between different components is either found or excluded by a
 bound, and the classes are exact.
@@ -45,8 +47,8 @@ WIDTH, PERCENT = 5, 75
 LEAST_CELLS, MOST_CELLS, PART_CELLS = 1 << 20, 1 << 23, 1 << 16
 #: Longest list of ids that is broadcast: 8 MB.
 BROADCAST_IDS = 1_000_000
-#: A cell of more sets than this is dealt again by its sets' next tokens, at most so many times.
-CELL, STEPS = 64, 2
+#: Where more sets than this would meet as many, they are dealt again by their next tokens, at most so many times.
+CELL, STEPS = 128, 2
 
 
 def shingle_sets(batch, width: int):
@@ -213,66 +215,93 @@ def least_shared(n, percent: int):
     return F.expr(f"({n} * {percent} + 99) div 100")
 
 
-def pairs_in_cells(rows: DataFrame, percent: int, of: DataFrame, n: int) -> DataFrame:
-    """Pairs ``a, b`` of different components in one cell that sizes and places don't exclude.
+def size_class(n):
+    """Sizes below 256 are their own class; above, a class spans about 0.4 percent."""
+    return F.when(n < 256, n).otherwise(256 + F.floor(256 * F.log(F.greatest(n, F.lit(256)) / 256.0))).cast("int")
 
-    ``rows``: ``_key, _pos, _shared, id, n, comp``: at most ``_shared`` elements
-    and what follows ``_pos`` are shared with a partner in this cell. They are
-    part of ``of``, which has ``n`` rows.
-    """
-    most = "(_shared + n - _pos)"
-    top = F.least(F.expr(f"{most} * {100 + percent} div {percent} - n"), F.expr(f"n * 100 div {percent}"))
-    rows = rows.select("_key", "id", "n", "comp", top.alias("top")).filter(F.col("top") >= least_shared("n", percent))
-    other = rows.select("_key", *[F.col(k).alias(f"{k}2") for k in ("id", "n", "comp", "top")])
-    return skew_join(rows, other, ["_key"], of=of, rows=n).filter("id < id2 and comp <> comp2 and n2 <= top and n <= top2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
+
+#: A set's place in a cell: ``_pos`` is its token's place less the shared elements counted before it, ``_at`` the place itself.
+PLACED = ("_key", "_pos", "_at", "id", "n", "comp", "grp", "_last", "_least")
 
 
 def next_tokens(rows: DataFrame, docs: DataFrame, counts, width: int) -> DataFrame:
-    """Every row of a cell once for each token after ``_pos`` up to ``_last``, in the cell of both."""
-    held = rows.groupBy("id", "n", "comp").agg(F.collect_list(F.struct("_key", "_pos", "_shared", "_last", "_least")).alias("at"))
+    """Every placed set once for each token after ``_at`` up to ``_last``, in the cell of both tokens."""
+    held = rows.groupBy("id", "n", "comp", "grp").agg(F.collect_set(F.struct("_key", "_pos", "_at", "_last", "_least")).alias("at"))
     texts = texts_of(rows.select("id"), docs).dropDuplicates(["id"])
 
     def expand(batches):
         cells = counts.value
         for batch in chunks(batches):
-            out = {k: [] for k in ("_key", "_pos", "_shared", "id", "n", "comp", "_last", "_least")}
-            for grams, id_, n, comp, at in zip(shingle_sets(batch.select(["text"]), width), *(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
+            out = {k: [] for k in PLACED}
+            for grams, id_, n, comp, grp, at in zip(shingle_sets(batch.select(["text"]), width), *(batch.column(i).to_pylist() for i in (1, 2, 3, 4, 5))):
                 order = rare_first(grams, cells)
                 for r in at:
-                    pos = np.arange(r["_pos"] + 1, min(r["_last"], n - 1) + 1)
+                    pos = np.arange(r["_at"] + 1, min(r["_last"], n - 1) + 1)
                     with np.errstate(over="ignore"):
                         out["_key"].append(mixed(np.array([r["_key"]], dtype=np.int64).view(U64) * U64(0x9E3779B97F4A7C15) + order[pos]).view(np.int64))
-                    out["_pos"].append(pos.astype(np.int32))
-                    for k, x in (("_shared", r["_shared"] + 1), ("id", id_), ("n", n), ("comp", comp), ("_last", r["_last"] + 1), ("_least", r["_least"])):
+                    out["_at"].append(pos)
+                    # one more element is shared before the new place
+                    out["_pos"].append(pos - (r["_at"] - r["_pos"] + 1))
+                    for k, x in (("id", id_), ("n", n), ("comp", comp), ("grp", grp), ("_last", r["_last"] + 1), ("_least", r["_least"])):
                         out[k].append(np.full(len(pos), x, dtype=np.int64))
             if out["id"]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out.values()], names=list(out))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out.values()], names=list(out))
 
-    return texts.join(held, "id").select("text", "id", "n", "comp", "at").mapInArrow(expand, "_key long, _pos int, _shared long, id long, n long, comp long, _last long, _least long")
+    return texts.join(held, "id").select("text", "id", "n", "comp", "grp", "at").mapInArrow(expand, ", ".join(f"{k} long" for k in PLACED))
 
 
-def crossing_pairs(placed: DataFrame, docs: DataFrame, counts, width: int, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of different components that may reach the threshold.
+def crossing_pairs(placed: DataFrame, docs: DataFrame, counts, width: int, percent: int, steps: int = STEPS) -> DataFrame:
+    """Pairs ``a, b`` of different components and groups that may reach the threshold.
 
-    ``placed``: ``_key, _pos, _shared, id, n, comp, _last, _least``: a set's
-    tokens with their places in the common order, how many shared elements may
-    come before, the place up to which the next shared element must come, and
-    how many elements it shares at least with any partner. A cell of more than
-    ``CELL`` sets is dealt again by next tokens; sets whose partners may share
-    no more than what the cell stands for meet in it all the same.
+    ``placed`` has the columns ``PLACED``: sets in the cells of their tokens;
+    the next shared element must come at ``_last`` or before, and a set shares
+    at least ``_least`` elements with any partner. At a pair's first shared
+    token the overlap is at most what is left of either set, so the partner's
+    size is at most ``top``; a pair that fails there fails at later tokens.
+    Within a token, classes of sizes that admit each other and hold different
+    components are found first, then only their sets meet. Where more than
+    ``CELL`` sets of both classes would meet, they are dealt again by their next
+    tokens; sets that may share no more than the cell stands for stay.
     """
-    found = None
-    for step in range(STEPS + 1):
-        cells = cut(placed.groupBy("_key").agg(F.count("*").alias("_m"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("_key", "_m"))
-        rows = cut(skew_join(placed, cells, ["_key"]))
-        n, crowded = rows.agg(F.count("*"), F.count_if(F.col("_m") > CELL)).first()
-        last = step == STEPS or not crowded
-        here = rows if last else rows.filter((F.col("_m") <= CELL) | (F.col("_least") < F.col("_shared") + 2))
-        pairs = pairs_in_cells(here, percent, rows, n)
-        found = pairs if found is None else found.unionByName(pairs)
-        if last:
-            return found.distinct()
-        placed = cut(next_tokens(rows.filter(F.col("_m") > CELL), docs, counts, width))
+    several = placed.groupBy("_key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("_key")
+    rows = skew_join(placed, several, ["_key"])
+    rows = rows.withColumn("top", F.least(F.expr(f"(n - _pos) * {100 + percent} div {percent} - n"), F.expr(f"n * 100 div {percent}"))).withColumn("low", least_shared("n", percent)).filter("top >= low")
+    rows = cut(rows.withColumns({"c": size_class(F.col("n")), "c_top": size_class(F.col("top")), "c_low": size_class(F.col("low"))}).drop("low"))
+    # at most some 75 classes of one token admit each other, however many sets share it
+    sizes = rows.groupBy("_key", "c").agg(F.max("c_top").alias("c_top"), F.min("c_low").alias("c_low"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    two = sizes.select("_key", *[F.col(k).alias(f"{k}2") for k in ("c", "c_top", "c_low", "x", "y")])
+    met = cut(sizes.join(two, "_key").filter("c <= c2 and c2 <= c_top and c <= c_top2 and c2 >= c_low and c >= c_low2 and least(x, x2) < greatest(y, y2)").select("_key", "c", "c2"))
+    if not met.limit(1).count():
+        return docs.sparkSession.createDataFrame([], "a long, b long")
+    n = rows.count()
+    one = skew_join(rows, met, ["_key", "c"], rows=n).filter("c_low <= c2 and c2 <= c_top").withColumn("_side", F.lit(1))
+    other = skew_join(rows.withColumnRenamed("c", "c2"), met, ["_key", "c2"], rows=n).filter("c_low <= c and c <= c_top").withColumn("_side", F.lit(2))
+    both = one.unionByName(other).drop("c_low", "c_top")
+    cell = ["_key", "c", "c2"]
+    live = both.groupBy(*cell).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count_if(F.col("_side") == 1).alias("m1"), F.count_if(F.col("_side") == 2).alias("m2")).filter("x < y")
+    live = live.select(*cell, (F.least("m1", "m2") > CELL).alias("_crowded") if steps else F.lit(False).alias("_crowded"))
+    both = cut(skew_join(both, live, cell, rows=n))
+    n, crowded = both.agg(F.count("*"), F.count_if("_crowded")).first()
+    shared = F.col("_at") - F.col("_pos")
+    here = both.filter(~F.col("_crowded") | (F.col("_least") < shared + 2)) if crowded else both
+
+    left = here.filter("_side = 1").select(*cell, "id", "n", "_pos", "comp", "grp", "top")
+    right = here.filter("_side = 2").select(*cell, *[F.col(k).alias(f"{k}2") for k in ("id", "n", "_pos", "comp", "grp", "top")])
+    found = skew_join(left, right, cell, rows=n).filter("comp <> comp2 and grp <> grp2 and n2 <= top and n <= top2 and (c < c2 or id < id2)")
+    swap = lambda k: F.when(F.col("id") < F.col("id2"), F.struct(k, f"{k}2")).otherwise(F.struct(F.col(f"{k}2").alias(k), F.col(k).alias(f"{k}2")))
+    found = found.select(*[swap(k).alias(f"s{k}") for k in ("id", "n", "_pos")]).select("sid.*", "sn.*", "s_pos.*")
+    # after the last token that met, both sets may share all that is left
+    counted = found.groupBy("id", "id2").agg(F.first("n").alias("n"), F.first("n2").alias("n2"), F.count("*").alias("k"), F.max("_pos").alias("p"), F.max("_pos2").alias("p2"))
+    if crowded:
+        # cells that are dealt again count for a pair as if it met in all of them
+        again = both.filter("_crowded").groupBy("id").agg(F.count_distinct("_key").alias("_r"))
+        counted = counted.join(again, "id", "left").withColumn("k", F.col("k") + F.coalesce("_r", F.lit(0))).drop("_r")
+    kept = counted.filter(F.expr(f"(k + least(n - 1 - p, n2 - 1 - p2)) * {100 + percent} >= {percent} * (n + n2)"))
+    pairs = kept.select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    if not crowded:
+        return pairs
+    dealt = cut(next_tokens(both.filter("_crowded").select(*PLACED).distinct(), docs, counts, width))
+    return pairs.unionByName(crossing_pairs(dealt, docs, counts, width, percent, steps - 1)).distinct()
 
 
 def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -318,13 +347,14 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     mixed_cells = index.select("_key", F.col("_a").alias("g")).join(of_group, "g").groupBy("_key").agg(F.min("x").alias("x"), F.max("y").alias("y")).filter("x < y").select("_key")
     crossing = skew_join(index.select("_key", "_pos", F.col("_a").alias("g")), mixed_cells, ["_key"], "left_semi")
     least = least_shared("n", percent)
-    rows = lambda key, pos, shared, last, least: [F.col(key).alias("_key"), F.expr(pos).cast("int").alias("_pos"), F.expr(shared).cast("long").alias("_shared"), "id", "n", "comp", last.cast("long").alias("_last"), least.cast("long").alias("_least")]
-    placed = cut(skew_join(held, crossing, ["g"]).select(*rows("_key", "_pos", "0", F.col("n") - least + 1, least)))
+    place = lambda key, pos, at, grp, last, least: [F.col(key).alias("_key"), *[x.cast("long").alias(k) for k, x in (("_pos", pos), ("_at", at), ("id", F.col("id")), ("n", F.col("n")), ("comp", F.col("comp")), ("grp", F.col(grp)), ("_last", last), ("_least", least))]]
+    placed = skew_join(held, crossing, ["g"]).select(*place("_key", F.col("_pos"), F.col("_pos"), "g", F.col("n") - least + 1, least))
+    pairs = crossing_pairs(cut(placed), docs, counts, width, percent)
     # members of a group have one size, n, and share the first n - least + 1 tokens and at least `same` in all
     same = F.expr(f"(2 * n * {percent} + {99 + percent}) div {100 + percent}")
-    split = cut(skew_join(held, of_group.filter("x < y").select("g"), ["g"]).select(*rows("g", "0", "0", F.lit(0), same), (F.col("n") - least).cast("int").alias("_p")))
-    grouped = next_tokens(split.select("_key", F.col("_p").alias("_pos"), F.col("_p").cast("long").alias("_shared"), "id", "n", "comp", (F.col("_p") + 1 + F.col("n") - F.col("_least")).alias("_last"), "_least"), docs, counts, width)
-    pairs = crossing_pairs(placed.unionByName(grouped), docs, counts, width, percent)
+    split = cut(skew_join(held, of_group.filter("x < y").select("g"), ["g"]).select(*place("g", F.lit(0), F.col("n") - least, "id", 2 * F.col("n") - least + 1 - same, same)))
+    if split.limit(1).count():
+        pairs = pairs.unionByName(crossing_pairs(cut(next_tokens(split, docs, counts, width)), docs, counts, width, percent)).distinct()
     links = links.unionByName(verified(cut(plausible(cut(pairs), bitmaps, percent)), docs, width, percent))
     comps = connected_components(links)
 

@@ -159,7 +159,7 @@ def test_links_inside_a_prefix_group(spark):
     assert got == Counter(ngram_join.brute_force(rows, width=1))
 
 
-@pytest.mark.parametrize("cell", [ngram_join.CELL, 1])
+@pytest.mark.parametrize("cell", [ngram_join.CELL, 0])
 def test_exact_pairs_without_first_links(spark, monkeypatch, cell):
     """The last phase alone finds every link, in crowded cells that are dealt again, too."""
     monkeypatch.setattr(ngram_join, "CELL", cell)
@@ -177,8 +177,8 @@ def test_exact_pairs_without_first_links(spark, monkeypatch, cell):
     placed = []
     for i, s in enumerate(sets):
         n, least = len(s), (75 * len(s) + 99) // 100
-        placed += [(int(x), p, 0, i, n, i, n - least + 1, least) for p, x in enumerate(ngram_join.rare_first(s, counts).view(np.int64)[: n - least + 1])]
-    df = spark.createDataFrame(placed, "_key long, _pos int, _shared long, id long, n long, comp long, _last long, _least long")
+        placed += [(int(x), p, p, i, n, i, i, n - least + 1, least) for p, x in enumerate(ngram_join.rare_first(s, counts).view(np.int64)[: n - least + 1])]
+    df = spark.createDataFrame(placed, ", ".join(f"{k} long" for k in ngram_join.PLACED))
     got = {(r["a"], r["b"]) for r in ngram_join.crossing_pairs(df, docs, held, 1, 75).collect()}
     as_sets = [set(s.tolist()) for s in sets]
     want = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(as_sets[i] & as_sets[j]) >= 75 * len(as_sets[i] | as_sets[j])}
