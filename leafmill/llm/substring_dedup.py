@@ -1,17 +1,30 @@
 """Substring dedup by recompression: long repeats found by consistent symbols.
 
-Rounds rewrite each text's words into symbols: runs of one word, then pairs of
-neighbours whose left half lies in one class and right half in the other. A
-symbol's name is a hash of what it stands for, so equal substrings get equal
-names in every task of every round without an exchange per round: naming is
-global because it depends on content alone.
-
-Whether two neighbours merge depends on a bounded stretch around them, so of
-two equal windows all symbols that keep ``MARGIN`` words off the ends are the
-same. In each window the least of these symbols is its anchor. Anchors that
-occur twice (together with the words around them) are the candidates; then
-every window over a candidate is verified by 96 bits over all its words, and
-only windows found at two or more places are removed.
+A text is a sequence of symbols that rounds rewrite: runs of one symbol, then
+pairs of neighbours, become one symbol of a new name. Names follow from what a
+symbol stands for, so equal substrings get equal names everywhere, and which
+neighbours merge depends on a bounded stretch around them, so of two equal
+substrings the interior symbols are equal.
+
+1. The first rounds name runs and pairs of words inside the scan: symbols of a
+   few words. In each window the least of those that keep ``MARGIN`` words off
+   its ends is its anchor, the same one in all equal windows. A census over all
+   documents finds which anchors, with ``MARGIN`` words around, occur twice.
+   They are the first global symbols; all others can be in no repeat.
+2. Each further round is a Spark stage. In every document's sequence of global
+   symbols some pairs of neighbours are proposed (those whose hash is least
+   among the pairs around them); a pair's name is made of the two names and
+   their distance, so it stands for all words from the first to the last. The
+   census keeps proposed names that occur twice: these pairs become one symbol.
+   A pair that occurs once is never looked at again: no longer symbol over it
+   can occur twice. Rounds go on until nothing merges.
+3. The highest symbols of ``width`` words or more are verified long repeats:
+   every window inside is a repeat. One owner per symbol sends its windows on
+   for windows elsewhere to meet; the others send none. Windows over an anchor
+   that no such symbol covers, at the fringes, are verified outwards over all
+   their words, by 96 bits, in one more census.
+
+Rows that repeat as a whole are counted first; one of them takes part.
 
 A window's width is a parameter; ``MARGIN`` and symbol lengths follow from the
 rounds and need a width of at least 30.
@@ -26,7 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, SECOND_MULTIPLIER, U64, chunks, hashes128, mixed, row_keys, table, window_hashes, words_of
+from . import shared
+from .common import MULTIPLIER, SECOND_MULTIPLIER, U64, chunks, cut, group_join, hashes128, mixed, row_keys, table, window_hashes, words_of
 from .shared import shared_places
 
 WINDOW = 35
@@ -111,25 +125,131 @@ def _anchor_keys(width: int):
         s = start[at]
         with np.errstate(over="ignore"):
             key = mixed(window_hashes(words, AROUND)[s - MARGIN] + name[at] * SECOND_MULTIPLIER)
-        return doc[s], s - first[doc[s]], key, np.zeros(len(key), dtype=np.uint32)
+        check = window_hashes(np.ascontiguousarray(h[:, 1]), AROUND, SECOND_MULTIPLIER)[s - MARGIN] >> U64(32)
+        return doc[s], s - first[doc[s]], key, check.astype(np.uint32)
 
     return keys
 
 
+#: A symbol of a document's sequence: words [start, end), its name of 96 bits, whether it is an owner, whether the pair with the next one is known to occur once.
+SYMBOL = np.dtype([("start", "<i4"), ("end", "<i4"), ("name", "<u8"), ("check", "<u4"), ("own", "u1"), ("once", "u1")])
+
+
+def first_symbols(places: bytes) -> np.ndarray:
+    """The sequence of a document's shared anchors with the words around them."""
+    places = np.frombuffer(places, dtype=shared.PLACE)
+    out = np.zeros(len(places), dtype=SYMBOL)
+    out["start"], out["end"] = places["pos"] - MARGIN, places["pos"] + MARGIN + 1
+    out["name"], out["check"], out["own"] = places["key"], places["check"], places["own"]
+    same = np.flatnonzero(out["start"][1:] == out["start"][:-1])
+    out["own"][same] |= out["own"][same + 1]
+    return np.delete(out, same + 1)
+
+
+def proposed(seq: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, names and checks of the pairs to merge in sequences that begin at ``first`` (places; sorted).
+
+    Two symbols are neighbours if no word lies between them. A pair is
+    proposed if its hash is less than those of the pairs before and after it;
+    in a run of equal pairs every other one is, from its left end on.
+    """
+    with np.errstate(over="ignore"):
+        distance = (seq["start"][1:] - seq["start"][:-1]).astype(U64)
+        name = mixed(mixed(seq["name"][:-1] * MULTIPLIER + distance) + seq["name"][1:] * SECOND_MULTIPLIER)
+        check = (mixed(mixed(seq["check"][:-1].astype(U64) * SECOND_MULTIPLIER + distance) + seq["check"][1:] * MULTIPLIER) >> U64(32)).astype(np.uint32)
+    fits = (seq["start"][1:] <= seq["end"][:-1]) & (seq["once"][:-1] == 0)
+    fits[first[1:] - 1] = False
+    most = U64(0xFFFFFFFFFFFFFFFF)
+    value = np.where(fits, np.minimum(mixed(name ^ SECOND_MULTIPLIER), most - U64(1)), most)
+    run = np.concatenate([[0], np.flatnonzero(value[1:] != value[:-1]) + 1]) if len(value) else np.empty(0, dtype=np.int64)
+    turn = np.arange(len(value)) - np.repeat(run, np.diff(np.append(run, len(value))))
+    value = np.where(turn % 2 == 1, most, value)
+    before, after = np.concatenate([[most], value[:-1]]), np.concatenate([value[1:], [most]])
+    at = np.flatnonzero(fits & (value < before) & (value < after))
+    return at, name[at], check[at]
+
+
+def _pair_keys(batch):
+    blobs = [np.frombuffer(x, dtype=SYMBOL) for x in batch.column(batch.schema.get_field_index("symbols")).to_pylist()]
+    sizes = np.array([len(x) for x in blobs], dtype=np.int64)
+    first = np.cumsum(sizes) - sizes
+    at, name, check = proposed(np.concatenate(blobs), first)
+    row = np.repeat(np.arange(len(blobs)), sizes)[at]
+    return row, at - first[row], name, check
+
+
+def merged(seq: np.ndarray, found: bytes | None) -> np.ndarray:
+    """One sequence after a round: shared pairs are one symbol, other proposed ones are marked."""
+    at, name, check = proposed(seq, np.zeros(1, dtype=np.int64))
+    places = np.frombuffer(found, dtype=shared.PLACE) if found is not None else np.empty(0, dtype=shared.PLACE)
+    seq = seq.copy()
+    seq["once"][at] = 1
+    pos = places["pos"]
+    seq["name"][pos], seq["check"][pos] = places["key"], places["check"]
+    seq["end"][pos] = np.maximum(seq["end"][pos], seq["end"][pos + 1])
+    seq["own"][pos] = 0
+    np.bitwise_or.at(seq["own"], pos, places["own"])
+    seq["once"][pos] = seq["once"][pos + 1]
+    return np.delete(seq, np.unique(pos) + 1)
+
+
+def lively(seq: np.ndarray) -> bool:
+    """Whether a pair of neighbours is left that may occur twice."""
+    return bool(((seq["start"][1:] <= seq["end"][:-1]) & (seq["once"][:-1] == 0)).any())
+
+
+def highest_symbols(places: DataFrame, n_buckets: int, most_rounds: int = 40) -> DataFrame:
+    """``_a, _b, symbols``: each document's sequence when no more pairs merge; ``places`` as ``shared_places`` gives them.
+
+    A round's sequences and its census lie in the checkpoint folder, so owners
+    are the same for all that follows.
+    """
+
+    def begin(batches):
+        for batch in batches:
+            made = [first_symbols(x) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in made], pa.binary()), pa.array([lively(x) for x in made])], names=["_a", "_b", "symbols", "lively"])
+
+    def advance(batches):
+        for batch in batches:
+            made = [merged(np.frombuffer(x, dtype=SYMBOL), y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in made], pa.binary()), pa.array([lively(x) for x in made])], names=["_a", "_b", "symbols", "lively"])
+
+    shape = "_a long, _b long, symbols binary, lively boolean"
+    current, done = cut(places.mapInArrow(begin, shape)), None
+    for _ in range(most_rounds):
+        ended = current.filter("not lively").drop("lively")
+        done = ended if done is None else done.unionByName(ended)
+        live = current.filter("lively").drop("lively")
+        if not live.limit(1).count():
+            return done
+        # in one order, so that reruns flush alike
+        found = shared_places(live.sortWithinPartitions("_a", "_b"), _pair_keys, with_places=True, n_buckets=n_buckets)
+        current = cut(live.join(found, ["_a", "_b"], "left").select("_a", "_b", "symbols", "places").mapInArrow(advance, shape))
+    return done.unionByName(current.drop("lively"))
+
+
 def _window_keys(width: int):
+    """Windows over a shared anchor, but for those inside a highest symbol that another place owns."""
+
     def keys(batch):
-        candidates = batch.column(batch.schema.get_field_index("candidates"))
-        batch = batch.filter(candidates.is_valid())
-        rows = np.flatnonzero(candidates.is_valid().to_numpy(zero_copy_only=False))
+        symbols = batch.column(batch.schema.get_field_index("symbols"))
+        rows = np.flatnonzero(symbols.is_valid().to_numpy(zero_copy_only=False))
+        batch = batch.filter(symbols.is_valid())
         _, h, doc, first = _words(batch)
         if len(h) < width:
             return _EMPTY
         words = np.ascontiguousarray(h[:, 0])
         windows, best, _, start = anchors(words, doc, first, width)
         wanted = np.zeros(len(words) + 1, dtype=bool)
-        listed = batch.column(batch.schema.get_field_index("candidates"))
-        wanted[np.minimum(np.repeat(first, listed.value_lengths().to_numpy(zero_copy_only=False)) + listed.flatten().to_numpy(zero_copy_only=False), len(words))] = True
-        at = windows[wanted[start[best]]]
+        covered = np.zeros(len(words) + 1, dtype=np.int64)
+        for at, listed, seq in zip(first, batch.column(batch.schema.get_field_index("listed")).to_pylist(), batch.column(batch.schema.get_field_index("symbols")).to_pylist()):
+            wanted[at + np.frombuffer(listed, dtype=np.int32)] = True
+            seq = np.frombuffer(seq, dtype=SYMBOL)
+            long = seq[(seq["end"] - seq["start"] >= width) & (seq["own"] == 0)]
+            np.add.at(covered, at + long["start"], 1)
+            np.add.at(covered, at + long["end"] - width + 1, -1)
+        at = windows[wanted[start[best]] & (np.cumsum(covered)[windows] == 0)]
         one = window_hashes(words, width)[at]
         two = window_hashes(np.ascontiguousarray(h[:, 1]), width, SECOND_MULTIPLIER)[at]
         return rows[doc[at]], at - first[doc[at]], one, (two >> U64(32)).astype(np.uint32)
@@ -137,6 +257,22 @@ def _window_keys(width: int):
     return keys
 
 
+def spans_of(n: int, width: int, starts: np.ndarray, symbols: bytes | None) -> list[dict]:
+    """Stretches of words covered by windows that begin at ``starts`` or lie in long symbols."""
+    covered = np.zeros(n + 1, dtype=np.int64)
+    starts = np.unique(starts).astype(np.int64)
+    np.add.at(covered, starts, 1)
+    np.add.at(covered, starts + width, -1)
+    if symbols is not None:
+        seq = np.frombuffer(symbols, dtype=SYMBOL)
+        seq = seq[seq["end"] - seq["start"] >= width]
+        np.add.at(covered, seq["start"], 1)
+        np.add.at(covered, seq["end"], -1)
+    inside = np.cumsum(covered[:-1]) > 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
+    return [{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)]
+
+
 def substring_dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """Remove every word covered by a window of ``width`` words that occurs anywhere else.
 
@@ -148,39 +284,68 @@ def substring_dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """
     if width < 2 * MARGIN + 2 * PAIR_CAPS[-1] - 1:
         raise ValueError(f"width must be at least {2 * MARGIN + 2 * PAIR_CAPS[-1] - 1}")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    shape = f"doc_id {kind}, n_words long, n_removed long, kept string, removed array<struct<start:int,end:int>>"
     docs = docs.select("doc_id", "text").select("doc_id", "text", *row_keys())
+    n_buckets = shared.buckets_for(docs)
+
+    # rows that repeat as a whole: all their windows do; one of them takes part for others
+    repeated = cut(docs.groupBy("_k1", "_k2").agg(F.count("*").alias("n")).filter("n > 1").select("_k1", "_k2"))
+    if repeated.limit(1).count():
+        marked = group_join(docs, repeated.withColumn("_twin", F.lit(True)), ["_k1", "_k2"], row_bytes=64, how="left")
+        twins, single = marked.filter("_twin"), marked.filter("_twin is null")
+        docs = single.select("doc_id", "text", "_k1", "_k2", F.lit(False).alias("_twin"))
+        docs = docs.unionByName(twins.select("doc_id", "text", "_k1", "_k2", F.lit(True).alias("_twin")).dropDuplicates(["_k1", "_k2"]))
+    else:
+        twins, docs = None, docs.withColumn("_twin", F.lit(False))
+
     named = docs.select(F.col("_k1").alias("_a"), F.col("_k2").alias("_b"), "text")
-    candidates = shared_places(named, _anchor_keys(width)).withColumnRenamed("positions", "candidates")
-    joined = docs.join(candidates, (F.col("_k1") == F.col("_a")) & (F.col("_k2") == F.col("_b")), "left").select("doc_id", "text", "_k1", "_k2", "candidates")
-    windows = shared_places(joined.select("doc_id", "text", F.col("_k1").alias("_a"), F.col("_k2").alias("_b"), "candidates"), _window_keys(width))
-    repeats = windows.withColumnRenamed("positions", "starts")
-    last = joined.join(repeats, (F.col("_k1") == F.col("_a")) & (F.col("_k2") == F.col("_b")), "left").select("doc_id", "text", "starts")
+    places = cut(shared_places(named, _anchor_keys(width), with_places=True, n_buckets=n_buckets))
+    symbols = highest_symbols(places, n_buckets)
+
+    def listed(batches):
+        for batch in batches:
+            blobs = [np.ascontiguousarray(np.frombuffer(x, dtype=shared.PLACE)["pos"]).tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["_a", "_b", "listed"])
+
+    known = symbols.join(places.mapInArrow(listed, "_a long, _b long, listed binary"), ["_a", "_b"]).select(F.col("_a").alias("_k1"), F.col("_b").alias("_k2"), "symbols", "listed")
+    joined = docs.join(known, ["_k1", "_k2"], "left").select("doc_id", "text", "_twin", F.col("_k1").alias("_a"), F.col("_k2").alias("_b"), "symbols", "listed")
+    windows = shared_places(joined.filter("symbols is not null").select("text", "_a", "_b", "symbols", "listed"), _window_keys(width), n_buckets=n_buckets)
+    last = joined.join(windows.withColumnRenamed("positions", "starts"), ["_a", "_b"], "left").filter("not _twin").select("doc_id", "text", "starts", "symbols")
 
     def remove(batches):
         for batch in chunks(batches):
             out = {"doc_id": batch.column(0), "n_words": [], "n_removed": [], "kept": [], "removed": []}
-            for text, starts in zip(batch.column(1).to_pylist(), batch.column(2)):
+            for text, starts, seq in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 words = words_of(text)
-                starts = starts.values.to_numpy(zero_copy_only=False) if starts.is_valid else ()
-                spans = []
-                if len(starts):
-                    covered = np.zeros(len(words) + 1, dtype=np.int64)
-                    starts = np.unique(starts)
-                    covered[starts] += 1
-                    np.subtract.at(covered, starts + width, 1)
-                    covered = np.cumsum(covered[:-1]) > 0
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]])))
-                    spans = [{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)]
-                out["n_words"].append(len(words))
-                out["n_removed"].append(sum(s["end"] - s["start"] for s in spans))
-                for s in reversed(spans):
-                    del words[s["start"] : s["end"]]
-                out["kept"].append(b" ".join(words).decode("utf-8", "surrogatepass"))
-                out["removed"].append(spans)
-            yield pa.RecordBatch.from_arrays([out["doc_id"], pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.string()), pa.array(out["removed"], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=list(out))
+                starts = starts.values.to_numpy(zero_copy_only=False) if starts.is_valid else np.empty(0, dtype=np.int64)
+                spans = spans_of(len(words), width, starts, seq)
+                _put(out, words, spans)
+            yield _removed_batch(out)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return last.mapInArrow(remove, f"doc_id {kind}, n_words long, n_removed long, kept string, removed array<struct<start:int,end:int>>")
+    def remove_all(batches):
+        for batch in chunks(batches):
+            out = {"doc_id": batch.column(0), "n_words": [], "n_removed": [], "kept": [], "removed": []}
+            for text in batch.column(1).to_pylist():
+                words = words_of(text)
+                _put(out, words, [{"start": 0, "end": len(words)}] if len(words) >= width else [])
+            yield _removed_batch(out)
+
+    found = last.mapInArrow(remove, shape)
+    return found if twins is None else found.unionByName(twins.select("doc_id", "text").mapInArrow(remove_all, shape))
+
+
+def _put(out: dict, words: list[bytes], spans: list[dict]) -> None:
+    out["n_words"].append(len(words))
+    out["n_removed"].append(sum(s["end"] - s["start"] for s in spans))
+    for s in reversed(spans):
+        del words[s["start"] : s["end"]]
+    out["kept"].append(b" ".join(words).decode("utf-8", "surrogatepass"))
+    out["removed"].append(spans)
+
+
+def _removed_batch(out: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([out["doc_id"], pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.string()), pa.array(out["removed"], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=list(out))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,6 +353,19 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+ORACLE = """
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w from documents),
+i as (select doc_id, unnest(range(1, greatest(len(w) - 33, 1))) i, w from w where len(w) >= 35),
+k as (select doc_id, i, sha256(array_to_string(list_slice(w, i, i + 34), ' ')) k from i),
+r as (select doc_id, i from k where k in (select k from k group by k having count(*) > 1)),
+g as (select doc_id, unnest(range(i, i + 35)) j from r), gone as (select distinct doc_id, j from g),
+l as (select doc_id, list(j) js from gone group by doc_id)
+select w.doc_id, len(w) n_words, coalesce(len(js), 0)::bigint n_removed,
+    sha256(array_to_string(case when js is null then w else list_filter(w, lambda x, n: not list_contains(js, n)) end, ' ')) kept_sha256
+from w left join l using (doc_id)
+"""
+
+
 def brute_force(texts: list[str | None], width: int = WINDOW) -> list[tuple[int, int, str]]:
     """The same by comparing all windows; for tests."""
     seen: dict[tuple, int] = {}
