@@ -43,19 +43,20 @@ def partitions(spark: SparkSession) -> int:
 #: A key counts as hot if it holds more than one part in this many of all rows; at most so many keys can.
 HOT_PARTS = 1000
 #: Fewer rows than this are joined in one task each key whatever their keys: some megabytes.
-FEW_ROWS = 200_000
+FEW_ROWS = 50_000
 #: Rows of a side that may be broadcast, and their bytes.
 SMALL_ROWS, SMALL_BYTES = 200_000, 16 << 20
 
 
 def hot_keys(df: DataFrame, key, parts: int = HOT_PARTS) -> list[tuple[int, int]]:
-    """Hashes of the keys that hold more than 1 / ``parts`` of the rows, and into how many pieces to deal each.
+    """Hashes of the keys that hold more than 1 / ``parts`` of the rows, and into how many pieces to deal each: powers of 4.
 
     A frequent-items sketch per task finds them in one narrow pass; at most
     ``parts`` keys can be that frequent, so the list is bounded whatever the input.
     """
     found, total = df.select(key.alias("_h")).agg(F.expr(f"approx_top_k(_h, {parts}, {8 * parts})"), F.count("*")).first()
-    return [(r["item"], int(min(4 * parts, -(-r["count"] * parts // total)))) for r in found or [] if r["item"] is not None and r["count"] * parts > total]
+    pieces = lambda share: next(p for p in (4, 16, 64, 256, 1024) if share <= p or p == 1024)
+    return [(r["item"], pieces(r["count"] * parts / total)) for r in found or [] if r["item"] is not None and r["count"] * parts > total]
 
 
 def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", of: DataFrame | None = None, rows: int | None = None) -> DataFrame:
@@ -71,10 +72,11 @@ def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inn
     hot = hot_keys(big if of is None else of, key) if rows is None or rows > FEW_ROWS else []
     if not hot:
         return big.join(small, keys, how)
-    listed = F.broadcast(big.sparkSession.createDataFrame(hot, "_skew_h long, _skew_pieces int"))
-    pieces = F.coalesce("_skew_pieces", F.lit(1))
-    one = big.withColumn("_skew_h", key).join(listed, "_skew_h", "left").withColumn("_skew_salt", (F.monotonically_increasing_id() % pieces).cast("int")).drop("_skew_h", "_skew_pieces")
-    other = small.withColumn("_skew_h", key).join(listed, "_skew_h", "left").withColumn("_skew_salt", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("_skew_h", "_skew_pieces")
+    pieces = F.lit(1)
+    for p in sorted({p for _, p in hot}):
+        pieces = F.when(F.col("_skew_h").isin([h for h, x in hot if x == p]), p).otherwise(pieces)
+    one = big.withColumn("_skew_h", key).withColumn("_skew_salt", (F.monotonically_increasing_id() % pieces).cast("int")).drop("_skew_h")
+    other = small.withColumn("_skew_h", key).withColumn("_skew_salt", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("_skew_h")
     return one.join(other, [*keys, "_skew_salt"], how).drop("_skew_salt")
 
 

@@ -369,6 +369,19 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+ORACLE = """
+with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
+g as (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) end) s from t),
+d as (select doc_id, list_sort(list(distinct s)) k, count(distinct s) n from g group by doc_id),
+c as (select k, n, min(doc_id) id from d group by k, n), cs as (select id, n, unnest(k) s from c),
+m as (select a.id x, b.id y, any_value(a.n) n1, any_value(b.n) n2, count(*) k from cs a join cs b on a.s = b.s and a.id < b.id group by all),
+e as (select x, y from m where 100 * k >= 75 * (n1 + n2 - k)), both_ as (select x, y from e union all select y, x from e),
+r(x, y) as (select id, id from c union select r.x, b.y from r join both_ b on b.x = r.y),
+l as (select x, min(y) component_id from r group by x)
+select t.doc_id, coalesce(d.n, 0)::bigint n_shingles, coalesce(l.component_id, t.doc_id) component_id from t left join d on t.doc_id = d.doc_id left join c on d.k = c.k left join l on c.id = l.x
+"""
+
+
 def brute_force(rows: list[tuple], width: int = WIDTH, percent: int = PERCENT) -> list[tuple]:
     """The same by comparing all pairs; for tests."""
     sets = []

@@ -1,6 +1,6 @@
 """The corpus operators' queries and the SQL of those that SQL can express."""
 
-from . import line_dedup, topk, url_filter
+from . import line_dedup, ngram_join, substring_dedup, topk, url_filter
 from .language import op5
 from .line_dedup import op8
 from .mixing import op9
@@ -26,6 +26,8 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op3_url_filter": url_filter.ORACLE,
+    "op4_ngram_jaccard_join": ngram_join.ORACLE,
+    "op6_substring_dedup": substring_dedup.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op10_exact_top_k": topk.ORACLE,
 }

@@ -17,7 +17,7 @@ substrings the interior symbols are equal.
    their distance, so it stands for all words from the first to the last. The
    census keeps proposed names that occur twice: these pairs become one symbol.
    A pair that occurs once is never looked at again: no longer symbol over it
-   can occur twice. Rounds go on until nothing merges.
+   can occur twice. Rounds go on until little merges, ``ROUNDS`` at most.
 3. The highest symbols of ``width`` words or more are verified long repeats:
    every window inside is a repeat. One owner per symbol sends its windows on
    for windows elsewhere to meet; the others send none. Windows over an anchor
@@ -198,8 +198,12 @@ def lively(seq: np.ndarray) -> bool:
     return bool(((seq["start"][1:] <= seq["end"][:-1]) & (seq["once"][:-1] == 0)).any())
 
 
-def highest_symbols(places: DataFrame, n_buckets: int, most_rounds: int = 40) -> DataFrame:
-    """``_a, _b, symbols``: each document's sequence when no more pairs merge; ``places`` as ``shared_places`` gives them.
+#: Rounds of pairs: symbols then have some 25 times as many words as the first ones; one round in which less than a part in so many merges is the last.
+ROUNDS, LEAST_MERGED = 8, 50
+
+
+def highest_symbols(places: DataFrame, n_buckets: int, most_rounds: int = ROUNDS) -> DataFrame:
+    """``_a, _b, symbols``: each document's sequence after the last round; ``places`` as ``shared_places`` gives them.
 
     A round's sequences and its census lie in the checkpoint folder, so owners
     are the same for all that follows.
@@ -216,17 +220,20 @@ def highest_symbols(places: DataFrame, n_buckets: int, most_rounds: int = 40) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in made], pa.binary()), pa.array([lively(x) for x in made])], names=["_a", "_b", "symbols", "lively"])
 
     shape = "_a long, _b long, symbols binary, lively boolean"
-    current, done = cut(places.mapInArrow(begin, shape)), None
+    current, done, size = cut(places.mapInArrow(begin, shape)), None, None
     for _ in range(most_rounds):
-        ended = current.filter("not lively").drop("lively")
-        done = ended if done is None else done.unionByName(ended)
+        before, size = size, current.agg(F.sum(F.length("symbols"))).first()[0] or 0
+        if before is not None and (before - size) * LEAST_MERGED < before:
+            break
         live = current.filter("lively").drop("lively")
         if not live.limit(1).count():
-            return done
+            break
+        ended = current.filter("not lively").drop("lively")
+        done, size = ended if done is None else done.unionByName(ended), live.agg(F.sum(F.length("symbols"))).first()[0]
         # in one order, so that reruns flush alike
         found = shared_places(live.sortWithinPartitions("_a", "_b"), _pair_keys, with_places=True, n_buckets=n_buckets)
         current = cut(live.join(found, ["_a", "_b"], "left").select("_a", "_b", "symbols", "places").mapInArrow(advance, shape))
-    return done.unionByName(current.drop("lively"))
+    return current.drop("lively") if done is None else done.unionByName(current.drop("lively"))
 
 
 def _window_keys(width: int):
