@@ -148,7 +148,8 @@ def shared_places(df: DataFrame, keys_of, with_keys: bool = False, with_places:
         if with_places:
             # of a key without a leading place the least one owns it
             run = np.repeat(np.arange(len(starts))[lengths > 1], lengths[lengths > 1])
-            least = np.lexsort((pos[found], b[doc[found]], a[doc[found]], flag[found] == SINGLE, run))
+            of = np.minimum(doc[found], max(len(a) - 1, 0))  # a representative belongs to no document
+            least = np.lexsort((pos[found], *((b[of], a[of]) if len(a) else ()), flag[found] == SINGLE, run))
             heads = least[np.flatnonzero(np.diff(run[least], prepend=-1))]
             own[found[heads[flag[found[heads]] == SINGLE]]] = True
         at = np.flatnonzero(keep)
