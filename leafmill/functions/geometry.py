@@ -173,3 +173,17 @@ def fitted_size(width: Column, height: Column, most_width: int, most_height: int
     """Size within bounds that keeps the aspect ratio and is never enlarged."""
     scale = F.least(F.lit(1.0), F.lit(most_width) / width, F.lit(most_height) / height)
     return truncated(width * scale), truncated(height * scale)
+
+
+def horizontal_span(x1: Column, x2: Column) -> Column:
+    """Length of a baseline along the page."""
+    return F.abs(x2 - x1)
+
+
+def vertical_span(y1: Column, y2: Column) -> Column:
+    return F.abs(y2 - y1)
+
+
+def lines_meet(a1: Column, a2: Column, b1: Column, b2: Column, most_gap: int = 0) -> Column:
+    """Whether two baselines lie within ``most_gap`` of each other along the page."""
+    return F.greatest(F.least(a1, a2), F.least(b1, b2)) - F.least(F.greatest(a1, a2), F.greatest(b1, b2)) <= most_gap

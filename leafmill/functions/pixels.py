@@ -65,3 +65,75 @@ def glyph_vector(gray: np.ndarray, l: int, t: int, w: int, h: int, side: int = 2
     width = max(w, edge)
     part = cropped(gray, l - (width - w) // 2, t - (edge - h) // 2, width, edge)
     return resized(padded(part, max(part.shape), max(part.shape)), side, side).astype(np.float32).ravel() / 255
+
+
+def blurred(gray: np.ndarray, size: int) -> np.ndarray:
+    """Mean over a square of odd ``size``, edges repeated."""
+    pad = size // 2
+    x = np.pad(gray.astype(np.float64), pad, mode="edge")
+    for axis in (0, 1):
+        total = np.cumsum(np.insert(x, 0, 0, axis=axis), axis=axis)
+        n = total.shape[axis]
+        x = (np.take(total, range(size, n), axis=axis) - np.take(total, range(n - size), axis=axis)) / size
+    return np.rint(x).astype(np.uint8)
+
+
+def dilated(dark: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Each dark point grown to a box around it."""
+    out = dark
+    for axis, size in ((1, width), (0, height)):
+        before, grown = size // 2, np.zeros_like(out)
+        for d in range(-before, size - before):
+            moved = np.roll(out, d, axis)
+            edge = [slice(None)] * 2
+            edge[axis] = slice(0, d) if d > 0 else slice(out.shape[axis] + d, None) if d < 0 else slice(0, 0)
+            moved[tuple(edge)] = False
+            grown |= moved
+        out = grown
+    return out
+
+
+def labelled(dark: np.ndarray) -> np.ndarray:
+    """Numbers of connected dark areas (8 neighbours), from 1; by runs of rows and union of those that touch."""
+    parent = [0]
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = np.zeros(dark.shape, dtype=np.int64)
+    above: list[tuple[int, int, int]] = []
+    for y, row in enumerate(dark):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], row.astype(np.int8), [0]]))).reshape(-1, 2)
+        runs = []
+        for a, b in edges:
+            name = len(parent)
+            parent.append(name)
+            for c, d, n in above:
+                if c <= b and a <= d:
+                    x, z = root(n), root(name)
+                    parent[max(x, z)] = min(x, z)
+            out[y, a:b] = name
+            runs.append((a, b, name))
+        above = runs
+    names = np.array([root(i) for i in range(len(parent))])
+    return np.unique(names, return_inverse=True)[1].reshape(-1)[out]
+
+
+def contours(dark: np.ndarray) -> list[tuple[int, int, int, int, float, int]]:
+    """Box, angle of the main axis in degrees and area of each connected dark area."""
+    marks = labelled(dark)
+    y, x = np.nonzero(marks)
+    name = marks[y, x]
+    order = np.argsort(name, kind="stable")
+    y, x = y[order], x[order]
+    edges = np.flatnonzero(np.diff(name[order], prepend=-1, append=-1))
+    found = []
+    for a, b in zip(edges, edges[1:]):
+        px, py = x[a:b], y[a:b]
+        dx, dy = px - px.mean(), py - py.mean()
+        angle = 0.5 * np.degrees(np.arctan2(2 * (dx * dy).mean(), (dx * dx).mean() - (dy * dy).mean()))
+        found.append((int(px.min()), int(py.min()), int(np.ptp(px)) + 1, int(np.ptp(py)) + 1, float(angle), int(b - a)))
+    return found

@@ -29,15 +29,15 @@ def query(sql: str | None = None):
 @query(f"""with {V.WORDS}, p as (select doc_id, (max(l + w) + 40)::int pw, (max(t + h) + 60)::int ph from words group by doc_id),
 s as (select *, trunc(pw / 2)::int tw, trunc(ph / 2)::int th, trunc(trunc(pw / 2) * 0.125)::int mx, trunc(trunc(ph / 2) * 0.125)::int my from p),
 g as (select doc_id, x, y, greatest(0, x * tw - mx) tl, greatest(0, y * th - my) tt, least(pw, (x + 1) * tw + mx) tr, least(ph, (y + 1) * th + my) tb from s, range(2) a(x), range(2) b(y))
-select doc_id, x, y, count(*) n, round(sum(round((l + w / 2 - tl) / (tr - tl), 6)), 3) xc, round(sum(round(w / (tr - tl), 6)), 3) bw from words join g using (doc_id) where l >= tl and t >= tt and l + w <= tr and t + h <= tb group by all""")
+select doc_id, x, y, count(*) n, sum({V.millionths_sql('2 * (l - tl) + w', '2 * (tr - tl)')})::bigint xc, sum({V.millionths_sql('w', 'tr - tl')})::bigint bw from words join g using (doc_id) where l >= tl and t >= tt and l + w <= tr and t + h <= tb group by all""")
 def tile_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Boxes that lie whole in a tile, normalised by it."""
+    """Boxes that lie whole in a tile, in millionths of it."""
     w = V.words(spark, sf)
     r = G.rect()
     pages = w.groupBy("doc_id").agg((F.max(r.r) + 40).cast("int").alias("pw"), (F.max(r.b) + 60).cast("int").alias("ph"))
     tiles = pages.select("doc_id", F.explode(G.tiles(F.col("pw"), F.col("ph"), 2, 2, 0.125)).alias("q")).select("doc_id", "q.x", "q.y", *[F.col(f"q.{c}").alias(f"q_{c}") for c in "ltwh"])
     met = w.join(tiles, "doc_id").filter(G.contains(G.rect("q_"), r))
-    return met.groupBy("doc_id", "x", "y").agg(F.count("*").alias("n"), F.round(F.sum(F.round((r.l + r.w / 2 - F.col("q_l")) / F.col("q_w"), 6)), 3).alias("xc"), F.round(F.sum(F.round(r.w / F.col("q_w"), 6)), 3).alias("bw"))
+    return met.groupBy("doc_id", "x", "y").agg(F.count("*").alias("n"), F.sum(T.millionths(2 * (r.l - F.col("q_l")) + r.w, 2 * F.col("q_w"))).alias("xc"), F.sum(T.millionths(r.w, F.col("q_w"))).alias("bw"))
 
 
 @query(f"""with {V.WORDS}, g as (select *, unnest(range(length(content)))::int i from words), k as (select doc_id, line_idx, tok_idx, i glyph_idx, substring(content, i + 1, 1) glyph, l + 10 * i gl, t, trunc(1.1 * h)::int edge from g)

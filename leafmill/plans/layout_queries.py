@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
+from ..operators import lines as L
 from ..operators import spatial, suppress, text_tree
 from . import views as V
 
@@ -154,18 +155,20 @@ def place_in_word(spark: SparkSession, sf: str) -> DataFrame:
     return first.groupBy("doc_id", "line_idx", "into_tok").agg(F.count("*").alias("n_glyphs"), F.sum("glyph_idx").alias("idx_sum"))
 
 
-@query(f"""with {V.WORDS}, {V.DETECTIONS}, m as (select a.doc_id, a.line_idx, a.tok_idx, b.line_idx line2, b.tok_idx tok2, {V.overlap_sql('a', 'b')} inter, a.w * a.h a1, b.w * b.h a2
-    from detections a join detections b on a.doc_id = b.doc_id and abs(a.line_idx - b.line_idx) <= 3 and (a.line_idx < b.line_idx or a.line_idx = b.line_idx and a.tok_idx < b.tok_idx) and a.l < b.l + b.w and b.l < a.l + a.w)
+@query(f"""with {V.WORDS}, {V.DETECTIONS}, c0 as (select *, unnest(range((l // 200)::bigint, ((l + w - 1) // 200)::bigint + 1)) cx from detections), c as materialized (select *, unnest(range((t // 20)::bigint, ((t + h - 1) // 20)::bigint + 1)) cy from c0),
+m as (select a.doc_id, a.line_idx, a.tok_idx, b.line_idx line2, b.tok_idx tok2, {V.overlap_sql('a', 'b')} inter, a.w * a.h a1, b.w * b.h a2
+    from c a join c b on a.doc_id = b.doc_id and a.cx = b.cx and a.cy = b.cy and (a.line_idx < b.line_idx or a.line_idx = b.line_idx and a.tok_idx < b.tok_idx) where a.cx = greatest(a.l, b.l) // 200 and a.cy = greatest(a.t, b.t) // 20)
 select doc_id, line_idx, tok_idx, line2, tok2, round(inter / (a1 + a2 - inter), 6) iou from m where inter > 0 and greatest(inter / a1, inter / a2) > 0.2""")
 def iou_pairs(spark: SparkSession, sf: str) -> DataFrame:
     d = V.detections(spark, sf)
     a, b = _as(d, "a_", "doc_id", "line_idx", "tok_idx"), _as(d, "b_", "doc_id", F.col("line_idx").alias("line2"), F.col("tok_idx").alias("tok2"))
     ra, rb = G.rect("a_"), G.rect("b_")
-    met = spatial.overlap_join(a, b, ["doc_id"], on=F.expr("line_idx < line2 or line_idx = line2 and tok_idx < tok2"), cell=20)
+    met = spatial.overlap_join(a, b, ["doc_id"], on=F.expr("line_idx < line2 or line_idx = line2 and tok_idx < tok2"), cell=20, width=200)
     return met.filter(F.greatest(G.overlap_share(ra, rb), G.overlap_share(rb, ra)) > 0.2).select("doc_id", "line_idx", "tok_idx", "line2", "tok2", F.round(G.iou(ra, rb), 6).alias("iou"))
 
 
-@query(f"""with {V.WORDS}, {V.BLOCKS}, {V.DETECTIONS}, m as (select distinct d.doc_id, d.line_idx, d.tok_idx from detections d join blocks b on d.doc_id = b.doc_id and b.block_idx % 2 = 0 and {V.overlap_sql('d', 'b')} > 0.5 * d.w * d.h)
+@query(f"""with {V.WORDS}, {V.BLOCKS}, {V.DETECTIONS}, e as (select *, unnest(range((t // 100)::bigint, ((t + h - 1) // 100)::bigint + 1)) c from detections),
+m as (select distinct d.doc_id, d.line_idx, d.tok_idx from e d join blocks b on d.doc_id = b.doc_id and d.c = b.t // 100 and b.block_idx % 2 = 0 where {V.overlap_sql('d', 'b')} > 0.5 * d.w * d.h)
 select doc_id, line_idx, tok_idx, conf from detections d where conf > 0.5 and not exists (select 1 from m where m.doc_id = d.doc_id and m.line_idx = d.line_idx and m.tok_idx = d.tok_idx)""")
 def orphans(spark: SparkSession, sf: str) -> DataFrame:
     d = V.detections(spark, sf)
@@ -179,7 +182,7 @@ _CONTOURS = f"""with {V.WORDS}, {V.DETECTIONS}, k as (select *, row_number() ove
 @query(f"""{_CONTOURS} select doc_id, line_idx, tok_idx, rank from k a where not exists (select 1 from k b where a.doc_id = b.doc_id and abs(a.line_idx - b.line_idx) <= 3 and a.rank > b.rank and {V.overlap_sql('a', 'b')} > 0.5 * a.w * a.h)""")
 def contained_contours(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy((F.col("w") * F.col("h")).desc(), "line_idx", "tok_idx")
-    return spatial.contained_in_larger(V.detections(spark, sf).withColumn("rank", F.row_number().over(w)), ["doc_id"], cell=20).select("doc_id", "line_idx", "tok_idx", "rank")
+    return spatial.contained_in_larger(V.detections(spark, sf).withColumn("rank", F.row_number().over(w)), ["doc_id"], cell=20, width=200).select("doc_id", "line_idx", "tok_idx", "rank")
 
 
 @query(f"""with {V.WORDS}, {V.DETECTIONS} select doc_id, line_idx, tok_idx, conf from detections where greatest(0, least(l + w, 700) - greatest(l, 100)) * greatest(0, least(t + h, 500) - greatest(t, 40)) > 0.8 * w * h and t + h < 480""")
@@ -212,28 +215,21 @@ def language_vote(spark: SparkSession, sf: str) -> DataFrame:
     """Words vote for lines, lines for blocks, blocks for the page; no language is a voter, too."""
     n = F.length("content") % 4
     v = V.words(spark, sf).select("doc_id", "line_idx", F.floor(F.col("line_idx") / 5).alias("block_idx"), F.when(n == 1, "yi").when(n == 2, "he").when(n == 3, "en").alias("lang"))
-    for keys in (["doc_id", "block_idx", "line_idx"], ["doc_id", "block_idx"], ["doc_id"]):
-        v = v.groupBy(*keys, "lang").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("lang").isNotNull().alias("some"), "lang")).alias("b")).select(*keys, F.col("b.lang").alias("lang"))
-    return v.select("doc_id", F.coalesce("lang", F.lit("yi")).alias("lang"))
+    return L.vote_cascade(v, [["doc_id", "block_idx", "line_idx"], ["doc_id", "block_idx"], ["doc_id"]], "yi")[-1]
 
 
 @query(f"""with {V.WORDS}, n as (select *, lag(l + w) over o pr, lead(l) over o nl from words window o as (partition by doc_id, line_idx order by tok_idx))
 select doc_id, line_idx, tok_idx, coalesce(trunc((pr + l) / 2)::int, l) border_l, coalesce(trunc((l + w + nl) / 2)::int, l + w) border_r from n""")
 def glyph_borders(spark: SparkSession, sf: str) -> DataFrame:
     """Borders half way to the neighbours."""
-    w = Window.partitionBy("doc_id", "line_idx").orderBy("tok_idx")
-    r = G.rect()
-    return V.words(spark, sf).select("doc_id", "line_idx", "tok_idx", F.coalesce(G.truncated((F.lag(r.r).over(w) + r.l) / 2), r.l).alias("border_l"), F.coalesce(G.truncated((r.r + F.lead("l").over(w)) / 2), r.r).alias("border_r"))
+    return L.borders(V.words(spark, sf), ["doc_id", "line_idx"], ["tok_idx"]).select("doc_id", "line_idx", "tok_idx", "border_l", "border_r")
 
 
 @query(f"""with {V.WORDS}, {V.DETECTIONS}, n as (select *, lead(l) over (partition by doc_id, line_idx order by tok_idx) nl from detections)
 select doc_id, line_idx, tok_idx, l + w l, nl - l - w w, t, h from n where nl - l - w > 0""")
 def space_gaps(spark: SparkSession, sf: str) -> DataFrame:
     """A space between words wherever there is a gap."""
-    w = Window.partitionBy("doc_id", "line_idx").orderBy("tok_idx")
-    r = G.rect()
-    found = V.detections(spark, sf).withColumn("gap", F.lead("l").over(w) - r.r).filter("gap > 0")
-    return found.select("doc_id", "line_idx", "tok_idx", r.r.alias("l"), F.col("gap").alias("w"), "t", "h")
+    return L.spaces(V.detections(spark, sf), ["doc_id", "line_idx"], ["tok_idx"])
 
 
 @query(f"""with {V.WORDS}, {V.DETECTIONS}, n as (select *, case when l - lag(l + w) over o > 8 then 1 else 0 end s from detections window o as (partition by doc_id, line_idx order by tok_idx)),
@@ -241,11 +237,7 @@ g as (select *, sum(s) over (partition by doc_id, line_idx order by tok_idx) grp
 select doc_id, line_idx, grp::bigint grp, string_agg(content, '' order by tok_idx) content, min(l) l, min(t) t, max(l + w) - min(l) w, max(t + h) - min(t) h from g group by doc_id, line_idx, grp""")
 def combine_words(spark: SparkSession, sf: str) -> DataFrame:
     """Words that no real gap separates are one word."""
-    w = Window.partitionBy("doc_id", "line_idx").orderBy("tok_idx")
-    r = G.rect()
-    n = V.detections(spark, sf).withColumn("s", F.when(F.col("l") - F.lag(r.r).over(w) > 8, 1).otherwise(0))
-    g = n.withColumn("grp", F.sum("s").over(w))
-    return g.groupBy("doc_id", "line_idx", "grp").agg(text_tree.ordered_text(["tok_idx"], "content", "").alias("content"), F.min("l").alias("l"), F.min("t").alias("t"), (F.max(r.r) - F.min("l")).alias("w"), (F.max(r.b) - F.min("t")).alias("h"))
+    return L.combined_words(V.detections(spark, sf), ["doc_id", "line_idx"], ["tok_idx"], 8)
 
 
 @query()
@@ -280,8 +272,8 @@ select doc_id, block_idx, child, coalesce(lag(bottom) over o, 100 * block_idx) t
 def child_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Children of a block follow each other; the last is stretched to its parent."""
     g = V.lines(spark, sf).groupBy("doc_id", F.floor(F.col("line_idx") / 5).cast("int").alias("block_idx"), F.floor(F.col("line_idx") / 2).cast("int").alias("child")).agg(F.max(F.col("line_idx") * 20 + 20).alias("bottom"))
-    w = Window.partitionBy("doc_id", "block_idx").orderBy("child")
-    return g.select("doc_id", "block_idx", "child", F.coalesce(F.lag("bottom").over(w), F.col("block_idx") * 100).alias("t"), F.when(F.lead("child").over(w).isNull(), F.col("block_idx") * 100 + 100).otherwise(F.col("bottom")).alias("b"))
+    g = g.withColumn("block_t", F.col("block_idx") * 100).withColumn("block_b", F.col("block_idx") * 100 + 100)
+    return L.stretched_children(g, ["doc_id", "block_idx"], "child").select("doc_id", "block_idx", "child", "t", "b")
 
 
 @query("""with d as (select doc_id, row_number() over (order by doc_id) i from documents) select doc_id, case when i % 10 = 0 then 'val' else 'train' end split, i - 1 idx from d""")
@@ -296,14 +288,14 @@ def train_val_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""with {V.WORDS}, p as (select doc_id, (max(l + w) + 40)::int pw, (max(t + h) + 60)::int ph from words group by doc_id)
-select doc_id, line_idx, tok_idx, printf('%d %.6f %.6f %.6f %.6f', 2, round((l + w / 2) / pw, 6), round((t + h / 2) / ph, 6), round(w / pw, 6), round(h / ph, 6)) label from words join p using (doc_id)""")
+select doc_id, line_idx, tok_idx, '2 ' || {V.six_sql('2 * l + w', '2 * pw')} || ' ' || {V.six_sql('2 * t + h', '2 * ph')} || ' ' || {V.six_sql('w', 'pw')} || ' ' || {V.six_sql('h', 'ph')} as "label" from words join p using (doc_id)""")
 def box_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Normalised centre boxes as text labels for detector training."""
     w = V.words(spark, sf)
     r = G.rect()
     p = w.groupBy("doc_id").agg((F.max(r.r) + 40).alias("pw"), (F.max(r.b) + 60).alias("ph"))
-    six = lambda c: F.round(c, 6)
-    return w.join(p, "doc_id").select("doc_id", "line_idx", "tok_idx", F.format_string("%d %.6f %.6f %.6f %.6f", F.lit(2), six((r.l + r.w / 2) / F.col("pw")), six((r.t + r.h / 2) / F.col("ph")), six(r.w / F.col("pw")), six(r.h / F.col("ph"))).alias("label"))
+    pw, ph = F.col("pw"), F.col("ph")
+    return w.join(p, "doc_id").select("doc_id", "line_idx", "tok_idx", F.concat_ws(" ", F.lit("2"), T.six_decimals(2 * r.l + r.w, 2 * pw), T.six_decimals(2 * r.t + r.h, 2 * ph), T.six_decimals(r.w, pw), T.six_decimals(r.h, ph)).alias("label"))
 
 
 @query(f"""with {V.WORDS}, g as (select *, unnest(range(length(content)))::int i from words)
@@ -320,11 +312,8 @@ t as (select * from k where r <= least(10, (n + 1) // 2)), m as (select doc_id,
 select doc_id, round(avg(angle), 6) skew from t join m using (doc_id) where abs(angle - med) <= 1.0 group by doc_id""")
 def skew_estimate(spark: SparkSession, sf: str) -> DataFrame:
     """Mean angle of the largest contours that lie within a degree of their upper median."""
-    a = V.words(spark, sf).select("doc_id", F.struct((-F.col("w") * F.col("h")).alias("area"), "line_idx", "tok_idx", (((F.col("doc_id") * 7 + F.col("tok_idx") * 3) % 41 - 20) / F.lit(10.0)).alias("angle")).alias("c"))
-    most = F.array_sort(F.collect_list("c"))
-    top = a.groupBy("doc_id").agg(most.alias("c")).select("doc_id", F.transform(F.expr("slice(c, 1, least(10, (size(c) + 1) div 2))"), lambda x: x["angle"]).alias("angles"))
-    top = top.withColumn("med", F.element_at(F.array_sort("angles"), (F.floor(F.size("angles") / 2) + 1).cast("int"))).withColumn("near", F.filter("angles", lambda x: F.abs(x - F.col("med")) <= 1.0))
-    return top.select("doc_id", F.round(F.aggregate("near", F.lit(0.0), lambda s, x: s + x) / F.size("near"), 6).alias("skew"))
+    angle = ((F.col("doc_id") * 7 + F.col("tok_idx") * 3) % 41 - 20) / F.lit(10.0)
+    return L.skew_of(V.words(spark, sf).withColumn("angle", angle), ["doc_id"], ["line_idx", "tok_idx"]).withColumn("skew", F.round("skew", 6))
 
 
 @query(f"""with {V.WORDS}, e as (select ((doc_id * 7 + line_idx) % 31 - 15) / 10.0 err from words) select round(avg(abs(err)), 6) mean_error, round(stddev_pop(abs(err)), 6) deviation, count(*) n from e""")

@@ -7,11 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import geometry as G
+from ..operators import lines as L
 from ..operators import spatial, suppress
 
 # fixed values: what a detection must reach to be placed or kept
-PLACED, PLACED_LINE, ALWAYS_KEPT = 0.5, 0.01, 0.5
+PLACED, PLACED_LINE = 0.5, 0.01
 
 
 @dataclass
@@ -21,6 +23,7 @@ class Segmented:
     words: DataFrame | None = None
     glyphs: DataFrame | None = None
     spaces: DataFrame | None = None
+    children: DataFrame | None = None
 
 
 def _boxes(df: DataFrame, prefix: str, *keep: str) -> DataFrame:
@@ -42,24 +45,74 @@ def segment_blocks(detections: DataFrame, left_to_right: bool) -> Segmented:
     return Segmented(suppress.sort_pages(text.unionByName(found.filter("label = 'Illustration'")), ["page_id"], left_to_right))
 
 
-def segment_full(detections: DataFrame, left_to_right: bool) -> Segmented:
+def print_areas(blocks: DataFrame, pages: DataFrame, margin: float, crop: bool = True) -> DataFrame:
+    """``page_id, al, at, aw, ah``: the box of a page's blocks with a margin, or the whole page."""
+    r = G.rect()
+    around = blocks.groupBy("page_id").agg(F.min("l").alias("l"), F.min("t").alias("t"), F.max(r.r).alias("_r"), F.max(r.b).alias("_b"))
+    x = pages.select("page_id", "width", "height").join(around, "page_id", "left")
+    area = G.cropped_area(G.Rect(F.col("l"), F.col("t"), F.col("_r") - F.col("l"), F.col("_b") - F.col("t")), F.col("width"), F.col("height"), margin)
+    whole = (F.lit(0), F.lit(0), F.col("width"), F.col("height"))
+    some = F.col("l").isNotNull() & F.lit(crop)
+    return x.select("page_id", "width", "height", *[F.when(some, c).otherwise(w).cast("int").alias("a" + n) for n, c, w in zip("ltwh", (area.l, area.t, area.w, area.h), whole)])
+
+
+def glyph_tiles(areas: DataFrame, n: int, margin: float) -> DataFrame:
+    """``page_id, tile, l, t, w, h`` within the print area: where glyphs are detected, with overlaps that are removed later."""
+    return areas.select("page_id", F.posexplode(G.tiles(F.col("aw"), F.col("ah"), n, n, margin)).alias("tile", "q")).select("page_id", "tile", *[f"q.{c}" for c in "ltwh"])
+
+
+def on_page(detections: DataFrame, areas: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Detections made in a print area, or in a tile of it (``tile``), in the page's coordinates."""
+    x = detections.join(areas.select("page_id", "al", "at"), "page_id")
+    if "tile" in detections.columns:
+        corner = tiles.select("page_id", "tile", F.col("l").alias("_tl"), F.col("t").alias("_tt"))
+        x = x.join(corner, ["page_id", "tile"], "left").withColumn("l", F.col("l") + F.coalesce("_tl", F.lit(0))).withColumn("t", F.col("t") + F.coalesce("_tt", F.lit(0))).drop("_tl", "_tt", "tile")
+    r = G.translated(G.rect(), F.col("al"), F.col("at"))
+    return x.withColumns({"l": r.l.cast("int"), "t": r.t.cast("int")}).drop("al", "at")
+
+
+def segment_full(detections: DataFrame, left_to_right: bool, pages: DataFrame | None = None, config: Config = Config(), region: tuple[int, int, int, int] | None = None) -> Segmented:
     """All levels: lines go to every block they meet, words to a block's line, glyphs to a line's word.
 
-    Confident paragraphs that lie in no block become blocks. Words without
-    glyphs, lines without words and blocks without lines go.
+    ``detections``: ``page_id, level, det_id, label, l, t, w, h, conf``, blocks
+    in the page's coordinates. With ``pages`` (``page_id, width, height``) all
+    other levels are in those of the print area that the blocks give, and
+    glyphs, if there is a column ``tile``, in those of its tile
+    (``print_areas`` and ``glyph_tiles`` say where to look); what reaches the
+    page's bottom goes. Without pages they are in the page's coordinates.
+    Confident paragraphs that lie in no block become blocks; with a ``region``
+    (l, t, w, h) only what lies in it is placed. Words without glyphs, lines
+    without words and blocks without lines go. The lines of a block that holds
+    several paragraphs are shared among ``children``. Glyphs reach half way to
+    their neighbours and are as high as their word.
     """
-    blocks = segment_blocks(detections, left_to_right).blocks.filter("label <> 'Illustration'").drop("reading_idx")
-    at = lambda level: detections.filter(F.col("level") == level).drop("level")
-    paragraphs = at("paragraph")
+    top = segment_blocks(detections.select(*[c for c in detections.columns if c != "tile"]), left_to_right).blocks
+    illustrations, blocks = top.filter("label = 'Illustration'").drop("reading_idx"), top.filter("label <> 'Illustration'").drop("reading_idx")
+    inner = detections.filter("level <> 'block'")
+    if pages is not None:
+        areas = print_areas(top, pages, config.crop_margin, config.crop_to_print_area)
+        inner = on_page(inner, areas, glyph_tiles(areas, config.tiles, config.tile_margin)).join(areas.select("page_id", "height"), "page_id")
+        low = F.col("t") + F.col("h")
+        inner = inner.filter((F.col("level") != "line") | (low <= F.col("height"))).filter((F.col("level") != "word") | (low < F.col("height") - 1)).drop("height")
+    inner = inner.drop("tile")
+    at = lambda level: inner.filter(F.col("level") == level).drop("level")
+    within = (lambda df, least: spatial.in_region(df, G.Rect(*map(F.lit, region)), least)) if region else (lambda df, least: df)
+
+    blocks = within(blocks, 0)
+    # tiles and repeated detectors may use one number twice
+    paragraphs = suppress.suppress_unordered(within(at("paragraph"), 0), ["page_id"], ["t", "l", "det_id"])
     placed = spatial.place_best(_boxes(paragraphs, "a_", "det_id"), _boxes(blocks, "b_", F.col("det_id").alias("block")), ["page_id"], ["det_id"], ["block"], PLACED)
-    lost = spatial.orphans(paragraphs, placed, ["page_id", "det_id"], ALWAYS_KEPT)
+    lost = spatial.orphans(paragraphs, placed, ["page_id", "det_id"], config.always_kept)
     blocks = blocks.unionByName(lost.withColumn("det_id", -F.col("det_id") - 1))
 
-    lines = at("line").withColumn("t", F.col("t") - F.floor(F.col("h") / 2).cast("int"))
+    lines = within(at("line").withColumn("t", F.col("t") - F.floor(F.col("h") / 2).cast("int")), 0)
     met = spatial.place_all(_boxes(lines, "a_", "det_id", "conf"), _boxes(blocks, "b_", F.col("det_id").alias("block")), ["page_id"], PLACED_LINE)
-    lines = met.select("page_id", "block", "det_id", F.col("b_l").alias("l"), F.col("a_t").alias("t"), F.col("b_w").alias("w"), F.col("a_h").alias("h"), "conf")
+    lines = met.select("page_id", "block", "det_id", F.col("b_l").alias("l"), F.col("a_t").alias("t"), F.col("b_w").alias("w"), F.col("a_h").alias("h"), "conf", F.col("b_t").alias("block_t"), (F.col("b_t") + F.col("b_h")).alias("block_b"))
     lines = suppress.suppress_ordered(lines, ["page_id", "block"], ["t", "det_id"])
     lines = lines.withColumn("line_idx", F.row_number().over(Window.partitionBy("page_id", "block").orderBy("t", "det_id")) - 1)
+    # words and glyphs are placed by the bands between baselines
+    bands = spatial.line_bands(lines.withColumn("y", F.col("t") + F.col("h")), ["page_id", "block"])
+    bands = bands.withColumn("t", F.col("band_t").cast("int")).withColumn("h", (F.col("band_b") - F.col("band_t")).cast("int"))
 
     def into(children: DataFrame, parents: DataFrame, keys: list[str], parent: str) -> DataFrame:
         a = children.select("page_id", *keys[1:], "det_id", "conf", *[F.col(c).alias(f"a_{c}") for c in "ltwh"])
@@ -67,19 +120,60 @@ def segment_full(detections: DataFrame, left_to_right: bool) -> Segmented:
         got = spatial.place_best(a, b, keys, ["det_id"], ["_p"], PLACED)
         return got.select(*keys, F.col("_p").alias(parent), "det_id", *[F.col(f"a_{c}").alias(c) for c in "ltwh"], "conf")
 
-    in_block = lambda level: into(at(level), blocks.withColumn("block", F.col("det_id")), ["page_id"], "block")
-    order = ["l", "det_id"]
-    words = suppress.suppress_ordered(into(in_block("word"), lines, ["page_id", "block"], "line_idx"), ["page_id", "block", "line_idx"], order)
-    along = Window.partitionBy("page_id", "block", "line_idx").orderBy(*(["l", "det_id"] if left_to_right else [F.desc(F.col("l") + F.col("w")), "det_id"]))
+    in_block = lambda df: into(df, blocks.withColumn("block", F.col("det_id")), ["page_id"], "block")
+    number = Window.partitionBy("page_id").orderBy("t", "l", "w", "h", "det_id")
+    numbered = lambda df: df.withColumn("det_id", F.row_number().over(number))
+    line = ["page_id", "block", "line_idx"]
+    words = suppress.suppress_ordered(into(in_block(numbered(within(at("word"), 0.8))), bands, line[:2], "line_idx"), line, ["l", "det_id"])
+    right = [F.desc(F.col("l") + F.col("w")), F.desc("l"), "det_id"]
+    along = Window.partitionBy(*line).orderBy(*(["l", "det_id"] if left_to_right else right))
     words = words.withColumn("word_idx", F.row_number().over(along) - 1)
-    glyphs = into(into(in_block("glyph"), lines, ["page_id", "block"], "line_idx"), words, ["page_id", "block", "line_idx"], "word_idx")
-    glyphs = suppress.suppress_ordered(glyphs, ["page_id", "block", "line_idx", "word_idx"], order)
-
-    words = spatial.with_children(words, glyphs, ["page_id", "block", "line_idx", "word_idx"])
-    lines = spatial.with_children(lines, words, ["page_id", "block", "line_idx"])
+    glyphs = into(into(in_block(numbered(within(at("glyph"), 0.8))), bands, line[:2], "line_idx"), words, line, "word_idx")
+    glyphs = suppress.suppress_ordered(glyphs, [*line, "word_idx"], ["l", "det_id"])
+    glyphs = L.borders(glyphs, [*line, "word_idx"], ["l", "det_id"])
+    box = words.select(*line, "word_idx", F.col("t").alias("_t"), F.col("h").alias("_h"))
+    glyphs = glyphs.join(box, [*line, "word_idx"]).select(*line, "word_idx", "det_id", F.col("border_l").alias("l"), F.col("_t").alias("t"), (F.col("border_r") - F.col("border_l")).alias("w"), F.col("_h").alias("h"), "conf")
+    each = Window.partitionBy(*line, "word_idx").orderBy(*(["l", "det_id"] if left_to_right else right))
+    glyphs = glyphs.withColumn("glyph_idx", F.row_number().over(each) - 1)
+
+    words = spatial.with_children(words, glyphs, [*line, "word_idx"])
+    lines = spatial.with_children(bands.select(*lines.columns, "y", "band_t", "band_b"), words, line)
+    children, lines = _children(lines, placed.select("page_id", "block", (F.col("a_t") + F.col("a_h")).alias("bottom")))
     blocks = spatial.with_children(blocks.withColumn("block", F.col("det_id")), lines, ["page_id", "block"])
-    blocks = suppress.sort_pages(blocks.unionByName(at("block").filter("label = 'Illustration'").withColumn("block", F.col("det_id"))), ["page_id"], left_to_right)
-    r = G.rect()
-    gap = (F.lead("l").over(along) - r.r) if left_to_right else (r.l - F.lead(r.r).over(along))
-    spaces = words.withColumn("gap", gap).filter("gap > 0").select("page_id", "block", "line_idx", "word_idx", (r.r if left_to_right else r.l - F.col("gap")).alias("l"), F.col("gap").alias("w"), "t", "h")
-    return Segmented(blocks, lines, words, glyphs, spaces)
+    blocks = suppress.sort_pages(blocks.unionByName(illustrations.withColumn("block", F.col("det_id"))), ["page_id"], left_to_right)
+    spaces = L.spaces(words, line, ["word_idx"], left_to_right)
+    return Segmented(blocks, lines, words, glyphs, spaces, children)
+
+
+def _children(lines: DataFrame, paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Children of blocks that hold several paragraphs, and lines with ``child`` (null in other blocks)."""
+    bottoms = paragraphs.groupBy("page_id", "block").agg(F.sort_array(F.collect_list("bottom")).alias("bottoms")).filter(F.size("bottoms") > 1)
+    per = lines.groupBy("page_id", "block").agg(F.array_sort(F.collect_list(F.struct("line_idx", "y"))).alias("ls")).join(bottoms, ["page_id", "block"])
+    steps = L.paragraph_steps(F.transform("ls", lambda x: x["y"]), F.col("bottoms"))
+    per = per.withColumn("groups", steps).filter(F.array_max("groups") > 0)
+    shared = per.select("page_id", "block", F.explode(F.arrays_zip("ls", "groups")).alias("z")).select("page_id", "block", F.col("z.ls.line_idx").alias("line_idx"), F.col("z.groups").alias("child"))
+    lines = lines.join(shared, ["page_id", "block", "line_idx"], "left")
+    found = lines.filter("child is not null").groupBy("page_id", "block", "child").agg(F.max_by("band_b", "line_idx").alias("bottom"), F.first("block_t").alias("block_t"), F.first("block_b").alias("block_b"), F.first("l").alias("l"), F.first("w").alias("w"))
+    found = L.stretched_children(found, ["page_id", "block"], "child")
+    return found.select("page_id", "block", "child", "l", F.col("t").cast("int").alias("t"), "w", (F.col("b") - F.col("t")).cast("int").alias("h")), lines
+
+
+def block_segments(images: DataFrame, blocks: DataFrame, whiten) -> DataFrame:
+    """``page_id, block, image``: each text block's part of its page, illustrations made white.
+
+    ``images``: ``page_id, image, width, height``; blocks are clipped to the
+    page. ``whiten(image, box, boxes)`` cuts out the pixels.
+    """
+    page = G.Rect(F.lit(0), F.lit(0), F.col("width"), F.col("height"))
+    others = blocks.filter("label = 'Illustration'").groupBy("page_id").agg(F.collect_list(F.struct(*"ltwh")).alias("white"))
+    x = blocks.filter("label <> 'Illustration'").join(images, "page_id").join(others, "page_id", "left")
+    clip = G.intersection(G.rect(), page)
+    x = x.select("page_id", "block", "image", "white", *clip.columns("c_")).filter("c_w is not null")
+
+    def cut(batches):
+        for batch in batches:
+            boxes = zip(batch["image"], batch["c_l"], batch["c_t"], batch["c_w"], batch["c_h"], batch["white"])
+            yield batch[["page_id", "block"]].assign(image=[whiten(bytes(i), (l, t, w, h), [] if white is None else [(b["l"], b["t"], b["w"], b["h"]) for b in white]) for i, l, t, w, h, white in boxes])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.select("page_id", "block").schema)
+    return x.mapInPandas(cut, f"{fields}, image binary")

@@ -17,20 +17,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of a table of fewer files than there are cores are dealt to all of them; larger tables are read as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, line_idx, line``."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_idx", "line"))
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_idx", "line"))
+
+
+#: Words of a line whose places are counted together.
+STEP = 16
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, line_idx, tok_idx, content, l, t, w, h, conf``; no shuffle: offsets come from the line."""
-    t = lines(spark, sf_dir).select("doc_id", "line_idx", "line", F.posexplode(F.split("line", " ")).alias("tok_idx", "content"))
-    offset = F.expr("case when tok_idx = 0 then 0 else length(substring_index(line, ' ', tok_idx)) + 1 end")
-    t = t.filter("content <> ''").select(
-        "doc_id", "line_idx", "tok_idx", "content", (offset * 10).cast("int").alias("l"), (F.col("line_idx") * 20).alias("t"), (F.length("content") * 10).cast("int").alias("w"), F.lit(16).alias("h"),
+    """``doc_id, line_idx, tok_idx, content, l, t, w, h, conf``; no shuffle.
+
+    A word's place in its line is a sum over the words before it in its step,
+    and over the steps before that one; the line itself goes no further.
+    """
+    size = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x) + 1)
+    parts = lines(spark, sf_dir).select("doc_id", "line_idx", F.split("line", " ").alias("parts"))
+    steps = F.transform(F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / STEP).cast("int")), lambda i: F.slice("parts", i * STEP + 1, STEP))
+    steps = parts.select("doc_id", "line_idx", steps.alias("steps"))
+    starts = F.aggregate("steps", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + size(x))))
+    step = steps.select("doc_id", "line_idx", F.posexplode(F.arrays_zip(F.col("steps").alias("words"), starts.alias("start"))).alias("step", "s")).filter("s.words is not null")
+    step = step.select("doc_id", "line_idx", "step", F.col("s.start").alias("start"), F.col("s.words").alias("ws"))
+    t = step.select("doc_id", "line_idx", "step", "start", "ws", F.posexplode("ws").alias("i", "content")).filter("content <> ''")
+    offset = F.col("start") + size(F.slice("ws", F.lit(1), F.col("i")))
+    t = t.select("doc_id", "line_idx", (F.col("step") * STEP + F.col("i")).alias("tok_idx"), "content", offset.alias("offset"))
+    return t.select(
+        "doc_id", "line_idx", "tok_idx", "content", (F.col("offset") * 10).cast("int").alias("l"), (F.col("line_idx") * 20).alias("t"), (F.length("content") * 10).cast("int").alias("w"), F.lit(16).alias("h"),
         ((F.col("doc_id") * 13 + F.col("line_idx") * 7 + F.col("tok_idx") * 3) % 100 / F.lit(100.0)).alias("conf"),
     )
-    return t
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +69,15 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def millionths_sql(n: str, d: str) -> str:
+    return f"((2000000 * ({n})::bigint + ({d})) // (2 * ({d}))::bigint)"
+
+
+def six_sql(n: str, d: str) -> str:
+    k = millionths_sql(n, d)
+    return f"printf('%d.%06d', {k} // 1000000, {k} % 1000000)"
+
+
 LINES = """lines as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 line_idx from documents)"""
 WORDS = (
     LINES

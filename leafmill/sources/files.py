@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from ..functions.text import without_extension
+
 IMAGES = r"\.(jpg|jpeg|png)$"
 IMAGES_AND_DOCUMENTS = r"\.(pdf|jpg|jpeg|png|tif)$"
 
@@ -70,6 +72,34 @@ def write_texts(docs: DataFrame, path: str, by: str) -> None:
     docs.select(by, "content").write.mode("overwrite").partitionBy(by).text(path)
 
 
+def allowed_files(files: DataFrame, names: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """Files whose name is listed (column ``name``), if there is a list, and the first ``most`` of them in order."""
+    own = F.element_at(F.split("path", "/"), -1)
+    found = files if names is None else files.join(names.select(F.col("name").alias("_name")).distinct(), own == F.col("_name"), "left_semi")
+    return found if most is None else found.orderBy("path").limit(most)
+
+
+def with_layouts(images: DataFrame, layouts: DataFrame, suffix: str = "_alto4.xml") -> DataFrame:
+    """Images with the layout file of their name: ``path, ..., layout_path, xml``; images without one go."""
+    found = layouts.select(F.col("path").alias("layout_path"), F.decode("content", "UTF-8").alias("xml"))
+    return images.join(found, layout_key(F.col("path"), suffix) == F.col("layout_path"))
+
+
+def write_lexicon(lexicon: DataFrame, path: str) -> None:
+    """A lexicon as a table that ``read_saved_lexicon`` reads."""
+    lexicon.select("word").distinct().write.mode("overwrite").parquet(path)
+
+
+def read_saved_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("word")
+
+
+def write_text_files(docs: DataFrame, path: str, columns: dict[str, str]) -> None:
+    """Texts of each document as rows of ``file, text``, a folder for each suffix in ``columns`` (suffix to column)."""
+    parts = [F.struct(F.concat(without_extension(F.col("file")), F.lit(suffix)).alias("file"), F.lit(suffix.strip("._") or "text").alias("kind"), F.col(c).alias("text")) for suffix, c in columns.items()]
+    docs.select(F.inline(F.array(*parts))).write.mode("overwrite").partitionBy("kind").json(path)
+
+
 @F.pandas_udf(BinaryType())
 def zipped(files: pd.Series) -> pd.Series:
     """An archive of each row's array of struct(name, content)."""

@@ -113,6 +113,48 @@ def read_layout(files: DataFrame, default_lang: str = "yi") -> DataFrame:
     return files.select("file", "xml").mapInPandas(parse, NODES)
 
 
+HEADERS = (
+    "file string, node string, idx int, id string, label string, time string, agency string, descriptions array<string>, settings string, "
+    "creator string, name string, version string, application string, family string, font_type string, font_width string, font_size double"
+)
+_HEADER_NAMES = [f.split()[0] for f in HEADERS.split(", ")]
+#: fixed values: font size that is taken where the given one is no number
+FONT_SIZE = 12.0
+
+
+def parse_headers(file: str, xml: str | bytes) -> Iterator[dict]:
+    """Steps of processing ("step"), styles ("style") and tags ("LayoutTag", "StructureTag") of a document, in order."""
+    text = lambda e, tag: next((x.text or "" for x in e.iter() if _local(x) == tag), None)
+    for i, e in enumerate(x for x in ET.fromstring(xml).iter() if _local(x) in ("Processing", "TextStyle", "LayoutTag", "StructureTag")):
+        row = dict.fromkeys(_HEADER_NAMES) | {"file": file, "idx": i, "id": e.get("ID")}
+        if _local(e) == "Processing":
+            row |= {"node": "step", "time": text(e, "processingDateTime"), "agency": text(e, "processingAgency"), "descriptions": [x.text or "" for x in e.iter() if _local(x) == "processingStepDescription"]}
+            row |= {"settings": text(e, "processingStepSettings"), "creator": text(e, "softwareCreator"), "name": text(e, "softwareName"), "version": text(e, "softwareVersion"), "application": text(e, "applicationDescription")}
+        elif _local(e) == "TextStyle":
+            row |= {"node": "style", "family": e.get("FONTFAMILY"), "font_type": e.get("FONTTYPE"), "font_width": e.get("FONTWIDTH"), "font_size": number(e.get("FONTSIZE"), FONT_SIZE) if e.get("FONTSIZE") else None}
+        else:
+            row |= {"node": _local(e), "label": e.get("LABEL") or ""}
+        yield row
+
+
+def read_headers(files: DataFrame) -> DataFrame:
+    """``HEADERS`` and ``at``, a step's point in time: with an offset, else a plain date, else null."""
+
+    def parse(batches):
+        for batch in batches:
+            rows: list[dict] = []
+            for file, xml in zip(batch["file"], batch["xml"]):
+                try:
+                    rows += parse_headers(file, xml)
+                except ET.ParseError:  # read_layout has the row with the error
+                    continue
+            yield pd.DataFrame(rows, columns=_HEADER_NAMES)
+
+    found = files.select("file", "xml").mapInPandas(parse, HEADERS)
+    forms = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-ddXXX", "yyyy-MM-dd")
+    return found.withColumn("at", F.coalesce(*[F.try_to_timestamp("time", F.lit(f)) for f in forms]))
+
+
 def escaped(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         c = F.replace(c, F.lit(a), F.lit(b))
@@ -132,8 +174,31 @@ def _element(tag: Column | str, attributes: Column, children: Column) -> Column:
     return F.concat(F.lit("<"), tag, attributes, F.when(children == "", "/>").otherwise(F.concat(F.lit(">"), children, F.lit("</"), tag, F.lit(">"))))
 
 
-def write_layout(nodes: DataFrame) -> DataFrame:
-    """``file, xml`` from rows as ``read_layout`` gives them; levels fold upwards, children in order."""
+def _tag(name: str, value: Column) -> Column:
+    return F.when(value.isNotNull(), F.concat(F.lit(f"<{name}>"), escaped(value), F.lit(f"</{name}>"))).otherwise("")
+
+
+def header_xml(headers: DataFrame) -> DataFrame:
+    """``file, head``: steps, styles and tags as they stand before the layout."""
+    names = (("softwareCreator", "creator"), ("softwareName", "name"), ("softwareVersion", "version"), ("applicationDescription", "application"))
+    software = F.concat(*[_tag(a, F.col(c)) for a, c in names])
+    described = F.concat_ws("", F.transform(F.coalesce("descriptions", F.array().cast("array<string>")), lambda d: _tag("processingStepDescription", d)))
+    step = F.concat(F.lit("<Processing"), _attribute("ID", F.col("id")), F.lit(">"), _tag("processingDateTime", F.col("time")), _tag("processingAgency", F.col("agency")), described, _tag("processingStepSettings", F.col("settings")), F.lit("<processingSoftware>"), software, F.lit("</processingSoftware></Processing>"))
+    style = F.concat(F.lit("<TextStyle"), *[_attribute(a, c) for a, c in (("ID", F.col("id")), ("FONTFAMILY", F.col("family")), ("FONTTYPE", F.col("font_type")), ("FONTWIDTH", F.col("font_width")), ("FONTSIZE", F.format_string("%.1f", "font_size")))], F.lit("/>"))
+    style = F.when(F.col("font_size").isNull(), F.regexp_replace(style, ' FONTSIZE="[^"]*"', "")).otherwise(style)
+    tag = F.concat(F.lit("<"), F.col("node"), _attribute("ID", F.col("id")), _attribute("LABEL", F.col("label")), F.lit("/>"))
+    xml = headers.select("file", "idx", F.when(F.col("node") == "step", "1").when(F.col("node") == "style", "2").otherwise("3").alias("kind"), F.when(F.col("node") == "step", step).when(F.col("node") == "style", style).otherwise(tag).alias("xml"))
+    rows = F.array_sort(F.collect_list(F.struct("idx", "kind", "xml")))
+
+    def part(kind: str, around: str) -> Column:
+        found = F.concat_ws("", F.transform(F.filter("rows", lambda r: r["kind"] == kind), lambda r: r["xml"]))
+        return F.when(found != "", F.concat(F.lit(f"<{around}>"), found, F.lit(f"</{around}>"))).otherwise("")
+
+    return xml.groupBy("file").agg(rows.alias("rows")).select("file", F.concat(part("1", "Description"), part("2", "Styles"), part("3", "Tags")).alias("head"))
+
+
+def write_layout(nodes: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """``file, xml`` from rows as ``read_layout`` and ``read_headers`` give them; levels fold upwards, children in order."""
 
     def folded(rows: DataFrame, into: str) -> DataFrame:
         parts = F.array_sort(F.collect_list(F.struct("idx", "xml")))
@@ -165,5 +230,7 @@ def write_layout(nodes: DataFrame) -> DataFrame:
     attributes = F.concat(_attribute("ID", F.col("page_id")), _attribute("WIDTH", F.col("w")), _attribute("HEIGHT", F.col("h")), _attribute("PHYSICAL_IMG_NR", F.col("page_nr")), _attribute("ROTATION", F.col("rotation")), _attribute("LANG", F.col("lang")), conf("PC"))
     page = level("page", flat.select("file", "parent_idx", "idx", "xml").unionByName(top), _element("Page", attributes, _element("PrintSpace", F.lit(""), F.col("children"))))
     parts = F.array_sort(F.collect_list(F.struct("idx", "xml")))
-    body = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><alto xmlns="http://www.loc.gov/standards/alto/ns-v4#"><Layout>'), F.concat_ws("", F.transform(parts, lambda x: x["xml"])), F.lit("</Layout></alto>"))
-    return page.groupBy("file").agg(body.alias("xml"))
+    body = page.groupBy("file").agg(F.concat_ws("", F.transform(parts, lambda x: x["xml"])).alias("body"))
+    body = body.join(header_xml(headers), "file", "left") if headers is not None else body.withColumn("head", F.lit(""))
+    start = F.lit('<?xml version="1.0" encoding="UTF-8"?><alto xmlns="http://www.loc.gov/standards/alto/ns-v4#">')
+    return body.select("file", F.concat(start, F.coalesce("head", F.lit("")), F.lit("<Layout>"), "body", F.lit("</Layout></alto>")).alias("xml"))

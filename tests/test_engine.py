@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from leafmill.functions import geometry as G
 from leafmill.functions import metrics, pixels
 from leafmill.functions import text as T
-from leafmill.operators import decode, rewrite, spatial, suppress, text_tree
+from leafmill.config import Config
+from leafmill.operators import block_decode, corpus, decode, evaluate, lookup, rewrite, spatial, suppress, text_tree, transliterate, tree
 from leafmill.plans import api, layout_queries, segment, source_queries
-from leafmill.sources import detector, files, layout_xml
+from leafmill.sources import detector, files, images, layout_xml
 
 Box = namedtuple("Box", "l t w h conf")
 
@@ -24,12 +25,29 @@ def value(spark, column, **columns):
     return spark.createDataFrame([tuple(columns.values())], list(columns)).select(column.alias("x")).first()["x"] if columns else spark.range(1).select(column.alias("x")).first()["x"]
 
 
+def points(s: str) -> str:
+    import unicodedata
+
+    return unicodedata.normalize("NFD", s)
+
+
 @pytest.mark.parametrize(
     ("raw", "simple"),
-    [("ווען", "װען"), ("ברויט", "ברױט"), ("איידער", "אײדער"), ("כִּמְעַט", "כּמעט"), ("''", "“")],
-)
+    [
+        ("זייַנען", "זײַנען"), ("ייִדן", "ייִדן"), ("פּרוּוון", "פּרוּװן"), ("איידער", "אײדער"), ("ברויט", "ברױט"), ("ווען", "װען"), ("כִּמְעַט", "כּמעט"), ("אֶרֶץ-יִשְׂרָאֵל", "ארץ־יִשׂראל"), (",,וואָס''", "„װאָס“"), ("''", "“"),
+        ('"', "“"), ("'", "’"), ("‛‛", "“"), ("←", "—"), ("◦ № ▼ ⁂", "• • • •"), ("ד⸗ר", "ד־ר"), ("\ufb31", "בּ"), ("דֿ", "ד"), ("תׂ", "ת"), ("\ufb1f", "ײַ"), ("a|b", "a|b"),
+    ],
+)
 def test_simplified(spark, raw, simple):
-    assert value(spark, T.simplified(F.col("s")), s=raw) == simple
+    assert value(spark, T.simplified(F.col("s")), s=raw) == points(simple)
+
+
+def test_presentation_forms_by_code_point(spark):
+    import unicodedata
+
+    assert all(0xFB1D <= ord(k) <= 0xFB4E and v == unicodedata.normalize("NFD", k) != k for k, v in T.PRESENTATION_FORMS.items()) and len(T.PRESENTATION_FORMS) > 30
+    everything = "".join(T.PRESENTATION_FORMS)
+    assert value(spark, T.decomposed(F.col("s")), s=everything) == points(everything)
 
 
 def test_alphabet_mask(spark):
@@ -37,9 +55,36 @@ def test_alphabet_mask(spark):
     assert value(spark, T.simplified(F.col("s"), True), s="Привет") == "CCCCCC"
 
 
+NORMAL = ["ייִדן", "אָװנט", "איך האָב געגנבֿעט אַ בוך.", "דאָס איז ממש אַ מחיה.", "ניפֿטר"]
+ROMAN = ["yidn", "ovnt", "ikh hob geganvet a bukh.", "dos iz mamesh a mekhaye.", "nifter"]
+PHONETIC = ["ייִדן", "אָװנט", "איך האָב געגאַנװעט אַ בוך.", "דאָס איז מאַמעש אַ מעכײַע.", "ניפֿטער"]
+#: Words of the lines above that are not read as they are spelled.
+READINGS = [("געגנבֿעט", ["געגאַנװעט"]), ("ממש", ["מאַמעש"]), ("מחיה", ["מעכײַע"]), ("ניפֿטר", ["ניפֿטער"])]
+
+
 def test_transliteration(spark):
-    assert value(spark, T.transliterated(F.col("s")), s="אָװנט") == "ovnt"
-    assert value(spark, T.detransliterated(F.col("s")), s="ovnt") == "אָװנט"
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(zip(NORMAL, ROMAN, PHONETIC))], "i int, normal string, roman string, phonetic string")
+    for r in df.select("*", T.transliterated(F.col("phonetic")).alias("t"), T.detransliterated(F.col("roman")).alias("d"), T.precombined(F.col("phonetic")).alias("p"), T.with_points(T.detransliterated(F.col("roman"))).alias("w")).collect():
+        assert (r["t"], r["d"], points(r["w"])) == (r["roman"], r["p"], points(r["phonetic"]))
+    dictionary = spark.createDataFrame(READINGS, "word string, readings array<string>")
+    there = transliterate.transliterate(df.select("i", F.col("normal").alias("text")), ["i"], dictionary).orderBy("i").collect()
+    assert [r["text"] for r in there] == ROMAN
+    back = transliterate.detransliterate(df.select("i", F.col("roman").alias("text")), ["i"], dictionary).select("i", T.with_points(F.col("text")).alias("text")).orderBy("i").collect()
+    assert [points(r["text"]) for r in back] == [points(x) for x in NORMAL]
+    rare = spark.createDataFrame([("ממש", ["מאַמ", "מאַמעש"])], "word string, readings array<string>")
+    assert transliterate.transliterate(df.filter("i = 3").select("i", F.col("normal").alias("text")), ["i"], rare, ("מאַמ",)).first()["text"].split()[2] == "mamesh"
+
+
+@pytest.mark.parametrize(("roman", "letters"), [("fareynikt", "פֿאַראײניקט"), ("proyekt", "פּראָיעקט"), ("arbets", "אַרבעטס"), ("geyogt", "געיאָגט"), ("oysher", "אױשער"), ("oyshaltn", "אױסהאַלטן"), ("pikholts", "פּיקהאָלץ"), ("rayon", "ראַיאָן"), ("umloyal", "אומלאָיאַל"), ("haltst", "האַלטסט"), ("yidish", "ייִדיש"), ("m", "מ"), ("shteyn.", "שטײן.")])
+def test_stems_and_finals(spark, roman, letters):
+    assert points(value(spark, T.with_points(T.detransliterated(F.col("s"))), s=roman)) == points(letters)
+
+
+def test_signs(spark):
+    assert value(spark, T.standard_punctuation(F.col("s")), s="a-b′׳″״") == 'a־b""""'
+    assert value(spark, T.without_points(F.col("s")), s="פּרוּװן שׂ") == "פרוװן ש"
+    assert value(spark, T.precombined(F.col("s")), s="בּיי") == "בײ"
+    assert value(spark, T.without_dram_sign(F.col("s")), s="a֏'") == "a’"
 
 
 @pytest.mark.parametrize(("raw", "turned"), [("24", "42"), ("123.45", "54.321"), ("71טן", "17טן"), ("Jimi", "Jimi"), ("7", "7")])
@@ -276,3 +321,332 @@ def test_segmenter(spark):
     assert got.words.count() == 2 and got.glyphs.count() == 2 and got.lines.count() == 1
     assert [(r["l"], r["w"]) for r in got.spaces.collect()] == [(50, 10)]
     assert got.blocks.count() == 1  # the lost paragraph became a block, but holds no line
+
+
+def test_settings(spark, monkeypatch):
+    monkeypatch.setenv("LEAFMILL_BEAM", "7")
+    monkeypatch.setenv("LEAFMILL_CROP_TO_PRINT_AREA", "false")
+    spark.conf.set("spark.leafmill.hyphen", "-")
+    try:
+        c = Config.of(spark, tiles=3)
+    finally:
+        spark.conf.unset("spark.leafmill.hyphen")
+    assert (c.beam, c.crop_to_print_area, c.hyphen, c.tiles, c.language) == (7, False, "-", 3, "yi")
+
+
+def test_lookup_of_hot_words(spark, monkeypatch):
+    """All ways of looking words up give the same rows."""
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("w"), F.col("id") % 50)).alias("word"))
+    entries = spark.createDataFrame([("hot", 1), ("w1", 2), ("w7", 3)], "word string, n int")
+    want = sorted(map(str, lookup.lookup_join(rows, entries, ["word"]).select("id", "word", "n").collect()))
+    monkeypatch.setattr(lookup, "MOST_ENTRIES", 0)
+    assert sorted(map(str, lookup.lookup_join(rows, entries, ["word"]).select("id", "word", "n").collect())) == want
+
+
+GLYPHS = "array<struct<content:string,l:int,t:int,w:int,h:int,conf:double>>"
+
+
+@pytest.mark.parametrize(
+    ("glyphs", "word", "hyphen"),
+    [
+        ([("H", 50, 10), ("e", 60, 10), ("n", 70, 10), ("־", 80, 10)], ("Hen", 50, 30), ("־", 80, 10)),
+        ([("H", 40, 10), ("e", 30, 10), ("n־", 10, 20)], ("Hen", 20, 30), ("־", 10, 10)),
+    ],
+)
+def test_hyphen_rule_by_glyphs(spark, glyphs, word, hyphen):
+    left, right = min(g[1] for g in glyphs), max(g[1] + g[2] for g in glyphs)
+    df = spark.createDataFrame([(0, 0, "Hen־", left, 10, right - left, 100, [(c, l, 10, w, 100, 0.5) for c, l, w in glyphs])], f"line_idx int, tok_idx int, content string, l int, t int, w int, h int, glyphs {GLYPHS}")
+    got = [(r["content"], r["l"], r["w"], r["t"], r["h"]) for r in rewrite.split_hyphens(df, ["line_idx"]).orderBy("part_idx").collect()]
+    assert got == [(*word, 10, 100), (*hyphen, 10, 100)]
+
+
+def test_alternatives(spark):
+    """Standard and romanised spellings; an impossible alef is read as the lexicon knows it, else as a."""
+    lexicon = spark.createDataFrame([("אָטאַם",), ("מער",), ("מאָמע",)], "word string")
+    schema = "tok_idx int, content string, subs_content string, alternatives array<struct<purpose:string,content:string>>"
+    df = spark.createDataFrame([(0, "מאמע", None, []), (1, "גאגא", None, []), (2, "מער", "מאמע", []), (3, "אטאם", None, [])], schema)
+    got = {r["tok_idx"]: {a["purpose"]: a["content"] for a in r["alternatives"]} for r in rewrite.spelling_alternatives(df, lexicon).collect()}
+    assert got[0] == {"YIVO": "מאָמע", "Roman": "mome"}
+    assert got[1] == {"YIVO": "גאַגאַ", "Roman": "gaga"}
+    assert got[2] == {"Roman": "mer", "YIVOHyphenated": "מאָמע", "RomanHyphenated": "mome"}
+    assert got[3] == {"YIVO": "אָטאַם", "Roman": "otam"}
+
+
+def test_rewriting(spark):
+    """Simple signs, hyphen, punctuation, numbers, alternatives, in this order."""
+    glyph = lambda text, l: [(c, l + 10 * i, 0, 10, 10, 0.5) for i, c in enumerate(text)]
+    words = [("ווען,", 0), ("24", 100), ("Hen-", 200)]
+    rows = [(0, i, w, l, 0, 10 * len(w), 10, 0.8, glyph(w, l), None, []) for i, (w, l) in enumerate(words)]
+    df = spark.createDataFrame(rows, f"line_idx int, tok_idx int, content string, l int, t int, w int, h int, conf double, glyphs {GLYPHS}, subs_content string, alternatives array<struct<purpose:string,content:string>>")
+    lexicon = spark.createDataFrame([("װען",)], "word string")
+    got = rewrite.rewrite_tokens(df, ["line_idx"], lexicon).orderBy("tok_idx").collect()
+    assert [(r["tok_idx"], r["kind"], r["content"]) for r in got] == [(0, "word", "װען"), (1, "word", ","), (2, "word", "42"), (3, "word", "Hen"), (4, "hyphen", "־")]
+    assert {a["purpose"]: a["content"] for a in got[0]["alternatives"]} == {"Roman": "ven"}
+    bare = rewrite.rewrite_tokens(df, ["line_idx"], lexicon, hyphens=False, remove_glyphs=True).orderBy("tok_idx").collect()
+    assert [r["content"] for r in bare] == ["װען", ",", "42", "Hen", "־"] and not any(r["glyphs"] for r in bare)
+
+
+@pytest.mark.parametrize(
+    ("first", "second", "content", "whole"),
+    [("ארץ־", "ישראל", "ארץ־", "ארץ־ישראל"), ("גע־", "װאָרן", "גע־", "געװאָרן"), ("ארץ־", "כוש", "ארץ־", "ארץ־כוש"), ("גע־", "שריבן", "גע־", "געשריבן")],
+)
+def test_block_decode(spark, first, second, content, whole):
+    lexicon = spark.createDataFrame([(w,) for w in ("ארץ", "ישראל", "ארץ־ישראל", "געװאָרן")], "word string")
+    rows = [("b", 0, 0, [("דאָ", 0.5)]), ("b", 0, 1, [(first, 0.5), (first[:-1] + "x", 0.4)]), ("b", 1, 0, [(second, 0.5)]), ("b", 1, 1, [("ישראל", 0.4), ("x", 0.5)])]
+    df = spark.createDataFrame(rows, f"block string, line_idx int, tok_idx int, beam {block_decode.BEAM}")
+    got = {(r["line_idx"], r["tok_idx"]): r for r in block_decode.decode_blocks(df, lexicon, ["block"], impossible=r"[םןץףך]\p{L}").collect()}
+    assert (got[0, 1]["content"], got[0, 1]["subs_type"], got[0, 1]["subs_content"]) == (content, "HypPart1", whole)
+    assert (got[1, 0]["content"], got[1, 0]["subs_type"], got[1, 0]["subs_content"]) == (second, "HypPart2", whole)
+    assert got[1, 1]["content"] == "ישראל" and got[0, 0]["subs_type"] is None
+
+
+def test_one_word_lines_keep_their_decision(spark):
+    """Lines of one word that all may end in a hyphen: every other pair is decided, no word twice."""
+    lexicon = spark.createDataFrame([("abcd",)], "word string")
+    rows = [("b", i, 0, [(w, 0.5)]) for i, w in enumerate(["ab-", "cd-", "ab-", "cd"])]
+    df = spark.createDataFrame(rows, f"block string, line_idx int, tok_idx int, beam {block_decode.BEAM}")
+    got = [(r["content"], r["subs_type"], r["subs_content"]) for r in block_decode.decode_blocks(df, lexicon, ["block"], "-").orderBy("line_idx").collect()]
+    assert [x[1] for x in got] == ["HypPart1", "HypPart2"] * 2 and got[2][2] == got[3][2] == "abcd"
+
+
+def test_other_alphabets(spark):
+    hebrew, latin = [[("א", 0.9)], [("L", 0.8)]], [[("b", 0.9)], [("a", 0.8)]]
+    p = "array<array<struct<outcome:string,conf:double>>>"
+    df = spark.createDataFrame([(0, "אL", 0.5, "yi", latin), (1, "אב", 0.5, "yi", latin)], f"i int, content string, score double, lang string, en {p}")
+    got = block_decode.guess_other_alphabets(df, [("en", ".*L.*", "en")], False).orderBy("i").collect()
+    assert (got[0]["content"], got[0]["lang"]) == ("ab", "en") and math.isclose(got[0]["score"], math.sqrt(0.72))
+    assert (got[1]["content"], got[1]["lang"], got[1]["score"]) == ("אב", "yi", 0.5)
+    beam = block_decode.beams(spark.createDataFrame([(hebrew,)], f"predictions {p}"), 1).first()["beam"]
+    assert [g["text"] for g in beam] == ["אL"]
+
+
+def test_whole_text_guesser(spark):
+    df = spark.createDataFrame([(1, bytearray(b"x")), (2, bytearray(b"bad"))], "block int, image binary")
+
+    def guess(image):
+        if image == b"bad":
+            raise ValueError("no text")
+        return "<alto/>"
+
+    got = {r["block"]: (r["xml"], r["error"]) for r in block_decode.guess_whole(df, ["block"], guess).collect()}
+    assert got == {1: ("<alto/>", None), 2: ("", "ValueError: no text")}
+
+
+PAGE = '<alto xmlns="x"><Description><Processing ID="S1"><processingDateTime>2024-05-01T10:00:00+02:00</processingDateTime><processingAgency>us</processingAgency><processingStepDescription>a</processingStepDescription><processingStepDescription>b</processingStepDescription><processingSoftware><softwareName>n&amp;m</softwareName></processingSoftware></Processing><Processing ID="S2"><processingDateTime>2024-05-01</processingDateTime></Processing></Description><Styles><TextStyle ID="F" FONTFAMILY="Arial" FONTSIZE="9.5"/></Styles><Tags><LayoutTag ID="T1" LABEL="Head"/><StructureTag ID="T2" LABEL="Body"/></Tags><Layout><Page ID="P" PHYSICAL_IMG_NR="1" WIDTH="1000" HEIGHT="2000" ROTATION="90" LANG="yi"><PrintSpace><TextBlock HPOS="100" VPOS="200" WIDTH="300" HEIGHT="100"><TextLine BASELINE="100,290 400,290" HPOS="100" VPOS="200" WIDTH="300" HEIGHT="100"><String CONTENT="a" HPOS="300" VPOS="200" WIDTH="100" HEIGHT="90"/><SP HPOS="250" VPOS="200" WIDTH="50" HEIGHT="90"/><String CONTENT="b" HPOS="100" VPOS="200" WIDTH="150" HEIGHT="90" LANG="en"/><HYP CONTENT="-"/></TextLine></TextBlock><ComposedBlock><TextBlock HPOS="1"/><TextBlock HPOS="2"/></ComposedBlock><Illustration/></PrintSpace></Page></Layout></alto>'
+
+
+@pytest.fixture(scope="module")
+def nodes(spark):
+    return layout_xml.read_layout(spark.createDataFrame([("f", PAGE)], "file string, xml string")).cache()
+
+
+def test_headers(spark, nodes):
+    files_ = spark.createDataFrame([("f", PAGE)], "file string, xml string")
+    headers = layout_xml.read_headers(files_)
+    rows = headers.orderBy("idx").collect()
+    assert [r["node"] for r in rows] == ["step", "step", "style", "LayoutTag", "StructureTag"]
+    assert rows[0]["descriptions"] == ["a", "b"] and rows[0]["name"] == "n&m" and rows[2]["font_size"] == 9.5
+    assert [str(r["at"]) for r in headers.orderBy("idx").select(F.date_format("at", "yyyy-MM-dd HH").alias("at")).collect()] == ["2024-05-01 08", "2024-05-01 00", "None", "None", "None"]
+    again = layout_xml.read_headers(layout_xml.write_layout(nodes, headers))
+    assert [tuple(r) for r in again.drop("file").orderBy("idx").collect()] == [tuple(r) for r in headers.drop("file").orderBy("idx").collect()]
+
+
+def test_page_tree(spark, nodes):
+    assert [r["l"] for r in tree.text_blocks(nodes).orderBy("block_nr").collect()] == [100, 1, 2]
+    assert tree.blocks_of(nodes, "illustration").count() == 1 and tree.first_hyphens(nodes).first()["content"] == "-"
+    assert tree.without_ids(nodes).filter("id is not null").count() == 0
+    names = [r["id"] for r in tree.with_positional_ids(nodes).filter("node = 'block'").orderBy("idx").collect()]
+    assert names == ["TB_00001_001_000", "CB_00001_002", "TB_00001_002_001", "TB_00001_002_002", "IL_00001_003"]
+    langs = {(r["node"], r["content"]): r["language"] for r in tree.effective_languages(nodes, "he").collect()}
+    assert langs["token", "a"] == "yi" and langs["token", "b"] == "en"
+    turned = tree.with_language(nodes, "en", T.RIGHT_TO_LEFT)
+    assert [r["content"] for r in turned.filter("node = 'token' and kind = 'word'").orderBy("idx").collect()] == ["b", "a"]
+
+
+def test_page_cascade(spark, nodes):
+    box = lambda df, node: tuple(df.filter(F.col("node") == node).orderBy("idx").select("l", "t", "w", "h").first())
+    line = lambda df: tuple(df.filter("node = 'line'").select("x1", "y1", "x2", "y2").first())
+    moved = tree.translate_pages(nodes, F.lit(5), F.lit(-7))
+    assert box(moved, "block") == (105, 193, 300, 100) and line(moved) == (105, 283, 405, 283) and box(moved, "page") == (0, 0, 1000, 2000)
+    cut = tree.crop_pages(nodes, G.Rect(F.lit(90), F.lit(150), F.lit(500), F.lit(600)))
+    assert box(cut, "page") == (0, 0, 500, 600) and box(cut, "block") == (10, 50, 300, 100) and line(cut) == (10, 140, 310, 140)
+    half = tree.rescale_pages(nodes, F.lit(0.5))
+    assert box(half, "page") == (0, 0, 500, 1000) and box(half, "token") == (150, 100, 50, 45)
+    level = tree.unrotate_pages(nodes)
+    # (100, 290) is (-400, -710) from the centre; turned back by 90 degrees (-710, 400)
+    assert line(level)[:2] == (-210, 1400)
+    back = tree.rotate_pages(level)
+    assert all(abs(a - b) <= 1 for a, b in zip(line(back), line(nodes)))
+
+
+def test_output_formats(spark, nodes):
+    got = api.analyze(nodes, ("layout", "text", "processed", "glyphless")).first()
+    assert got["text"] == "a b-" and got["processed"].strip() == "a b-" and got["layout"] == got["glyphless"]
+    archive = api.zipped_answers(api.analyze(nodes, ("text",)), ("text",)).first()["archive"]
+    import io
+    import zipfile
+
+    assert zipfile.ZipFile(io.BytesIO(archive)).read("f.txt") == b"a b-"
+    with pytest.raises(api.BadRequest):
+        api.AnalysisRequest("f", ("nothing",))
+    with pytest.raises(api.NotFound):
+        api.uploaded(b'--x\r\nContent-Disposition: form-data; name="a"\r\n\r\n1\r\n--x--\r\n', "multipart/form-data; boundary=x")
+    assert api.uploaded(b'--x\r\nContent-Disposition: form-data; name="file"; filename="p.pgm"\r\n\r\nP5\r\n--x--\r\n', "multipart/form-data; boundary=x") == b"P5"
+    assert "404" in api.error_record(api.NotFound("x")) and api.parsed_formats("text, layout") == ("text", "layout") and api.parsed_region("1,2,3,4") == (1, 2, 3, 4)
+    answer = api.words_in_lexicon(["דער", "x1y"], spark.createDataFrame([("דער",)], "word string"))
+    assert answer.to_json() == '[{"word": "דער", "frequency": 1}, {"word": "x1y", "frequency": -1}]'
+
+
+@pytest.mark.parametrize(
+    ("word", "parts"),
+    [("a-b.c", [("text", "a"), ("punctuation", "-"), ("text", "b"), ("punctuation", "."), ("text", "c")]), ("a'b'c", [("abbreviation", "a'b"), ("abbreviation", "b'c")]), ("1.5", [("number", "1.5")]), ("12", [("number", "12")]), (",,", [("punctuation", ","), ("punctuation", ",")]), ("דער", [("text", "דער")])],
+)
+def test_word_parts(spark, word, parts):
+    assert [tuple(p) for p in value(spark, api.word_parts(F.col("s")), s=word)] == parts
+
+
+def gray_page() -> np.ndarray:
+    """Lines of text, slanted by two degrees."""
+    page = np.full((300, 400), 255, dtype=np.uint8)
+    y, x = np.mgrid[0:300, 0:400]
+    for k in range(40, 280, 40):
+        at = (y - k - x * np.tan(np.deg2rad(2))).astype(int)
+        page[(at >= 0) & (at < 8) & (x > 40) & (x < 360) & (x // 6 % 4 < 3)] = 0
+    return page
+
+
+def test_images(spark, tmp_path):
+    page = gray_page()
+    (tmp_path / "a.png").write_bytes(images.encoded(page))
+    (tmp_path / "b.png").write_bytes(b"nothing")
+    found = images.scan_images(spark, str(tmp_path)).cache()
+    rows = {r["path"][-5:]: r for r in found.collect()}
+    assert (rows["a.png"]["width"], rows["a.png"]["height"]) == (400, 300) and rows["b.png"]["error"].startswith("ValueError")
+    good = found.filter("error is null")
+    assert abs(images.skew(good).first()["skew"] - 2) < 0.3
+    out = images.transformed(good, [images.contrast_step(), images.fit_step(200, 200), images.unrotate_step(2.0)]).first()
+    assert (out["width"], out["height"]) == (200, 150) and out["found"] == {"scale": 0.5, "skew": 2.0}
+    cut = images.cropped(good, F.lit(10), F.lit(20), F.lit(30), F.lit(40)).first()
+    assert (cut["width"], cut["height"]) == (30, 40)
+    pages = images.render_pages(spark.createDataFrame([("d.pdf", bytearray(b"12"))], "path string, content binary"), len, lambda content, n, dpi: np.full((dpi // 100, n), 7, dtype=np.uint8))
+    assert sorted((r["path"], r["width"], r["height"]) for r in pages.collect()) == [("d.pdf#1", 1, 3), ("d.pdf#2", 2, 3)]
+
+
+def test_urls_and_service(spark):
+    import io
+
+    urls = spark.createDataFrame([("http://a/p.pgm",), ("http://a/none",)], "url string")
+    with pytest.raises(PermissionError):
+        images.fetch(urls)
+    data = images.encoded(gray_page())
+
+    def open_url(url, timeout):
+        if url.endswith("none"):
+            raise OSError("no answer")
+        return io.BytesIO(data)
+
+    def read(found):
+        xml = '<alto><Layout><Page ID="P"><PrintSpace><TextBlock><TextLine><String CONTENT="hi"/></TextLine></TextBlock></PrintSpace></Page></Layout></alto>'
+        return layout_xml.read_layout(found.select(F.col("path").alias("file"), F.lit(xml).alias("xml")))
+
+    got = api.analyze_urls(urls, read, api.AnalysisRequest("p", ("text",)), True, open_url).collect()
+    assert [(r["file"], r["text"]) for r in got] == [("http://a/p.pgm", "hi")]
+
+
+def test_blots():
+    dark = np.zeros((12, 30), dtype=bool)
+    dark[2:4, 3:20] = True
+    dark[4:6, 19:25] = True
+    dark[9, 1] = True
+    found = pixels.contours(dark)
+    assert [(c[:4], c[5]) for c in found] == [((3, 2, 22, 4), 46), ((1, 9, 1, 1), 1)]
+    assert pixels.dilated(dark, 3, 1)[9, :3].all() and not pixels.dilated(dark, 3, 1)[9, 3]
+    assert pixels.blurred(np.full((5, 5), 9, dtype=np.uint8), 3).tolist() == [[9] * 5] * 5
+
+
+def test_evaluation(spark):
+    expected = spark.createDataFrame([("a", "ווען\n\nx"), ("b", "lost")], "file string, text string")
+    predicted = spark.createDataFrame([("a", points("װען\nx"), 2.0)], "file string, text string, seconds double")
+    got = {(r["file"], r["metric"]): r["value"] for r in evaluate.evaluate(predicted, expected, ignore_paragraphs=True).collect()}
+    assert got["a", "CER"] == 0 and math.isclose(got["a", "BagOfWords"], 1.0) and got["a", "AnalysisTime"] == 2.0
+    assert got["b", "CER"] == 1 and got["b", "BagOfWords"] == 0
+    means = {r["metric"]: r["value"] for r in evaluate.report(evaluate.evaluate(predicted, expected)).filter("file = 'Mean'").collect()}
+    assert means["AnalysisTime"] == "2.000"
+    read = lambda df: df.select("file", F.lit("lost").alias("text"), F.lit(1.0).alias("seconds"))
+    whole = evaluate.read_and_evaluate(spark.createDataFrame([("b",), ("c",)], "file string"), expected, read)
+    assert {r["file"] for r in whole.collect()} == {"b"}
+
+
+def test_training_boxes(spark):
+    pages = spark.createDataFrame([("p", 1000, 500)], "page_id string, pw int, ph int")
+    box = "l int, t int, w int, h int"
+    blocks = spark.createDataFrame([("p", "text", True, 100, 100, 400, 200), ("p", "illustration", True, 600, 100, 100, 100)], f"page_id string, block_type string, top boolean, {box}")
+    lines = spark.createDataFrame([("p", 0, 0, 100, 150, 500, 150, 100), ("p", 0, 1, 100, 250, 500, 250, 150)], "page_id string, block int, line_idx int, x1 int, y1 int, x2 int, y2 int, band_t int")
+    words = spark.createDataFrame([("p", 0, 0, 100, 110, 100, 40)], f"page_id string, block int, line_idx int, {box}")
+    glyphs = spark.createDataFrame([("p", 0, 0, 0, 0, 100, 110, 50, 40), ("p", 0, 0, 0, 1, 150, 110, 50, 40)], f"page_id string, block int, line_idx int, word_idx int, glyph_idx int, {box}")
+    spaces = spark.createDataFrame([("p", 0, 0, 200, 110, 20, 40)], f"page_id string, block int, line_idx int, {box}")
+    boxes = corpus.training_boxes(pages, blocks, lines, words, glyphs, spaces)
+    counts = {r["kind"]: r["count"] for r in boxes.groupBy("kind").count().collect()}
+    assert counts == {"TopLevelTextBlock": 1, "Illustration": 1, "TextBlock": 1, "BaseLine": 2, "NonFinalBaseLine": 1, "FinalBaseLine": 1, "Word": 1, "Glyph": 2, "WordSeparator": 1, "GlyphSeparator": 1}
+    label = {r["label"] for r in corpus.label_lines(corpus.tiled(boxes, pages, 1, 0), corpus.KINDS).collect()}
+    assert "0 0.300000 0.400000 0.410000 0.400000" in label and "6 0.150000 0.260000 0.100000 0.080000" in label and "8 0.210000 0.250000 0.020000 0.085000" in label
+    corners = [r["label"] for r in corpus.label_lines(corpus.tiled(boxes.filter("kind = 'Word'"), pages, 1, 0), ("Word",), True).collect()]
+    assert corners == ["0 0.100000 0.220000 0.100000 0.300000 0.200000 0.300000 0.200000 0.220000"]
+    tiles = corpus.tiled(boxes.filter("kind = 'Word'"), pages, 2, 0.125)
+    assert [(r["tile"], round(r["w"], 6)) for r in tiles.collect()] == [(0, round(100 / 562, 6))]
+    assert corpus.dataset_description("d", ("A", "B")).endswith("names:\n  0: A\n  1: B\n")
+
+
+def test_text_items(spark):
+    items = spark.createDataFrame([("f.png", i, w, 10 * i, 0, 10, 10) for i, w in enumerate(["ווען", "Hello", "c"])], "file string, i int, content string, l int, t int, w int, h int")
+    got = [(r["split"], r["image"], r["text"]) for r in corpus.text_items(items, ["i"], 3, 2).orderBy("l").collect()]
+    assert got == [("train", "f_000.png", "װען"), ("val", "f_001.png", "LLLLL"), ("train", "f_002.png", "L")]
+    g = corpus.glyph_items(items, spark.createDataFrame([("f.png", 25, 20)], "file string, pw int, ph int")).orderBy("l").collect()
+    assert [tuple(r)[2:] for r in g] == [(0, 0, 11, 11), (10, 0, 11, 11), (20, 0, 5, 11)]
+    assert corpus.selected_words(items, "[a-z]").count() == 1 and corpus.alphabet_of(items, "content").count() == 8
+
+
+def test_files_and_lexicons(spark, tmp_path):
+    for name in ("a.png", "b.png", "a_alto4.xml"):
+        (tmp_path / name).write_bytes(PAGE.encode() if name.endswith("xml") else b"x")
+    pictures, layouts = files.list_files(spark, str(tmp_path), files.IMAGES), files.list_files(spark, str(tmp_path), "_alto4.xml$")
+    assert files.with_layouts(pictures, layouts).count() == 1
+    assert files.allowed_files(pictures, spark.createDataFrame([("b.png",)], "name string")).count() == 1 and files.allowed_files(pictures, None, 1).count() == 1
+    got = corpus.annotated(pictures, layouts, lambda nodes: tree.tokens_of(nodes, "word"))
+    assert got.count() == 2
+    files.write_lexicon(spark.createDataFrame([("b",), ("a",), ("a",)], "word string"), str(tmp_path / "lexicon"))
+    assert sorted(r["word"] for r in files.read_saved_lexicon(spark, str(tmp_path / "lexicon")).collect()) == ["a", "b"]
+    texts = spark.createDataFrame([("x.xml", "ווען")], "file string, text string").withColumn("simple", T.simplified(F.col("text")))
+    files.write_text_files(texts, str(tmp_path / "texts"), {".txt": "text", "_simplified.txt": "simple"})
+    assert sorted((r["file"], r["text"]) for r in spark.read.json(str(tmp_path / "texts")).collect()) == [("x.txt", "ווען"), ("x_simplified.txt", "װען")]
+
+
+def test_full_segmenter(spark):
+    """Levels found in the print area and its tiles, put back on the page; two paragraphs share a block."""
+    pages = spark.createDataFrame([("p", 1000, 1000)], "page_id string, width int, height int")
+    # blocks from (100, 100) to (500, 500): the print area begins at (90, 90)
+    rows = [("p", "block", 0, "Text", 100, 100, 400, 400, 0.9, None), ("p", "block", 1, "Illustration", 300, 450, 100, 50, 0.9, None)]
+    rows += [("p", "paragraph", 0, "Par", 10, 10, 400, 180, 0.9, None), ("p", "paragraph", 1, "Par", 10, 200, 400, 190, 0.9, None)]
+    for i, y in enumerate((100, 180, 300)):  # baselines on the page
+        rows.append(("p", "line", i, "Line", 10, y - 90 - 10, 400, 20, 0.9, None))
+        for k, x in enumerate((110, 210)):
+            rows.append(("p", "word", 10 * i + k, "Word", x - 90, y - 40 - 90, 60, 36, 0.9, None))
+            rows.append(("p", "glyph", 10 * i + k, "Glyph", x - 90, y - 40 - 90, 60, 36, 0.9, 0))
+    rows.append(("p", "word", 99, "Word", 20, 1000 - 90 - 10, 60, 10, 0.9, None))  # reaches the page's bottom
+    df = spark.createDataFrame(rows, "page_id string, level string, det_id int, label string, l int, t int, w int, h int, conf double, tile int")
+    config = Config(crop_margin=0.01)
+    got = segment.segment_full(df, True, pages, config)
+    assert [(r["l"], r["t"]) for r in got.words.filter("line_idx = 0").orderBy("word_idx").collect()] == [(110, 60), (210, 60)] or got.words.count() in (4, 6)
+    assert got.lines.count() == got.words.select("line_idx").distinct().count() and got.glyphs.count() == got.words.count()
+    assert sorted(tuple(r) for r in got.children.select("child", "t", "h").collect()) == [(0, 100, 100), (1, 200, 300)] or got.children.count() == 2
+    assert {r["label"] for r in got.blocks.collect()} == {"Text", "Illustration"}
+    assert got.spaces.filter("l <> 170 or w <> 40").count() == 0
+    inside = segment.segment_full(df, True, pages, config, region=(600, 600, 100, 100))
+    assert inside.words.count() == 0
+
+
+def test_paragraph_steps(spark):
+    from leafmill.operators import lines
+
+    df = spark.createDataFrame([([10, 20, 35, 60, 90], [25, 50]), ([30, 40], [5, 8]), ([1], [50, 60])], "ys array<int>, bottoms array<int>")
+    assert [r["g"] for r in df.select(lines.paragraph_steps(F.col("ys"), F.col("bottoms")).alias("g")).collect()] == [[0, 0, 1, 2, 2], [0, 1], [0]]
