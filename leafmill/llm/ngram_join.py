@@ -309,7 +309,8 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
 
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored. Returns
     one row per row: ``doc_id, n_shingles, component_id`` (smallest doc_id
-    reached by links, itself included) and ``row_id``, the first of ``row_keys``. A text of fewer than ``width`` words
+    reached by links, itself included), ``row_id``, the first of ``row_keys``, and
+    ``class_id``, which names the class where ids repeat. A text of fewer than ``width`` words
     is one shingle; a null or blank one has none and stands alone. Equal rows
     share a class; null ids count as smallest and stay null.
     """
@@ -360,9 +361,9 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
 
     labelled = classes.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     smallest = labelled.groupBy("comp").agg(F.min(F.struct("first_doc")).alias("s")).select("comp", F.col("s.first_doc").alias("component_id"))
-    by_set = labelled.join(smallest, "comp").select("f1", "f2", "component_id", F.lit(True).alias("_found"))
+    by_set = labelled.join(smallest, "comp").select("f1", "f2", "component_id", F.col("comp").alias("class_id"), F.lit(True).alias("_found"))
     out = described.select("doc_id", "id", "n", "f1", "f2").join(by_set, ["f1", "f2"], "left")
-    return out.select("doc_id", F.col("id").alias("row_id"), F.col("n").alias("n_shingles"), F.when(F.col("_found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("id").alias("row_id"), F.col("n").alias("n_shingles"), F.when(F.col("_found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class_id")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
