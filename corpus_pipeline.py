@@ -6,10 +6,10 @@ them, and returns documents with the columns it got; the last returns pieces.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import crc_bucket, row_keys, table
+from leafmill.llm.common import crc_bucket, row_keys, skew_join, table
 from leafmill.llm.line_dedup import line_dedup
 from leafmill.llm.mixing import mix_sources, row_identity
 from leafmill.llm.ngram_join import ngram_join
@@ -46,25 +46,31 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: the one with the smallest id.
 
-    Documents without words are in no class and stay. Of equal rows one stays;
-    a row that repeats the smallest id with another text stays, too.
+    Documents without words are in no class and stay. Of rows that are equal
+    in id and text one stays; of rows of a class that share the smallest id
+    with other texts one stays, too.
     """
-    stays = ngram_join(docs).filter("n_shingles = 0 or doc_id <=> component_id").select(F.col("row_id").alias("_row")).distinct()
-    keyed = docs.withColumn("_row", row_keys()[0])
-    return keyed.join(stays, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
+    found = ngram_join(docs)
+    first = found.filter("n_shingles > 0 and doc_id <=> component_id").groupBy("class_id").agg(F.min("row_id").alias("row"))
+    stays = first.select("row").unionByName(found.filter("n_shingles = 0").select(F.col("row_id").alias("row"))).distinct()
+    # own columns travel in a struct, so that no name can clash
+    keyed = docs.select(F.struct(*docs.columns).alias("own"), row_keys()[0].alias("row"))
+    return skew_join(keyed, stays, ["row"], "left_semi").dropDuplicates(["row"]).select("own.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it: none, once or twice."""
-    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    taken = mix_sources(docs).groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_key")).agg(F.sum(copies).alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
-    own = docs.withColumn("_own", row_identity())
-    met = own.join(taken, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_own") == F.col("_key")))
-    # equal rows share their copies
-    turn = F.row_number().over(Window.partitionBy("_d", "_key").orderBy("_copies"))
-    times = F.floor(F.col("_copies") / F.col("_rows")) + F.when(turn <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    met = met.withColumn("_times", times.cast("int")).filter("_times > 0")
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("long")
+    # rows of one id and text are named by both, a null id too
+    mark = lambda key: F.xxhash64(F.isnull("doc_id"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), key).alias("mark")
+    taken = mix_sources(docs).groupBy(mark(F.col("key"))).agg(F.sum(copies).alias("copies"), F.count("*").alias("rows")).filter("copies > 0")
+    # own columns travel in a struct, so that no name can clash
+    own = docs.select(F.struct(*docs.columns).alias("own"), mark(row_identity()))
+    met = skew_join(own, taken, ["mark"])
+    # equal rows share their copies; what is left over goes to one of them
+    again = lambda df, times: df.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), times))).select("own.*")
+    each, rest = F.floor(F.col("copies") / F.col("rows")), F.col("copies") % F.col("rows")
+    return again(met.filter(each > 0), each).unionByName(again(met.filter(rest > 0).dropDuplicates(["mark"]), rest))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
