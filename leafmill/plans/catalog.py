@@ -1,6 +1,7 @@
 """All queries by name, and the SQL that checks them."""
 
-from . import export_queries, layout_queries, source_queries, text_queries
+from . import export_queries, layout_queries, reading_queries, source_queries, text_queries
 
-QUERIES: dict = layout_queries.QUERIES | text_queries.QUERIES | source_queries.QUERIES | export_queries.QUERIES
-ORACLES: dict = layout_queries.ORACLES | text_queries.ORACLES | source_queries.ORACLES | export_queries.ORACLES
+_MODULES = (layout_queries, text_queries, source_queries, export_queries, reading_queries)
+QUERIES: dict = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

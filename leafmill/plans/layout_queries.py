@@ -240,7 +240,9 @@ def combine_words(spark: SparkSession, sf: str) -> DataFrame:
     return L.combined_words(V.detections(spark, sf), ["doc_id", "line_idx"], ["tok_idx"], 8)
 
 
-@query()
+# the fold's closed form: the i-th of n confidences has the weight 2^-(n - i + 1), the first one 2^-(n - 1)
+@query(f"""with {V.WORDS}, k as (select doc_id, line_idx, conf, row_number() over o i, count(*) over (partition by doc_id, line_idx) n from words window o as (partition by doc_id, line_idx order by tok_idx))
+select doc_id, line_idx, round(case when min(conf) = 0 then 0 else exp(sum(ln(greatest(conf, 1e-300)) * pow(2.0, -(n - greatest(i, 2) + 1)::double))) end, 6) conf from k group by all""")
 def combined_confidence(spark: SparkSession, sf: str) -> DataFrame:
     """Confidence of words combined one after the other: the root of each product, an ordered fold."""
     rows = F.array_sort(F.collect_list(F.struct("tok_idx", "conf")))
