@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -25,15 +25,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, **measures) -> DataFrame:
     """Compute once and cut the lineage with a reliable checkpoint.
 
+    Rows are counted on the way (``rows_of``), and so are further aggregates
+    (``measured``), without a job of their own.
+
     The files lie in the shared checkpoint folder, so a lost executor loses
     nothing; where spark.cleaner.referenceTracking.cleanCheckpoints is set,
     Spark removes them once the plan is garbage.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    seen = Observation()
+    out = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in measures.items()]).checkpoint(eager=True)
+    out._measured = seen.get
+    return out
+
+
+def measured(df: DataFrame) -> dict:
+    """What ``cut`` measured of a table."""
+    return df._measured
+
+
+def rows_of(df: DataFrame) -> int | None:
+    """Rows of a table that comes from ``cut``; None for others."""
+    return df._measured["rows"] if hasattr(df, "_measured") else None
 
 
 def partitions(spark: SparkSession) -> int:
@@ -68,6 +84,8 @@ def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inn
     meet nothing. Hot keys are looked for in ``of`` where ``big`` is costly,
     and not at all if ``rows``, the size of ``big`` where it is known, is small.
     """
+    if rows is None:
+        rows = rows_of(big if of is None else of)
     key = F.xxhash64(*keys)
     hot = hot_keys(big if of is None else of, key) if rows is None or rows > FEW_ROWS else []
     if not hot:
@@ -89,7 +107,8 @@ def group_join(big: DataFrame, groups: DataFrame, keys: list[str], row_bytes: in
     names = {k: f"_g_{i}" for i, k in enumerate(keys)}
     marks = lambda df: df.select("*", *[F.to_json(F.array(k)).alias(n) for k, n in names.items()])
     small = marks(groups).drop(*keys)
-    if groups.limit(most_rows + 1).count() <= min(most_rows, SMALL_BYTES // row_bytes):
+    n = rows_of(groups)
+    if (groups.limit(most_rows + 1).count() if n is None else n) <= min(most_rows, SMALL_BYTES // row_bytes):
         out = marks(big).join(F.broadcast(small), list(names.values()), how)
     else:
         out = skew_join(marks(big), small, list(names.values()), how)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, skew_join
+from .common import cut, measured, rows_of, skew_join
 
 #: Edges that a task contracts together.
 BLOCK = 1_000_000
@@ -48,17 +48,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     links. Loops and repeated links change nothing; no links give no rows.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").mapInArrow(_contract, "u long, v long").distinct())
-    before, size = None, 2 * edges.count()
+    before, size = None, 2 * rows_of(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = skew_join(both.filter("v > u"), least, ["u"], rows=size).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = skew_join(large, least, ["u"], rows=size)
-        edges = cut(small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u > v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        edges = cut(small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u > v").distinct(), sum=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+        now, size = measured(edges), 2 * rows_of(edges)
         if now == before:
             break
-        before, size = now, 2 * now[0]
+        before = now
     stars = edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
     return stars.unionByName(stars.select(F.col("comp").alias("id"), "comp").distinct())

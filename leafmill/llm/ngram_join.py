@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, cut, hashes64, mixed, row_keys, skew_join, table, window_hashes
+from .common import U64, chunks, cut, hashes64, measured, mixed, row_keys, rows_of, skew_join, table, window_hashes
 from .components import connected_components
 from .shared import shared_places
 
@@ -180,15 +180,14 @@ def plausible(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
     side = lambda k: bitmaps.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
-    n = pairs.count()
-    met = skew_join(skew_join(pairs, side("a"), ["a"], rows=n), side("b"), ["b"], of=pairs, rows=n).select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    met = skew_join(skew_join(pairs, side("a"), ["a"]), side("b"), ["b"], of=pairs).select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
     return met.mapInArrow(judge, "a long, b long")
 
 
 def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """``id, text`` of the rows with these ``id``; a bounded list of them saves an exchange of all texts."""
     ids = cut(ids.distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi").select("id", "text")
+    return docs.join(F.broadcast(ids) if rows_of(ids) <= BROADCAST_IDS else ids, "id", "left_semi").select("id", "text")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -203,9 +202,8 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["id", "grams"])
 
     held = texts.mapInArrow(sets, "id long, grams array<long>").dropDuplicates(["id"])
-    n = pairs.count()
-    met = skew_join(pairs, held.select(F.col("id").alias("a"), F.col("grams").alias("x")), ["a"], rows=n)
-    met = skew_join(met, held.select(F.col("id").alias("b"), F.col("grams").alias("y")), ["b"], of=pairs, rows=n)
+    met = skew_join(pairs, held.select(F.col("id").alias("a"), F.col("grams").alias("x")), ["a"])
+    met = skew_join(met, held.select(F.col("id").alias("b"), F.col("grams").alias("y")), ["b"], of=pairs)
     met = met.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).cast("long").alias("k"))
     return met.filter(100 * F.col("k") >= percent * (F.col("m") + F.col("n") - F.col("k"))).select("a", "b")
 
@@ -271,17 +269,17 @@ def crossing_pairs(placed: DataFrame, docs: DataFrame, counts, width: int, perce
     sizes = rows.groupBy("_key", "c").agg(F.max("c_top").alias("c_top"), F.min("c_low").alias("c_low"), F.min("comp").alias("x"), F.max("comp").alias("y"))
     two = sizes.select("_key", *[F.col(k).alias(f"{k}2") for k in ("c", "c_top", "c_low", "x", "y")])
     met = cut(sizes.join(two, "_key").filter("c <= c2 and c2 <= c_top and c <= c_top2 and c2 >= c_low and c >= c_low2 and least(x, x2) < greatest(y, y2)").select("_key", "c", "c2"))
-    if not met.limit(1).count():
+    if not rows_of(met):
         return docs.sparkSession.createDataFrame([], "a long, b long")
-    n = rows.count()
+    n = rows_of(rows)
     one = skew_join(rows, met, ["_key", "c"], rows=n).filter("c_low <= c2 and c2 <= c_top").withColumn("_side", F.lit(1))
     other = skew_join(rows.withColumnRenamed("c", "c2"), met, ["_key", "c2"], rows=n).filter("c_low <= c and c <= c_top").withColumn("_side", F.lit(2))
     both = one.unionByName(other).drop("c_low", "c_top")
     cell = ["_key", "c", "c2"]
     live = both.groupBy(*cell).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count_if(F.col("_side") == 1).alias("m1"), F.count_if(F.col("_side") == 2).alias("m2")).filter("x < y")
     live = live.select(*cell, (F.least("m1", "m2") > CELL).alias("_crowded") if steps else F.lit(False).alias("_crowded"))
-    both = cut(skew_join(both, live, cell, rows=n))
-    n, crowded = both.agg(F.count("*"), F.count_if("_crowded")).first()
+    both = cut(skew_join(both, live, cell, rows=n), crowded=F.count_if("_crowded"))
+    n, crowded = rows_of(both), measured(both)["crowded"]
     shared = F.col("_at") - F.col("_pos")
     here = both.filter(~F.col("_crowded") | (F.col("_least") < shared + 2)) if crowded else both
 
@@ -334,11 +332,12 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     heads = heads.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
     close = F.col("h._b") * 100 >= percent * F.col("_b")
     close &= F.col("_b") * 100 >= percent * F.col("h._b")
-    group_pairs = cut(skew_join(banded, heads, ["_key", "band"]).filter((F.col("_a") != F.col("h._a")) & close).select("_a", F.col("h._a").alias("_h")).distinct())
+    group_pairs = cut(skew_join(banded, heads, ["_key", "band"], rows=rows_of(index)).filter((F.col("_a") != F.col("h._a")) & close).select("_a", F.col("h._a").alias("_h")).distinct())
 
-    outside = skew_join(members.select(F.col("g").alias("_a"), F.col("id").alias("a")), group_pairs, ["_a"])
+    n = rows_of(classes)
+    outside = skew_join(members.select(F.col("g").alias("_a"), F.col("id").alias("a")), group_pairs, ["_a"], rows=n)
     outside = skew_join(outside, leaders.select(F.col("g").alias("_h"), F.col("leader").alias("b")), ["_h"], of=group_pairs).select("a", "b")
-    inside = skew_join(members.select("g", F.col("id").alias("a")), leaders.filter("m > 1").select("g", F.col("leader").alias("b")), ["g"]).filter("a <> b").select("a", "b")
+    inside = skew_join(members.select("g", F.col("id").alias("a")), leaders.filter("m > 1").select("g", F.col("leader").alias("b")), ["g"], rows=n).filter("a <> b").select("a", "b")
     links = cut(verified(cut(plausible(cut(outside.unionByName(inside)), bitmaps, percent)), docs, width, percent))
     comps = connected_components(links)
 
@@ -346,7 +345,7 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     held = cut(members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
     of_group = cut(held.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")))
     mixed_cells = index.select("_key", F.col("_a").alias("g")).join(of_group, "g").groupBy("_key").agg(F.min("x").alias("x"), F.max("y").alias("y")).filter("x < y").select("_key")
-    crossing = skew_join(index.select("_key", "_pos", F.col("_a").alias("g")), mixed_cells, ["_key"], "left_semi")
+    crossing = skew_join(index.select("_key", "_pos", F.col("_a").alias("g")), mixed_cells, ["_key"], "left_semi", rows=rows_of(index))
     least = least_shared("n", percent)
     place = lambda key, pos, at, grp, last, least: [F.col(key).alias("_key"), *[x.cast("long").alias(k) for k, x in (("_pos", pos), ("_at", at), ("id", F.col("id")), ("n", F.col("n")), ("comp", F.col("comp")), ("grp", F.col(grp)), ("_last", last), ("_least", least))]]
     placed = skew_join(held, crossing, ["g"]).select(*place("_key", F.col("_pos"), F.col("_pos"), "g", F.col("n") - least + 1, least))
@@ -354,7 +353,7 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     # members of a group have one size, n, and share the first n - least + 1 tokens and at least `same` in all
     same = F.expr(f"(2 * n * {percent} + {99 + percent}) div {100 + percent}")
     split = cut(skew_join(held, of_group.filter("x < y").select("g"), ["g"]).select(*place("g", F.lit(0), F.col("n") - least, "id", 2 * F.col("n") - least + 1 - same, same)))
-    if split.limit(1).count():
+    if rows_of(split):
         pairs = pairs.unionByName(crossing_pairs(cut(next_tokens(split, docs, counts, width)), docs, counts, width, percent)).distinct()
     links = links.unionByName(verified(cut(plausible(cut(pairs), bitmaps, percent)), docs, width, percent))
     comps = connected_components(links)

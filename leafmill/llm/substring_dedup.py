@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
-from .common import MULTIPLIER, SECOND_MULTIPLIER, U64, chunks, cut, group_join, hashes128, mixed, row_keys, table, window_hashes, words_of
+from .common import MULTIPLIER, SECOND_MULTIPLIER, U64, chunks, cut, group_join, hashes128, measured, mixed, row_keys, rows_of, table, window_hashes, words_of
 from .shared import shared_places
 
 WINDOW = 35
@@ -220,19 +220,21 @@ def highest_symbols(places: DataFrame, n_buckets: int, most_rounds: int = ROUNDS
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in made], pa.binary()), pa.array([lively(x) for x in made])], names=["_a", "_b", "symbols", "lively"])
 
     shape = "_a long, _b long, symbols binary, lively boolean"
-    current, done, size = cut(places.mapInArrow(begin, shape)), None, None
+    # lengths of all sequences and of those that go on
+    sizes = {"all": F.sum(F.length("symbols")), "live": F.sum(F.when(F.col("lively"), F.length("symbols")))}
+    current, done, size = cut(places.mapInArrow(begin, shape), **sizes), None, None
     for _ in range(most_rounds):
-        before, size = size, current.agg(F.sum(F.length("symbols"))).first()[0] or 0
+        before, size = size, measured(current)["all"] or 0
         if before is not None and (before - size) * LEAST_MERGED < before:
             break
         live = current.filter("lively").drop("lively")
-        if not live.limit(1).count():
+        if not measured(current)["live"]:
             break
         ended = current.filter("not lively").drop("lively")
-        done, size = ended if done is None else done.unionByName(ended), live.agg(F.sum(F.length("symbols"))).first()[0]
+        done, size = ended if done is None else done.unionByName(ended), measured(current)["live"]
         # in one order, so that reruns flush alike
         found = shared_places(live.sortWithinPartitions("_a", "_b"), _pair_keys, with_places=True, n_buckets=n_buckets)
-        current = cut(live.join(found, ["_a", "_b"], "left").select("_a", "_b", "symbols", "places").mapInArrow(advance, shape))
+        current = cut(live.join(found, ["_a", "_b"], "left").select("_a", "_b", "symbols", "places").mapInArrow(advance, shape), **sizes)
     return current.drop("lively") if done is None else done.unionByName(current.drop("lively"))
 
 
@@ -298,7 +300,7 @@ def substring_dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
     # rows that repeat as a whole: all their windows do; one of them takes part for others
     repeated = cut(docs.groupBy("_k1", "_k2").agg(F.count("*").alias("n")).filter("n > 1").select("_k1", "_k2"))
-    if repeated.limit(1).count():
+    if rows_of(repeated):
         marked = group_join(docs, repeated.withColumn("_twin", F.lit(True)), ["_k1", "_k2"], row_bytes=64, how="left")
         twins, single = marked.filter("_twin"), marked.filter("_twin is null")
         docs = single.select("doc_id", "text", "_k1", "_k2", F.lit(False).alias("_twin"))
