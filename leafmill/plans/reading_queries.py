@@ -136,7 +136,7 @@ def page_detections(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
 
 
 @query(f"""with {V.WORDS}, {V.BLOCKS}, ln as (select doc_id, line_idx // 5 block_idx, line_idx, count(*) n from words group by all),
-bl as (select doc_id, block_idx, count(*) n_lines, sum(n) n_words, block_idx % 2 = 0 and min(line_idx % 5) < 2 and max(line_idx % 5) >= 2 parted from ln group by all)
+bl as (select doc_id, block_idx, count(*) n_lines, sum(n) n_words, block_idx % 2 = 0 and min(line_idx % 5) < 2 and max(line_idx % 5) >= 2 parted from ln group by doc_id, block_idx)
 select doc_id::varchar page_id, count(*) n_blocks, sum(n_lines)::bigint n_lines, sum(n_words)::bigint n_words, sum(n_words)::bigint n_glyphs, sum(n_words - n_lines)::bigint n_spaces, sum(case when parted then 2 else 0 end)::bigint n_children, sum(case when parted then 100 else 0 end)::bigint children_h from bl group by doc_id""")
 def full_segments(spark: SparkSession, sf: str) -> DataFrame:
     """What the full segmenter places on each page."""
@@ -151,15 +151,16 @@ def full_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _lowered(c: Column) -> Column:
-    return F.lower(c)
+    """Lower case, one sign for all beyond ASCII: SQL's distance counts bytes."""
+    return T.ascii_folded(F.lower(c))
 
 
-@query("""with t as (select conv_id || '/' || turn file, text, role from conversations), e as (select file, lower(text) expected, substring(text, 2) predicted from t),
+@query("""with t as (select conv_id || '/' || turn file, text, role from conversations), e as (select file, regexp_replace(lower(text), '[^\\x00-\\x7F]', '?', 'g') expected, regexp_replace(substring(text, 2), '[^\\x00-\\x7F]', '?', 'g') predicted from t),
 b as (select file, w, sum(a) a, sum(p) p from (select file, unnest(string_split_regex(expected, '\\s+')) w, 1 a, 0 p from e union all select file, unnest(string_split_regex(predicted, '\\s+')), 0, 1 from e) where w <> '' group by all),
 c as (select file, coalesce(sum(a * p) / nullif(sqrt(sum(a * a)) * sqrt(sum(p * p)), 0), 0) cosine from b group by file)
-select file, 'CER' metric, round(levenshtein(predicted, expected) / length(expected), 6) "value" from e where regexp_matches(expected, '^[ -~\\n]*$') union all select file, 'BagOfWords', round(cosine, 6) from c join e using (file) where regexp_matches(expected, '^[ -~\\n]*$')""")
+select file, 'CER' metric, round(levenshtein(predicted, expected) / length(expected), 6) "value" from e union all select file, 'BagOfWords', round(cosine, 6) from c""")
 def evaluation(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns without their first character, evaluated against lower-cased ones; those in ASCII, where SQL counts as we do."""
-    t = V.table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("file"), "text").filter(F.lower("text").rlike("^[ -~\\n]*$"))
-    got = E.evaluate(t.select("file", F.expr("substring(text, 2)").alias("text")), t, _lowered)
+    """Turns without their first character, evaluated against lower-cased ones."""
+    t = V.table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("file"), "text")
+    got = E.evaluate(t.select("file", T.ascii_folded(F.expr("substring(text, 2)")).alias("text")), t, _lowered)
     return got.withColumn("value", F.round("value", 6))

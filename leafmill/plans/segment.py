@@ -11,6 +11,7 @@ from ..config import Config
 from ..functions import geometry as G
 from ..operators import lines as L
 from ..operators import spatial, suppress
+from ..operators.durable import once
 
 # fixed values: what a detection must reach to be placed or kept
 PLACED, PLACED_LINE = 0.5, 0.01
@@ -87,6 +88,8 @@ def segment_full(detections: DataFrame, left_to_right: bool, pages: DataFrame |
     their neighbours and are as high as their word.
     """
     top = segment_blocks(detections.select(*[c for c in detections.columns if c != "tile"]), left_to_right).blocks
+    # every level is used by several others: each is computed once
+    top = once(top)
     illustrations, blocks = top.filter("label = 'Illustration'").drop("reading_idx"), top.filter("label <> 'Illustration'").drop("reading_idx")
     inner = detections.filter("level <> 'block'")
     if pages is not None:
@@ -103,7 +106,8 @@ def segment_full(detections: DataFrame, left_to_right: bool, pages: DataFrame |
     paragraphs = suppress.suppress_unordered(within(at("paragraph"), 0), ["page_id"], ["t", "l", "det_id"])
     placed = spatial.place_best(_boxes(paragraphs, "a_", "det_id"), _boxes(blocks, "b_", F.col("det_id").alias("block")), ["page_id"], ["det_id"], ["block"], PLACED)
     lost = spatial.orphans(paragraphs, placed, ["page_id", "det_id"], config.always_kept)
-    blocks = blocks.unionByName(lost.withColumn("det_id", -F.col("det_id") - 1))
+    placed = once(placed)
+    blocks = once(blocks.unionByName(lost.withColumn("det_id", -F.col("det_id") - 1)))
 
     lines = within(at("line").withColumn("t", F.col("t") - F.floor(F.col("h") / 2).cast("int")), 0)
     met = spatial.place_all(_boxes(lines, "a_", "det_id", "conf"), _boxes(blocks, "b_", F.col("det_id").alias("block")), ["page_id"], PLACED_LINE)
@@ -112,7 +116,7 @@ def segment_full(detections: DataFrame, left_to_right: bool, pages: DataFrame |
     lines = lines.withColumn("line_idx", F.row_number().over(Window.partitionBy("page_id", "block").orderBy("t", "det_id")) - 1)
     # words and glyphs are placed by the bands between baselines
     bands = spatial.line_bands(lines.withColumn("y", F.col("t") + F.col("h")), ["page_id", "block"])
-    bands = bands.withColumn("t", F.col("band_t").cast("int")).withColumn("h", (F.col("band_b") - F.col("band_t")).cast("int"))
+    bands = once(bands.withColumn("t", F.col("band_t").cast("int")).withColumn("h", (F.col("band_b") - F.col("band_t")).cast("int")))
 
     def into(children: DataFrame, parents: DataFrame, keys: list[str], parent: str) -> DataFrame:
         a = children.select("page_id", *keys[1:], "det_id", "conf", *[F.col(c).alias(f"a_{c}") for c in "ltwh"])
@@ -127,17 +131,17 @@ def segment_full(detections: DataFrame, left_to_right: bool, pages: DataFrame |
     words = suppress.suppress_ordered(into(in_block(numbered(within(at("word"), 0.8))), bands, line[:2], "line_idx"), line, ["l", "det_id"])
     right = [F.desc(F.col("l") + F.col("w")), F.desc("l"), "det_id"]
     along = Window.partitionBy(*line).orderBy(*(["l", "det_id"] if left_to_right else right))
-    words = words.withColumn("word_idx", F.row_number().over(along) - 1)
+    words = once(words.withColumn("word_idx", F.row_number().over(along) - 1))
     glyphs = into(into(in_block(numbered(within(at("glyph"), 0.8))), bands, line[:2], "line_idx"), words, line, "word_idx")
     glyphs = suppress.suppress_ordered(glyphs, [*line, "word_idx"], ["l", "det_id"])
     glyphs = L.borders(glyphs, [*line, "word_idx"], ["l", "det_id"])
     box = words.select(*line, "word_idx", F.col("t").alias("_t"), F.col("h").alias("_h"))
     glyphs = glyphs.join(box, [*line, "word_idx"]).select(*line, "word_idx", "det_id", F.col("border_l").alias("l"), F.col("_t").alias("t"), (F.col("border_r") - F.col("border_l")).alias("w"), F.col("_h").alias("h"), "conf")
     each = Window.partitionBy(*line, "word_idx").orderBy(*(["l", "det_id"] if left_to_right else right))
-    glyphs = glyphs.withColumn("glyph_idx", F.row_number().over(each) - 1)
+    glyphs = once(glyphs.withColumn("glyph_idx", F.row_number().over(each) - 1))
 
-    words = spatial.with_children(words, glyphs, [*line, "word_idx"])
-    lines = spatial.with_children(bands.select(*lines.columns, "y", "band_t", "band_b"), words, line)
+    words = once(spatial.with_children(words, glyphs, [*line, "word_idx"]))
+    lines = once(spatial.with_children(bands.select(*lines.columns, "y", "band_t", "band_b"), words, line))
     children, lines = _children(lines, placed.select("page_id", "block", (F.col("a_t") + F.col("a_h")).alias("bottom")))
     blocks = spatial.with_children(blocks.withColumn("block", F.col("det_id")), lines, ["page_id", "block"])
     blocks = suppress.sort_pages(blocks.unionByName(illustrations.withColumn("block", F.col("det_id"))), ["page_id"], left_to_right)
