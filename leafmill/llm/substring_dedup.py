@@ -193,58 +193,75 @@ def merged(seq: np.ndarray, found: bytes | None) -> np.ndarray:
     return np.delete(seq, np.unique(pos) + 1)
 
 
-def lively(seq: np.ndarray) -> bool:
-    """Whether a pair of neighbours is left that may occur twice."""
-    return bool(((seq["start"][1:] <= seq["end"][:-1]) & (seq["once"][:-1] == 0)).any())
+def parted(seq: np.ndarray, width: int) -> tuple[bytes, bytes]:
+    """The symbols that a later round may still merge, and those of ``width`` words or more of the others.
+
+    A symbol that is left out stands between no two that may merge: the pair
+    before it is known to occur once, or words lie between.
+    """
+    may = (seq["start"][1:] <= seq["end"][:-1]) & (seq["once"][:-1] == 0)
+    live = np.concatenate([may, [False]]) | np.concatenate([[False], may])
+    return seq[live].tobytes(), seq[~live & (seq["end"] - seq["start"] >= width)].tobytes()
 
 
 #: Rounds of pairs: symbols then have some 25 times as many words as the first ones; one round in which less than a part in so many merges is the last.
 ROUNDS, LEAST_MERGED = 8, 50
 
 
-def highest_symbols(places: DataFrame, n_buckets: int, most_rounds: int = ROUNDS) -> DataFrame:
-    """``_a, _b, symbols``: each document's sequence after the last round; ``places`` as ``shared_places`` gives them.
+def highest_symbols(places: DataFrame, width: int, n_buckets: int, most_rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """Each document's first symbols' places, ``_a, _b, listed``, and its symbols of ``width`` words or more after the last round, ``_a, _b, symbols``.
 
-    A round's sequences and its census lie in the checkpoint folder, so owners
-    are the same for all that follows.
+    ``places`` is what ``shared_places`` gives. Only sequences that may still
+    merge go from round to round. A round's sequences lie in the checkpoint
+    folder, so owners are the same for all that follows.
     """
 
     def begin(batches):
         for batch in batches:
-            made = [first_symbols(x) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in made], pa.binary()), pa.array([lively(x) for x in made])], names=["_a", "_b", "symbols", "lively"])
+            listed = [np.ascontiguousarray(np.frombuffer(x, dtype=shared.PLACE)["pos"]).tobytes() for x in batch.column(2).to_pylist()]
+            made = [parted(first_symbols(x), width) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(listed, pa.binary()), *(pa.array([m[i] for m in made], pa.binary()) for i in (0, 1))], names=["_a", "_b", "listed", "symbols", "ended"])
 
     def advance(batches):
         for batch in batches:
-            made = [merged(np.frombuffer(x, dtype=SYMBOL), y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in made], pa.binary()), pa.array([lively(x) for x in made])], names=["_a", "_b", "symbols", "lively"])
+            made = [parted(merged(np.frombuffer(x, dtype=SYMBOL), y), width) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([m[i] for m in made], pa.binary()) for i in (0, 1))], names=["_a", "_b", "symbols", "ended"])
 
-    shape = "_a long, _b long, symbols binary, lively boolean"
-    # lengths of all sequences and of those that go on
-    sizes = {"all": F.sum(F.length("symbols")), "live": F.sum(F.when(F.col("lively"), F.length("symbols")))}
-    current, done, size = cut(places.mapInArrow(begin, shape), **sizes), None, None
+    size = F.sum(F.length("symbols"))
+    first = cut(places.mapInArrow(begin, "_a long, _b long, listed binary, symbols binary, ended binary"), size=size)
+    current, parts, before = first.select("_a", "_b", "symbols", "ended"), [], None
+    left = measured(first)["size"] or 0
     for _ in range(most_rounds):
-        before, size = size, measured(current)["all"] or 0
-        if before is not None and (before - size) * LEAST_MERGED < before:
+        if not left or before is not None and (before - left) * LEAST_MERGED < before:
             break
-        live = current.filter("lively").drop("lively")
-        if not measured(current)["live"]:
-            break
-        ended = current.filter("not lively").drop("lively")
-        done, size = ended if done is None else done.unionByName(ended), measured(current)["live"]
+        parts.append(current.select("_a", "_b", F.col("ended").alias("symbols")))
+        live = current.filter(F.length("symbols") > 0).select("_a", "_b", "symbols")
         # in one order, so that reruns flush alike
         found = shared_places(live.sortWithinPartitions("_a", "_b"), _pair_keys, with_places=True, n_buckets=n_buckets)
-        current = cut(live.join(found, ["_a", "_b"], "left").select("_a", "_b", "symbols", "places").mapInArrow(advance, shape), **sizes)
-    return current.drop("lively") if done is None else done.unionByName(current.drop("lively"))
+        current = cut(live.join(found, ["_a", "_b"], "left").select("_a", "_b", "symbols", "places").mapInArrow(advance, "_a long, _b long, symbols binary, ended binary"), size=size)
+        before, left = left, measured(current)["size"] or 0
+    parts += [current.select("_a", "_b", "symbols"), current.select("_a", "_b", F.col("ended").alias("symbols"))]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+
+    def long_ones(batches):
+        """All long symbols of a document, of all rounds."""
+        for batch in batches:
+            made = [(seq := np.frombuffer(b"".join(x), dtype=SYMBOL))[seq["end"] - seq["start"] >= width].tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["_a", "_b", "symbols"])
+
+    symbols = found.filter(F.length("symbols") > 0).groupBy("_a", "_b").agg(F.collect_list("symbols").alias("s")).mapInArrow(long_ones, "_a long, _b long, symbols binary")
+    return first.select("_a", "_b", "listed"), symbols.filter(F.length("symbols") > 0)
 
 
 def _window_keys(width: int):
     """Windows over a shared anchor, but for those inside a highest symbol that another place owns."""
 
     def keys(batch):
-        symbols = batch.column(batch.schema.get_field_index("symbols"))
-        rows = np.flatnonzero(symbols.is_valid().to_numpy(zero_copy_only=False))
-        batch = batch.filter(symbols.is_valid())
+        known = batch.column(batch.schema.get_field_index("listed")).is_valid()
+        rows = np.flatnonzero(known.to_numpy(zero_copy_only=False))
+        batch = batch.filter(known)
         _, h, doc, first = _words(batch)
         if len(h) < width:
             return _EMPTY
@@ -254,8 +271,8 @@ def _window_keys(width: int):
         covered = np.zeros(len(words) + 1, dtype=np.int64)
         for at, listed, seq in zip(first, batch.column(batch.schema.get_field_index("listed")).to_pylist(), batch.column(batch.schema.get_field_index("symbols")).to_pylist()):
             wanted[at + np.frombuffer(listed, dtype=np.int32)] = True
-            seq = np.frombuffer(seq, dtype=SYMBOL)
-            long = seq[(seq["end"] - seq["start"] >= width) & (seq["own"] == 0)]
+            seq = np.frombuffer(seq or b"", dtype=SYMBOL)
+            long = seq[seq["own"] == 0]
             np.add.at(covered, at + long["start"], 1)
             np.add.at(covered, at + long["end"] - width + 1, -1)
         at = windows[wanted[start[best]] & (np.cumsum(covered)[windows] == 0)]
@@ -274,7 +291,6 @@ def spans_of(n: int, width: int, starts: np.ndarray, symbols: bytes | None) -> l
     np.add.at(covered, starts + width, -1)
     if symbols is not None:
         seq = np.frombuffer(symbols, dtype=SYMBOL)
-        seq = seq[seq["end"] - seq["start"] >= width]
         np.add.at(covered, seq["start"], 1)
         np.add.at(covered, seq["end"], -1)
     inside = np.cumsum(covered[:-1]) > 0
@@ -309,17 +325,10 @@ def substring_dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
         twins, docs = None, docs.withColumn("_twin", F.lit(False))
 
     named = docs.select(F.col("_k1").alias("_a"), F.col("_k2").alias("_b"), "text")
-    places = cut(shared_places(named, _anchor_keys(width), with_places=True, n_buckets=n_buckets))
-    symbols = highest_symbols(places, n_buckets)
-
-    def listed(batches):
-        for batch in batches:
-            blobs = [np.ascontiguousarray(np.frombuffer(x, dtype=shared.PLACE)["pos"]).tobytes() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["_a", "_b", "listed"])
-
-    known = symbols.join(places.mapInArrow(listed, "_a long, _b long, listed binary"), ["_a", "_b"]).select(F.col("_a").alias("_k1"), F.col("_b").alias("_k2"), "symbols", "listed")
+    listed, symbols = highest_symbols(shared_places(named, _anchor_keys(width), with_places=True, n_buckets=n_buckets), width, n_buckets)
+    known = listed.join(symbols, ["_a", "_b"], "left").select(F.col("_a").alias("_k1"), F.col("_b").alias("_k2"), "symbols", "listed")
     joined = docs.join(known, ["_k1", "_k2"], "left").select("doc_id", "text", "_twin", F.col("_k1").alias("_a"), F.col("_k2").alias("_b"), "symbols", "listed")
-    windows = shared_places(joined.filter("symbols is not null").select("text", "_a", "_b", "symbols", "listed"), _window_keys(width), n_buckets=n_buckets)
+    windows = shared_places(joined.filter("listed is not null").select("text", "_a", "_b", "symbols", "listed"), _window_keys(width), n_buckets=n_buckets)
     last = joined.join(windows.withColumnRenamed("positions", "starts"), ["_a", "_b"], "left").filter("not _twin").select("doc_id", "text", "starts", "symbols")
 
     def remove(batches):
