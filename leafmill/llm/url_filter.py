@@ -141,7 +141,7 @@ def url_filter(pages: DataFrame, rules, default: str = DEFAULT, rule_bytes: int
         if size > rule_bytes:
             return _by_join(pages, rules, default)
         rules = [tuple(r) for r in rules.select("host", "path", "verdict").collect()]
-    elif sum(len(h) + len(p) + 64 for h, p, _ in rules) > rule_bytes:
+    elif sum(len(h or "") + len(p or "") + 64 for h, p, _ in rules) > rule_bytes:
         return _by_join(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), default)
     return _by_trie(pages, rules, default)
 
