@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from leafmill.llm import components, language, line_dedup, mixing, ngram_join, packing, quality, substring_dedup, topk, toxicity, url_filter
+from leafmill.llm import components, language, line_dedup, mixing, ngram_join, packing, quality, shared, substring_dedup, topk, toxicity, url_filter
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, _k1 string"
@@ -54,6 +54,58 @@ def test_substring_dedup(spark, docs, empty):
         substring_dedup.substring_dedup(docs, 10)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_long_and_short_repeats(spark, monkeypatch, seed):
+    """Passages that repeat in part, periodic stretches, edits and equal rows; many small flushes, so owners differ."""
+    if seed == 1:
+        monkeypatch.setattr(shared, "FLUSH", 500)
+    rnd = random.Random(seed)
+    pool = [[f"p{k}_{rnd.randrange(400)}" for _ in range(rnd.randrange(30, 260))] for k in range(8)]
+    texts = []
+    for _ in range(60):
+        w = []
+        for _ in range(rnd.randrange(1, 6)):
+            kind = rnd.random()
+            if kind < 0.6:
+                passage = rnd.choice(pool)
+                at = rnd.randrange(len(passage) // 2)
+                w += passage[at : at + rnd.randrange(10, 300)]
+            elif kind < 0.75:
+                w += ["x", "y"][: rnd.randrange(1, 3)] * rnd.randrange(10, 60)
+            else:
+                w += [f"u{rnd.randrange(10**6)}" for _ in range(rnd.randrange(1, 60))]
+        for _ in range(rnd.randrange(4)):
+            w[rnd.randrange(len(w))] = "edited"
+        texts.append(" ".join(w))
+    texts += [texts[3], texts[3], texts[5]]
+    df = spark.createDataFrame([(i % 50, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = Counter((r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in substring_dedup.substring_dedup(df).collect())
+    assert got == Counter(substring_dedup.brute_force(texts))
+
+
+def test_symbols_verify_long_repeats(spark, monkeypatch):
+    """Highest symbols cover most of a long repeat; without shared symbols nothing is removed."""
+    rnd = random.Random(22)
+    words = lambda n: [f"v{rnd.randrange(10**6)}" for _ in range(n)]
+    passage = words(2000)
+    df = spark.createDataFrame([(i, " ".join([*words(40), *passage, *words(40)])) for i in range(6)], "doc_id long, text string").repartition(3)
+    seen = []
+    real = substring_dedup.highest_symbols
+
+    def watched(*args, **more):
+        listed, symbols = real(*args, **more)
+        seen.append(symbols)
+        return listed, symbols
+
+    monkeypatch.setattr(substring_dedup, "highest_symbols", watched)
+    assert {r["n_removed"] for r in substring_dedup.substring_dedup(df).collect()} == {2000}
+    covered = [np.frombuffer(bytes(r["symbols"]), dtype=substring_dedup.SYMBOL) for r in seen[0].collect()]
+    assert len(covered) == 6 and all((c["end"] - c["start"]).sum() > 1500 and (c["end"] - c["start"]).max() > 60 for c in covered)
+    assert any((c["own"] == 1).any() for c in covered) and any((c["own"] == 0).all() for c in covered)
+    monkeypatch.setattr(substring_dedup, "highest_symbols", lambda *args, **more: tuple(x.limit(0) for x in real(*args, **more)))
+    assert {r["n_removed"] for r in substring_dedup.substring_dedup(df).collect()} == {0}
+
+
 def test_recompression_is_consistent():
     """Equal windows have equal symbols in their middle, and every window an anchor."""
     rng = np.random.default_rng(1)
@@ -95,6 +147,19 @@ def test_line_index_is_reversible(spark, docs):
     assert state(grown.delete(more)) == before
 
 
+def test_unknown_documents_cannot_be_deleted(docs):
+    index = line_dedup.LineIndex.build(docs.filter("doc_id < 3"), 2)
+    with pytest.raises(ValueError, match="not been inserted"):
+        index.delete(docs.filter("doc_id >= 15"))
+
+
+def test_line_dedup_by_exchange(docs, monkeypatch):
+    """Too many exact keys for a broadcast: lines are settled by a join, with the same rows."""
+    want = sorted((r["doc_id"], r["kept"]) for r in line_dedup.line_dedup(docs).collect())
+    monkeypatch.setattr(line_dedup, "EXACT_KEYS", -1)
+    assert sorted((r["doc_id"], r["kept"]) for r in line_dedup.line_dedup(docs).collect()) == want
+
+
 def test_line_index_without_broadcast(docs, monkeypatch):
     want = sorted((r["doc_id"], r["kept"]) for r in line_dedup.line_dedup(docs).collect())
     monkeypatch.setattr(line_dedup, "FILTER_BYTES", -1)
@@ -237,6 +302,16 @@ def test_quality_verdicts(spark):
 URLS = ["https://a.COM/en/7", "http://example.com/en/71?x#y", "http://sub.example.com/en/6", "http://example.net/de/8/x", "http://x.net/de/9", "http://a.org/es/", "http://a.org/es", "org", None, "", "x://com/en/", "http://notexample.net/de/8", "http://a.b/http://com/en/", "http://com?/en/", "a://b/c?d=://e", "://ORG/es/#"]
 
 
+@pytest.mark.parametrize("rule_bytes", [url_filter.RULE_BYTES, 0])
+def test_rules_with_nulls_and_hot_hosts(spark, rule_bytes):
+    """A null host or path counts as empty; a suffix that most urls share; columns with any names."""
+    rules = [("com", None, "block"), (None, None, "block"), ("a.com", "/x", "allow")]
+    urls = [f"http://h{i % 7}.com/x" for i in range(300)] + ["http://a.com/xy", "nothing", None]
+    df = spark.createDataFrame([(i, u, "b", "s") for i, u in enumerate(urls)], "page_id long, url string, best string, suffix string")
+    got = {r["page_id"]: (r["rule"], r["verdict"], r["best"]) for r in url_filter.url_filter(df, rules, rule_bytes=rule_bytes).collect()}
+    assert got[0] == ("com", "block", "b") and got[300] == ("a.com/x", "allow", "b") and got[301] == got[302] == ("", "block", "b") and len(got) == 303
+
+
 @pytest.mark.parametrize("rule_bytes", [url_filter.RULE_BYTES, 0])
 def test_url_filter(spark, rule_bytes):
     df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS)], "page_id long, url string, host string")
@@ -568,6 +643,80 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert len(filled) == n and max(filled.values()) <= 1024
 
 
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_joins_of_hot_keys(spark, monkeypatch, few):
+    """Half of all rows under one key: all ways of joining give the same rows."""
+    from leafmill.llm import common
+
+    monkeypatch.setattr(common, "FEW_ROWS", few)
+    big = spark.range(6000).select("id", F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("k")).repartition(4)
+    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), (None, 4)], "k string, v int")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got, want = common.skew_join(big, small, ["k"], how), big.join(small, ["k"], how)
+        assert Counter(map(str, got.collect())) == Counter(map(str, want.collect()))
+    groups = spark.createDataFrame([("hot", 1), ("k3", 3), (None, 4)], "k string, v int")
+    want = Counter(map(str, big.join(groups.withColumnRenamed("k", "g"), F.col("k").eqNullSafe(F.col("g"))).select("id", "k", "v").collect()))
+    for most in (0, common.SMALL_ROWS):
+        assert Counter(map(str, common.group_join(big, groups, ["k"], most_rows=most).select("id", "k", "v").collect())) == want
+
+
+def test_many_equal_rows_are_mixed(spark, monkeypatch):
+    """Equal rows fall into many buckets, are numbered in blocks, and copies come near the target."""
+    monkeypatch.setattr(mixing, "TURNS", 100)
+    df = spark.range(5000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source")).unionByName(spark.createDataFrame([(2, "x y", "t")], "doc_id long, text string, source string"))
+    out = mixing.mix_sources(df).collect()
+    assert len(out) == 5001 and abs(sum(r["taken"] for r in out if r["source"] == "s") - next(r["target"] for r in out if r["source"] == "s")) <= 1.5
+
+
+def test_language_of_many_rows_of_one_id(spark):
+    """A repeated id gives one text; languages beyond the bound are not learned."""
+    rows = [(1, "ein kleiner hund", "de")] * 500 + [(i, "the small dog", "en") for i in range(2, 30)] + [(99, "un petit chien", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kernel = language.train_language(df, most_langs=2)
+    assert kernel.langs == ["de", "en"] and len(kernel.landmarks) <= 29
+    assert kernel.predict(["der hund ist klein", "the dog is small"])[0] == ["de", "en"]
+
+
+def test_very_long_texts(spark):
+    """A line of a megabyte and a text of 100,000 words go through every operator on texts."""
+    rnd = random.Random(23)
+    long = " ".join(f"w{rnd.randrange(10**5)}" for _ in range(100_000))
+    df = spark.createDataFrame([(1, long, "en", "a"), (2, long + " more", "en", "a"), (3, "z" * 1_000_000, "de", "b"), (4, "short", "de", "b")], "doc_id long, text string, lang string, source string").repartition(2)
+    near = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(df).collect()}
+    assert near[2][1] == 1 and near[3] == (1, 3)
+    cut_ = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(df).collect()}
+    assert cut_[1] == (100_000, 100_000) and cut_[2] == (100_001, 100_000) and cut_[3] == (1, 0)
+    assert {r["n_lines"] for r in line_dedup.line_dedup(df).collect()} == {1}
+    assert {r["doc_id"]: r["n_words"] for r in quality.quality_rules(df).collect()}[1] == 100_000
+    assert sum(r["size"] for r in mixing.mix_sources(df).collect()) == 200_003
+    assert packing.best_fit_packing(df.filter("doc_id > 2")).count() > 100
+    scored = toxicity.score_toxicity(df, toxicity.train_toxicity(df, spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, toxic int")))
+    assert scored.count() == 4 and language.identify_language(df, language.train_language(df)).count() == 4
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """Queries that send models and trees to executors run from another folder, without the package on their path."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.warehouse.dir", {str(tmp_path)!r}).getOrCreate()
+import __spark_entry__
+for name, query in __spark_entry__.queries().items():
+    if name.startswith(("op1_", "op3_", "op5_", "op7_", "op8_", "op10_")):
+        assert query(spark, {DATA!r}).count() > 0, name
+print("all ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd="/", env=env, capture_output=True, text=True, timeout=600)
+    assert "all ran" in done.stdout, done.stderr[-2000:]
+
+
 def test_pa_batches_are_cut():
     from leafmill.llm.common import chunks
 
