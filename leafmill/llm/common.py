@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -42,6 +44,17 @@ def cut(df: DataFrame, **measures) -> DataFrame:
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files and checkpoints that no table needs any more.
+
+    Its cleaner follows the driver's garbage collection, which seldom comes
+    where the driver has little to do; until then cut tables' files fill the
+    executors' disks. Nothing depends on when this happens.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def measured(df: DataFrame) -> dict:
     """What ``cut`` measured of a table."""
     return df._measured

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, cut, hashes64, measured, mixed, row_keys, rows_of, skew_join, table, window_hashes
+from .common import U64, chunks, cut, hashes64, measured, mixed, row_keys, rows_of, skew_join, table, tidy, window_hashes
 from .components import connected_components
 from .shared import shared_places
 
@@ -341,6 +341,8 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     links = cut(verified(cut(plausible(cut(outside.unionByName(inside)), bitmaps, percent)), docs, width, percent))
     comps = connected_components(links)
 
+    tidy(sparks)
+
     # cells and groups that hold sets of different components
     held = cut(members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
     of_group = cut(held.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")))
@@ -358,6 +360,8 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     links = links.unionByName(verified(cut(plausible(cut(pairs), bitmaps, percent)), docs, width, percent))
     comps = connected_components(links)
 
+    tidy(sparks)
+
     labelled = classes.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     smallest = labelled.groupBy("comp").agg(F.min(F.struct("first_doc")).alias("s")).select("comp", F.col("s.first_doc").alias("component_id"))
     by_set = labelled.join(smallest, "comp").select("f1", "f2", "component_id", F.col("comp").alias("class_id"), F.lit(True).alias("_found"))

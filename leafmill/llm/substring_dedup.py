@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
-from .common import MULTIPLIER, SECOND_MULTIPLIER, U64, chunks, cut, group_join, hashes128, measured, mixed, row_keys, rows_of, table, window_hashes, words_of
+from .common import MULTIPLIER, SECOND_MULTIPLIER, U64, chunks, cut, group_join, hashes128, measured, mixed, row_keys, rows_of, table, tidy, window_hashes, words_of
 from .shared import shared_places
 
 WINDOW = 35
@@ -326,6 +326,7 @@ def substring_dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
     named = docs.select(F.col("_k1").alias("_a"), F.col("_k2").alias("_b"), "text")
     listed, symbols = highest_symbols(shared_places(named, _anchor_keys(width), with_places=True, n_buckets=n_buckets), width, n_buckets)
+    tidy(docs.sparkSession)
     known = listed.join(symbols, ["_a", "_b"], "left").select(F.col("_a").alias("_k1"), F.col("_b").alias("_k2"), "symbols", "listed")
     joined = docs.join(known, ["_k1", "_k2"], "left").select("doc_id", "text", "_twin", F.col("_k1").alias("_a"), F.col("_k2").alias("_b"), "symbols", "listed")
     windows = shared_places(joined.filter("listed is not null").select("text", "_a", "_b", "symbols", "listed"), _window_keys(width), n_buckets=n_buckets)
