@@ -14,7 +14,7 @@ def class_index(glyphs: DataFrame, simplify=lambda c: c) -> DataFrame:
 
 def with_class(glyphs: DataFrame, classes: DataFrame) -> DataFrame:
     """Adds ``class_idx``; unknown glyphs get the number of classes."""
-    return glyphs.join(classes.select("glyph", "class_idx"), "glyph", "left").withColumn("class_idx", F.coalesce("class_idx", F.lit(classes.count())))
+    return glyphs.join(classes.select("glyph", "class_idx"), "glyph", "left").withColumn("class_idx", F.coalesce("class_idx", classes.agg(F.count("*").cast("int")).scalar()))
 
 
 def train_perceptron(rows: DataFrame, features: str, label: str, classes: int, hidden: tuple[int, ...] = (128, 64), epochs: int = 10, seed: int = 1):

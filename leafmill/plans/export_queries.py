@@ -96,7 +96,7 @@ def class_indices(spark: SparkSession, sf: str) -> DataFrame:
     d = V.table(spark, sf, "documents").select("doc_id", F.explode(T.characters(F.lower("text"))).alias("glyph")).filter(r"glyph rlike '\\S'")
     # counts first: the join then sees a document's distinct glyphs
     d = d.groupBy("doc_id", "glyph").agg(F.count("*").alias("m"))
-    size = classes.count()
+    size = classes.agg(F.count("*").cast("int")).scalar()
     return models.with_class(d, classes).groupBy("doc_id").agg(F.sum("m").alias("n"), F.sum(F.when(F.col("class_idx") == size, F.col("m")).otherwise(0)).alias("n_unknown"), F.sum(F.col("class_idx") * F.col("m")).alias("class_sum"))
 
 

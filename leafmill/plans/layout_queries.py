@@ -9,6 +9,7 @@ from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import lines as L
 from ..operators import spatial, suppress, text_tree
+from ..operators.durable import once
 from . import views as V
 
 QUERIES: dict = {}
@@ -283,7 +284,8 @@ def train_val_split(spark: SparkSession, sf: str) -> DataFrame:
     """Every tenth row in order is for validation; ranks by range partitions, not in one task."""
     ids = V.table(spark, sf, "documents").select("doc_id")
     parts = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("p", F.spark_partition_id())
-    local = parts.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("doc_id")))
+    # range borders come from a sample: what follows must see one and the same dealing
+    local = once(parts).withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("doc_id")))
     before = local.groupBy("p").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     i = F.col("k") + F.col("before")
     return local.join(F.broadcast(before), "p").select("doc_id", F.when(i % 10 == 0, "val").otherwise("train").alias("split"), (i - 1).alias("idx"))
@@ -338,21 +340,32 @@ def positional_ids(spark: SparkSession, sf: str) -> DataFrame:
     return text_tree.positional_ids(b).select("doc_id", "i", "block_label")
 
 
-@query()
+def detected_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word found by two detectors, the second a little to the right and surer or less sure."""
+    second = (F.col("doc_id") * 7 + F.col("tok_idx") * 11) % 100 / F.lit(100.0)
+    w = V.words(spark, sf).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    return w.select("doc_id", "line_idx", "tok_idx", "copy", (F.col("l") + 2 * F.col("copy")).alias("l"), "t", "w", "h", F.when(F.col("copy") == 0, F.col("conf")).otherwise(second).alias("conf"))
+
+
+_TWICE = f"""{V.WORDS}, two as (select *, (doc_id * 7 + tok_idx * 11) % 100 / 100.0 conf2 from words)"""
+
+
+@query(f"with {_TWICE} select doc_id, line_idx, tok_idx, (conf2 > conf)::int copy, greatest(conf, conf2) conf from two")
 def suppressed_words(spark: SparkSession, sf: str) -> DataFrame:
-    """Detections of each line without weaker neighbours."""
-    return suppress.suppress_ordered(V.detections(spark, sf), ["doc_id", "line_idx"], ["tok_idx"]).select("doc_id", "line_idx", "tok_idx", "conf")
+    """Detections of each line without weaker neighbours that they overlap."""
+    return suppress.suppress_ordered(detected_twice(spark, sf), ["doc_id", "line_idx"], ["tok_idx", "copy"]).select("doc_id", "line_idx", "tok_idx", "copy", "conf")
 
 
-@query()
+@query(f"with {_TWICE} select doc_id, line_idx, tok_idx, l, w + 2 w, round(exp((ln(greatest(conf, 1e-300)) + ln(greatest(conf2, 1e-300))) / 2), 6) conf from two")
 def merged_words(spark: SparkSession, sf: str) -> DataFrame:
     """Detections of each line, near equal ones merged."""
-    return suppress.suppress_unordered(V.detections(spark, sf), ["doc_id", "line_idx"], ["tok_idx"]).select("doc_id", "line_idx", "tok_idx", "l", "w", F.round("conf", 6).alias("conf"))
+    return suppress.suppress_unordered(detected_twice(spark, sf), ["doc_id", "line_idx"], ["tok_idx", "copy"]).select("doc_id", "line_idx", "tok_idx", "l", "w", F.round("conf", 6).alias("conf"))
 
 
-@query()
+@query(f"""with {V.LINES}, {V.BLOCKS}, s as (select doc_id, block_idx, block_idx % 3 * 900 l, t - block_idx % 3 * 100 t, greatest(w, 10) w from blocks)
+select doc_id, block_idx, (row_number() over (partition by doc_id order by t, l + w desc, l desc) - 1)::int reading_idx from s""")
 def reading_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Blocks of each page, some side by side, from right to left."""
+    """Blocks of each page, three side by side in each row, from right to left and down."""
     side = F.col("block_idx") % 3
     b = V.blocks(spark, sf).select("doc_id", "block_idx", (side * 900).cast("int").alias("l"), (F.col("t") - side * 100).cast("int").alias("t"), F.greatest("w", F.lit(10)).alias("w"), "h")
     return suppress.sort_pages(b, ["doc_id"], False).select("doc_id", "block_idx", "reading_idx")

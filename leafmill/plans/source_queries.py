@@ -56,7 +56,7 @@ def layout_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""with {V.WORDS} select doc_id::varchar page_id, (row_number() over (partition by doc_id order by line_idx, tok_idx) - 1)::int det_id, case when tok_idx % 2 = 0 then 'Word' else 'Line' end as "label",
-    trunc((l + 500 - floor(w / 2)) / 0.5)::int l, trunc((t + 500 - 8) / 0.5)::int t, trunc(w / 0.5)::int w, trunc(16 / 0.5)::int h, conf from words where tok_idx < 20 and line_idx < 3 qualify conf >= 0.05""".replace(" qualify conf >= 0.05", ""))
+    trunc((l + 500 - floor(w / 2)) / 0.5)::int l, trunc((t + 500 - 8) / 0.5)::int t, trunc(w / 0.5)::int w, trunc(16 / 0.5)::int h, conf from words""")
 def detector_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """Detector answers (JSON) parsed, labelled and scaled."""
     box = F.struct(F.array(F.col("l") + 500, F.col("t") + 500, F.col("w"), F.col("h")).alias("box"), F.when(F.col("tok_idx") % 2 == 0, "w").otherwise("x").alias("class"), F.col("conf").alias("conf"))

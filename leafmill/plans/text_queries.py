@@ -167,24 +167,27 @@ def char_classes(spark: SparkSession, sf: str) -> DataFrame:
     return V.table(spark, sf, "documents").filter("text <> ''").select("doc_id", F.size(c).cast("long").alias("n"), F.size(F.array_distinct(c)).cast("long").alias("n_distinct"), masked.cast("long").alias("n_latin"))
 
 
-@query(f"""with {V.WORDS} select doc_id, line_idx, tok_idx, regexp_replace(regexp_replace(content, '^[!-/:-@\\[-`{{-~]+', ''), '[!-/:-@\\[-`{{-~]+$', '') content from words where regexp_matches(content, '^[ -~]+$')""")
+@query(f"""with {V.WORDS} select doc_id, line_idx, tok_idx, regexp_replace(regexp_replace(content, '^[!-/:-@\\[-`{{-~]+', ''), '[!-/:-@\\[-`{{-~]+$', '') content from words""")
 def external_punct(spark: SparkSession, sf: str) -> DataFrame:
-    w = V.words(spark, sf).filter("content rlike '^[ -~]+$'")
+    w = V.words(spark, sf)
     return w.select("doc_id", "line_idx", "tok_idx", F.regexp_replace(F.regexp_replace("content", r"^\p{Punct}+", ""), r"\p{Punct}+$", "").alias("content"))
 
 
-@query(f"""with {V.WORDS} select doc_id, line_idx, tok_idx, reverse(x) content from (select *, (doc_id * 37 + tok_idx * 11) || case when tok_idx % 3 = 0 then '.' || (line_idx + 10) else '' end x from words) where length(x) > 1""")
+@query(f"""with {V.WORDS}, x as (select *, case when tok_idx % 2 = 0 then content else (doc_id * 37 + tok_idx * 11) || case when tok_idx % 3 = 0 then '.' || (line_idx + 10) else '' end end x from words)
+select doc_id, line_idx, tok_idx, case when regexp_matches(x, '^[0-9]+[.]?[0-9]+$') then reverse(x) else x end content from x""")
 def number_reverse(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers turned round: those among the words, and one of each length instead of every other word."""
     x = F.concat((F.col("doc_id") * 37 + F.col("tok_idx") * 11).cast("string"), F.when(F.col("tok_idx") % 3 == 0, F.concat(F.lit("."), (F.col("line_idx") + 10).cast("string"))).otherwise(""))
-    return R.reverse_numbers(V.words(spark, sf).select("doc_id", "line_idx", "tok_idx", x.alias("content")).filter("length(content) > 1"))
+    x = F.when(F.col("tok_idx") % 2 == 0, F.col("content")).otherwise(x)
+    return R.reverse_numbers(V.words(spark, sf).select("doc_id", "line_idx", "tok_idx", x.alias("content")))
 
 
 def _glyphs(spark: SparkSession, sf: str) -> DataFrame:
     chars = F.transform(T.characters(F.col("content")), lambda c, i: F.struct(c.alias("content"), (F.col("l") + i * 10).alias("l"), F.col("t").alias("t"), F.lit(10).alias("w"), F.lit(16).alias("h"), (F.col("conf") + 0.01).alias("conf")))
-    return V.words(spark, sf).filter("content rlike '^[ -~]+$'").withColumn("glyphs", chars)
+    return V.words(spark, sf).withColumn("glyphs", chars)
 
 
-@query(f"""with {V.WORDS}, a as (select doc_id, line_idx, tok_idx, unnest(regexp_extract_all(content, '[\\p{{P}}]+|[^\\p{{P}}]+')) run, generate_subscripts(regexp_extract_all(content, '[\\p{{P}}]+|[^\\p{{P}}]+'), 1) i from words where regexp_matches(content, '^[ -~]+$')),
+@query(f"""with {V.WORDS}, a as (select doc_id, line_idx, tok_idx, unnest(regexp_extract_all(content, '[\\p{{P}}]+|[^\\p{{P}}]+')) run, generate_subscripts(regexp_extract_all(content, '[\\p{{P}}]+|[^\\p{{P}}]+'), 1) i from words),
 j as (select *, coalesce(regexp_matches(run, '^[''"]$') and regexp_matches(lag(run) over o, '[A-Za-z]$') and regexp_matches(lead(run) over o, '^[A-Za-z]') or regexp_matches(run, '^[.,]$') and regexp_matches(lag(run) over o, '^[0-9]+$') and regexp_matches(lead(run) over o, '^[0-9]+$'), false) joins
     from a window o as (partition by doc_id, line_idx, tok_idx order by i)),
 s as (select *, sum(case when joins or coalesce(lag(joins) over o, false) then 0 else 1 end) over (partition by doc_id, line_idx, tok_idx order by i) grp from (select *, lag(joins) over o lj from j window o as (partition by doc_id, line_idx, tok_idx order by i)) window o as (partition by doc_id, line_idx, tok_idx order by i))
@@ -218,7 +221,11 @@ def hyphen_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return D.hyphen_status(p, lexicon(spark, sf), "q.*q").select("doc_id", "line_idx", "keeps_hyphen", "content", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""with {V.WORDS}, n as (select doc_id, line_idx, list(content order by tok_idx) ws from words group by all), o as (select *, lead(ws[1]) over (partition by doc_id order by line_idx) nx from n),
+b as (select *, nx is not null and (doc_id + line_idx) % 3 = 0 broken from o), p as (select *, coalesce(lag(broken) over (partition by doc_id order by line_idx), false) taken from b),
+t as (select doc_id, line_idx, case when taken and len(ws) = 1 then case when broken then '-' else '' end
+    else array_to_string(list_append(list_slice(ws, case when taken then 2 else 1 end, len(ws) - 1), ws[-1] || case when broken then nx else '' end), ' ') end s from p)
+select doc_id, trim(coalesce(string_agg(s, ' ' order by line_idx) filter (s <> ''), '')) content from t group by doc_id""")
 def processed_text(spark: SparkSession, sf: str) -> DataFrame:
     """Paragraph text of tokens whose line-end words are hyphenated on every third line."""
     n = V.words(spark, sf)
@@ -274,21 +281,21 @@ def other_alphabet(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""with {V.WORDS} select doc_id, line_idx, tok_idx, case when lower(content) <> content and reverse(content) <> content then case when lower(content) = reverse(content) then 'Lower:' || lower(content) || ',Reverse:' || reverse(content) else 'Lower:' || lower(content) || ',Reverse:' || reverse(content) end
-    when lower(content) <> content then 'Lower:' || lower(content) when reverse(content) <> content then 'Reverse:' || reverse(content) else '' end alternatives from words where regexp_matches(content, '^[ -~]+$')""")
+    when lower(content) <> content then 'Lower:' || lower(content) when reverse(content) <> content then 'Reverse:' || reverse(content) else '' end alternatives from words""")
 def alternatives(spark: SparkSession, sf: str) -> DataFrame:
     """Alternatives that differ from a word, sorted by purpose."""
-    w = V.words(spark, sf).filter("content rlike '^[ -~]+$'").withColumn("alternatives", F.array().cast("array<struct<purpose:string,content:string>>"))
+    w = V.words(spark, sf).withColumn("alternatives", F.array().cast("array<struct<purpose:string,content:string>>"))
     w = R.with_alternatives(R.with_alternatives(w, "Reverse", F.reverse("content")), "Lower", F.lower("content"))
     return w.select("doc_id", "line_idx", "tok_idx", F.concat_ws(",", F.transform("alternatives", lambda a: F.concat_ws(":", a["purpose"], a["content"]))).alias("alternatives"))
 
 
-@query(f"""with {V.WORDS} select doc_id, line_idx, tok_idx, regexp_replace(regexp_replace(lower(content), 'th', '#', 'g'), 'er', '%', 'g') content from words where regexp_matches(content, '^[ -~]+$') and not regexp_matches(lower(content), 'ther|[#%]')""")
+@query(f"""with {V.WORDS} select doc_id, line_idx, tok_idx, replace(replace(lower(content), 'th', chr(1)), 'er', chr(2)) content from words""")
 def ligatures(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbouring glyphs merged to one."""
-    g = _glyphs(spark, sf).filter("not lower(content) rlike 'ther|[#%]'")
+    g = _glyphs(spark, sf)
     low = F.transform("glyphs", lambda x: F.struct(F.lower(x["content"]).alias("content"), x["l"].alias("l"), x["t"].alias("t"), x["w"].alias("w"), x["h"].alias("h"), x["conf"].alias("conf")))
     m = R.merged_ligatures(low, (("t", "h"), ("e", "r")))
-    text = F.concat_ws("", F.transform(m, lambda x: F.when(x["content"] == "th", "#").when(x["content"] == "er", "%").otherwise(x["content"])))
+    text = F.concat_ws("", F.transform(m, lambda x: F.when(x["content"] == "th", "\x01").when(x["content"] == "er", "\x02").otherwise(x["content"])))
     return g.select("doc_id", "line_idx", "tok_idx", text.alias("content"))
 
 
