@@ -93,7 +93,7 @@ def class_indices(spark: SparkSession, sf: str) -> DataFrame:
     """Glyphs as class numbers of an alphabet; unknown ones get the number after the last."""
     c = V.table(spark, sf, "benchmark").select(F.explode(T.characters(F.lower("text"))).alias("glyph")).filter(r"glyph rlike '\\S'")
     classes = models.class_index(c)
-    d = V.table(spark, sf, "documents").select("doc_id", F.explode(T.characters(F.lower("text"))).alias("glyph")).filter(r"glyph rlike '\\S'")
+    d = V.dealt(V.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode(T.characters(F.lower("text"))).alias("glyph")).filter(r"glyph rlike '\\S'")
     # counts first: the join then sees a document's distinct glyphs
     d = d.groupBy("doc_id", "glyph").agg(F.count("*").alias("m"))
     size = classes.agg(F.count("*").cast("int")).scalar()

@@ -29,7 +29,8 @@ def query(sql: str | None = None):
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     """A turn and the next one of its conversation, as predicted and expected text."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    return V.table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("predicted"), F.lead("text").over(w).alias("expected")).filter("expected is not null")
+    pairs = V.table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("predicted"), F.lead("text").over(w).alias("expected")).filter("expected is not null")
+    return V.dealt(pairs)  # a small table's pairs would otherwise end in one task
 
 
 _PAIRS = "pairs as (select * from (select conv_id, turn, text predicted, lead(text) over (partition by conv_id order by turn) expected from conversations) where expected is not null)"
@@ -75,7 +76,7 @@ def gold_left_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""select doc_id, word, count(*) n from (select doc_id, unnest(string_split_regex(text, '\\s+')) word from documents) where word <> '' group by all""")
 def word_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return V.table(spark, sf, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("word")).filter("word <> ''").groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    return V.dealt(V.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("word")).filter("word <> ''").groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
 _LEXICON = """lexicon as (select distinct lower(w) word from (select unnest(string_split_regex(text, '[^A-Za-z]+')) w from benchmark) where w <> '')"""
@@ -164,7 +165,7 @@ def alphabet(spark: SparkSession, sf: str) -> DataFrame:
 def char_classes(spark: SparkSession, sf: str) -> DataFrame:
     c = T.characters(F.col("text"))
     masked = F.length(F.regexp_replace("text", r"[^\p{IsLatin}]", ""))
-    return V.table(spark, sf, "documents").filter("text <> ''").select("doc_id", F.size(c).cast("long").alias("n"), F.size(F.array_distinct(c)).cast("long").alias("n_distinct"), masked.cast("long").alias("n_latin"))
+    return V.dealt(V.table(spark, sf, "documents").select("doc_id", "text")).filter("text <> ''").select("doc_id", F.size(c).cast("long").alias("n"), F.size(F.array_distinct(c)).cast("long").alias("n_distinct"), masked.cast("long").alias("n_latin"))
 
 
 @query(f"""with {V.WORDS} select doc_id, line_idx, tok_idx, regexp_replace(regexp_replace(content, '^[!-/:-@\\[-`{{-~]+', ''), '[!-/:-@\\[-`{{-~]+$', '') content from words""")

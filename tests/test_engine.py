@@ -650,3 +650,51 @@ def test_paragraph_steps(spark):
 
     df = spark.createDataFrame([([10, 20, 35, 60, 90], [25, 50]), ([30, 40], [5, 8]), ([1], [50, 60])], "ys array<int>, bottoms array<int>")
     assert [r["g"] for r in df.select(lines.paragraph_steps(F.col("ys"), F.col("bottoms")).alias("g")).collect()] == [[0, 0, 1, 2, 2], [0, 1], [0]]
+
+
+def test_reading_order_by_pairs():
+    """The arrays say of every pair what the rule says of it."""
+    rnd = random.Random(6)
+
+    def rule(page, a, b):
+        h = lambda x, y: min(x.l + x.w, y.l + y.w) - max(x.l, y.l)
+        v = lambda x, y: min(x.t + x.h, y.t + y.h) - max(x.t, y.t)
+        along = lambda x: (-(x.l + x.w), -x.l)
+        sign = lambda x, y: (x > y) - (x < y)
+        down = sign((a.t, a.t + a.h, *along(a)), (b.t, b.t + b.h, *along(b)))
+        upper, lower = (a, b) if a.t <= b.t else (b, a)
+        for c in page:
+            if c is not a and c is not b and upper.t + upper.h <= c.t < lower.t and h(c, a) > 0 and h(c, b) > 0 and v(c, a) <= 0 and v(c, b) <= 0:
+                return down
+        if v(a, b) <= 0 or h(a, b) > max(0, v(a, b)):
+            return down
+        return sign(along(a), along(b)) or down
+
+    for _ in range(30):
+        page = [Box(rnd.randrange(80), rnd.randrange(80), rnd.randrange(1, 40), rnd.randrange(1, 40), 0.5) for _ in range(rnd.randrange(1, 14))]
+        signs = suppress.reading_signs(page, False)
+        assert all(signs[i, j] == rule(page, a, b) for i, a in enumerate(page) for j, b in enumerate(page) if i != j)
+
+
+def test_unordered_suppression_equals_the_plain_rule():
+    rnd = random.Random(7)
+    share = lambda a, b: max(0, min(a.l + a.w, b.l + b.w) - max(a.l, b.l)) * max(0, min(a.t + a.h, b.t + b.h) - max(a.t, b.t))
+    for _ in range(40):
+        boxes = [Box(rnd.randrange(60), rnd.randrange(20), rnd.randrange(5, 30), rnd.randrange(5, 20), rnd.choice([0.2, 0.5, 0.9])) for _ in range(12)]
+        groups = []
+        for b in boxes:
+            fits = next((g for g in groups if any(2 * share(b, x) >= b.w * b.h and 2 * share(b, x) >= x.w * x.h for x in g)), None)
+            groups.append([b]) if fits is None else fits.append(b)
+        merged = []
+        for g in groups:
+            left, top = min(b.l for b in g), min(b.t for b in g)
+            conf = g[0].conf if len(g) == 1 else math.exp(sum(math.log(b.conf) for b in g) / len(g))
+            merged.append(Box(left, top, max(b.l + b.w for b in g) - left, max(b.t + b.h for b in g) - top, conf))
+        gone = set()
+        for i, a in enumerate(merged):
+            if i in gone:
+                continue
+            rivals = [j for j, b in enumerate(merged) if j != i and j not in gone and share(a, b) > 0.2 * min(a.w * a.h, b.w * b.h)]
+            gone |= {i} if any(merged[j].conf > a.conf for j in rivals) else set(rivals)
+        want = [tuple(round(x, 9) for x in b) for i, b in enumerate(merged) if i not in gone]
+        assert [tuple(round(x, 9) for x in b) for b in suppress.keep_unordered(boxes)] == want
