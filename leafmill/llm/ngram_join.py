@@ -44,7 +44,9 @@ from .shared import shared_places
 
 WIDTH, PERCENT = 5, 75
 #: Least and most cells of the counting sketch (one byte each where it is broadcast) and the cells of one of its parts.
-LEAST_CELLS, MOST_CELLS, PART_CELLS = 1 << 20, 1 << 23, 1 << 16
+LEAST_CELLS, MOST_CELLS, PART_CELLS = 1 << 20, 1 << 24, 1 << 16
+#: Documents counted together: a cell of 16 bits holds them all.
+COUNTED = 60_000
 #: Longest list of ids that is broadcast: 8 MB.
 BROADCAST_IDS = 1_000_000
 #: Where more sets than this would meet as many, they are dealt again by their next tokens, at most so many times.
@@ -104,22 +106,29 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
     tasks' sketches are merged on executors by parts, in 64 bits.
     """
     length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    size = min(MOST_CELLS, max(LEAST_CELLS, 1 << (length // 128).bit_length()))
+    size = min(MOST_CELLS, max(LEAST_CELLS, 1 << (length // 24).bit_length()))
     parts = size // PART_CELLS
 
     def count(batches):
-        total = np.zeros(size, dtype=np.uint32)
+        total, n = np.zeros(size, dtype=np.uint16), 0
+
+        def packed():
+            return pa.RecordBatch.from_pydict({"part": pa.array(range(parts), pa.int32()), "cells": pa.array([zlib.compress(p.tobytes(), 1) for p in total.reshape(parts, -1)], pa.binary())})
+
         for batch in chunks(batches):
+            if n + batch.num_rows > COUNTED:
+                yield packed()
+                total[:], n = 0, 0
             for part in shingle_sets(batch, width):
-                np.add.at(total, _cells(part, size), 1)
-        packed = [zlib.compress(p.tobytes(), 1) for p in total.reshape(parts, -1)]
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(parts), pa.int32()), "cells": pa.array(packed, pa.binary())})
+                np.add.at(total, np.unique(_cells(part, size)), 1)
+            n += batch.num_rows
+        yield packed()
 
     def merge(batches):
         total = {}
         for batch in batches:
             for part, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(zlib.decompress(cells), dtype=np.uint32).astype(np.uint64)
+                x = np.frombuffer(zlib.decompress(cells), dtype=np.uint16).astype(np.uint64)
                 total[part] = total[part] + x if part in total else x
         levels = [np.minimum(np.rint(8 * np.log2(x + 1.0)), 255).astype(np.uint8).tobytes() for x in total.values()]
         if total:
@@ -276,9 +285,11 @@ def crossing_pairs(placed: DataFrame, docs: DataFrame, counts, width: int, perce
     other = skew_join(rows.withColumnRenamed("c", "c2"), met, ["_key", "c2"], rows=n).filter("c_low <= c and c <= c_top").withColumn("_side", F.lit(2))
     both = one.unionByName(other).drop("c_low", "c_top")
     cell = ["_key", "c", "c2"]
-    live = both.groupBy(*cell).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count_if(F.col("_side") == 1).alias("m1"), F.count_if(F.col("_side") == 2).alias("m2")).filter("x < y")
-    live = live.select(*cell, (F.least("m1", "m2") > CELL).alias("_crowded") if steps else F.lit(False).alias("_crowded"))
-    both = cut(skew_join(both, live, cell, rows=n), crowded=F.count_if("_crowded"))
+    live = both.groupBy(*cell).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count_if(F.col("_side") == 1).alias("m1"), F.count_if(F.col("_side") == 2).alias("m2"), *[F.min(F.when(F.col("_side") == i, F.col("n"))).alias(f"n_{i}") for i in (1, 2)]).filter("x < y")
+    live = live.select(*cell, "n_1", "n_2", (F.least("m1", "m2") > CELL).alias("_crowded") if steps else F.lit(False).alias("_crowded"))
+    # how many elements a set shares at least with any of the other side's
+    sized = F.greatest("_least", F.expr(f"({percent} * (n + if(_side = 1, n_2, n_1)) + {99 + percent}) div {100 + percent}"))
+    both = cut(skew_join(both, live, cell, rows=n).withColumn("_least", F.when(F.col("_crowded"), sized).otherwise(F.col("_least"))).drop("n_1", "n_2"), crowded=F.count_if("_crowded"))
     n, crowded = rows_of(both), measured(both)["crowded"]
     shared = F.col("_at") - F.col("_pos")
     here = both.filter(~F.col("_crowded") | (F.col("_least") < shared + 2)) if crowded else both
@@ -298,7 +309,10 @@ def crossing_pairs(placed: DataFrame, docs: DataFrame, counts, width: int, perce
     pairs = kept.select(F.col("id").alias("a"), F.col("id2").alias("b"))
     if not crowded:
         return pairs
-    dealt = cut(next_tokens(both.filter("_crowded").select(*PLACED).distinct(), docs, counts, width))
+    # one row per token and set, with the least bound of all its cells; the next shared element comes before what is then left
+    again = both.filter("_crowded").groupBy(*[k for k in PLACED if k != "_least"]).agg(F.min("_least").alias("_least"))
+    again = again.withColumn("_last", F.least("_last", F.expr("n - _least + _at - _pos + 1"))).select(*PLACED)
+    dealt = cut(next_tokens(again, docs, counts, width))
     return pairs.unionByName(crossing_pairs(dealt, docs, counts, width, percent, steps - 1)).distinct()
 
 
