@@ -10,7 +10,8 @@ from ..sources.layout_xml import read_layout
 
 def layout_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes of layout files as they arrive in a folder."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.xml").load(folder)
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.xml").load(folder)
     return read_layout(files.select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("xml")))
 
 

@@ -698,3 +698,36 @@ def test_unordered_suppression_equals_the_plain_rule():
             gone |= {i} if any(merged[j].conf > a.conf for j in rivals) else set(rivals)
         want = [tuple(round(x, 9) for x in b) for i, b in enumerate(merged) if i not in gone]
         assert [tuple(round(x, 9) for x in b) for b in suppress.keep_unordered(boxes)] == want
+
+
+def test_layout_stream(spark, tmp_path):
+    from leafmill.streaming import documents
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "p.xml").write_text(PAGE, encoding="utf-8")
+    query = documents.layout_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("layouts").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert spark.table("layouts").filter("node = 'token' and kind = 'word'").count() == 2
+
+
+def test_detector_asks_again(monkeypatch):
+    """Transport errors are tried again with growing waits; answers that are errors are not."""
+    import io
+    import urllib.error
+
+    waits, answers = [], [OSError("reset"), OSError("reset"), io.BytesIO(b"[]")]
+
+    def open_url(request, timeout):
+        assert timeout == detector.TIMEOUT_S and request.full_url == "http://d/word" and b"page.png" in request.data
+        a = answers.pop(0)
+        if isinstance(a, Exception):
+            raise a
+        return a
+
+    monkeypatch.setattr(detector.urllib.request, "urlopen", open_url)
+    monkeypatch.setattr(detector.time, "sleep", waits.append)
+    assert detector.HttpDetector("http://d")(b"x", "word") == "[]" and waits == [1.0, 2.0]
+    answers.append(urllib.error.HTTPError("http://d/word", 500, "no", {}, None))
+    with pytest.raises(urllib.error.HTTPError):
+        detector.HttpDetector("http://d")(b"x", "word")
+    assert waits == [1.0, 2.0]
