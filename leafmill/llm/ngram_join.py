@@ -231,17 +231,34 @@ def size_class(n):
 PLACED = ("_key", "_pos", "_at", "id", "n", "comp", "grp", "_last", "_least")
 
 
+#: Words of 64 bits of a signature: a set's elements as bits, folded to so many.
+SIGNATURE = 8
+
+
+def signature(grams: np.ndarray) -> list[int]:
+    bits = np.zeros(64 * SIGNATURE, dtype=np.uint8)
+    bits[(grams >> U64(7)).astype(np.int64) & (64 * SIGNATURE - 1)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64).tolist()
+
+
+def may_link(percent: int):
+    """Whether the signatures ``sig, sig2`` of sets of ``n, n2`` elements allow the threshold; one that is missing does."""
+    lacks = lambda a, b: sum((F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(i))))) for i in range(SIGNATURE)), F.lit(0))
+    most = F.least(F.col("n") - lacks("sig", "sig2"), F.col("n2") - lacks("sig2", "sig"))
+    return F.coalesce((100 + percent) * most >= percent * (F.col("n") + F.col("n2")), F.lit(True))
+
+
 def next_tokens(rows: DataFrame, docs: DataFrame, counts, width: int) -> DataFrame:
-    """Every placed set once for each token after ``_at`` up to ``_last``, in the cell of both tokens."""
+    """Every placed set once for each token after ``_at`` up to ``_last``, in the cell of both tokens, with its signature ``sig``."""
     held = rows.groupBy("id", "n", "comp", "grp").agg(F.collect_set(F.struct("_key", "_pos", "_at", "_last", "_least")).alias("at"))
     texts = texts_of(rows.select("id"), docs).dropDuplicates(["id"])
 
     def expand(batches):
         cells = counts.value
         for batch in chunks(batches):
-            out = {k: [] for k in PLACED}
+            out, sigs = {k: [] for k in PLACED}, []
             for grams, id_, n, comp, grp, at in zip(shingle_sets(batch.select(["text"]), width), *(batch.column(i).to_pylist() for i in (1, 2, 3, 4, 5))):
-                order = rare_first(grams, cells)
+                order, sig = rare_first(grams, cells), signature(grams)
                 for r in at:
                     pos = np.arange(r["_at"] + 1, min(r["_last"], n - 1) + 1)
                     with np.errstate(over="ignore"):
@@ -251,10 +268,11 @@ def next_tokens(rows: DataFrame, docs: DataFrame, counts, width: int) -> DataFra
                     out["_pos"].append(pos - (r["_at"] - r["_pos"] + 1))
                     for k, x in (("id", id_), ("n", n), ("comp", comp), ("grp", grp), ("_last", r["_last"] + 1), ("_least", r["_least"])):
                         out[k].append(np.full(len(pos), x, dtype=np.int64))
+                    sigs += [sig] * len(pos)
             if out["id"]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out.values()], names=list(out))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x).astype(np.int64)) for x in out.values()), pa.array(sigs, pa.list_(pa.int64()))], names=[*out, "sig"])
 
-    return texts.join(held, "id").select("text", "id", "n", "comp", "grp", "at").mapInArrow(expand, ", ".join(f"{k} long" for k in PLACED))
+    return texts.join(held, "id").select("text", "id", "n", "comp", "grp", "at").mapInArrow(expand, ", ".join(f"{k} long" for k in PLACED) + ", sig array<long>")
 
 
 def crossing_pairs(placed: DataFrame, docs: DataFrame, counts, width: int, percent: int, steps: int = STEPS) -> DataFrame:
@@ -268,8 +286,10 @@ def crossing_pairs(placed: DataFrame, docs: DataFrame, counts, width: int, perce
     Within a token, classes of sizes that admit each other and hold different
     components are found first, then only their sets meet. Where more than
     ``CELL`` sets of both classes would meet, they are dealt again by their next
-    tokens; sets that may share no more than the cell stands for stay.
+    tokens, with signatures that exclude pairs; sets that may share no more than
+    the cell stands for stay.
     """
+    placed = placed if "sig" in placed.columns else placed.withColumn("sig", F.lit(None).cast("array<long>"))
     several = placed.groupBy("_key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("_key")
     rows = skew_join(placed, several, ["_key"])
     rows = rows.withColumn("top", F.least(F.expr(f"(n - _pos) * {100 + percent} div {percent} - n"), F.expr(f"n * 100 div {percent}"))).withColumn("low", least_shared("n", percent)).filter("top >= low")
@@ -294,9 +314,10 @@ def crossing_pairs(placed: DataFrame, docs: DataFrame, counts, width: int, perce
     shared = F.col("_at") - F.col("_pos")
     here = both.filter(~F.col("_crowded") | (F.col("_least") < shared + 2)) if crowded else both
 
-    left = here.filter("_side = 1").select(*cell, "id", "n", "_pos", "comp", "grp", "top")
-    right = here.filter("_side = 2").select(*cell, *[F.col(k).alias(f"{k}2") for k in ("id", "n", "_pos", "comp", "grp", "top")])
-    found = skew_join(left, right, cell, rows=n).filter("comp <> comp2 and grp <> grp2 and n2 <= top and n <= top2 and (c < c2 or id < id2)")
+    left = here.filter("_side = 1").select(*cell, "id", "n", "_pos", "comp", "grp", "top", "sig")
+    right = here.filter("_side = 2").select(*cell, *[F.col(k).alias(f"{k}2") for k in ("id", "n", "_pos", "comp", "grp", "top", "sig")])
+    fits = F.expr("comp <> comp2 and grp <> grp2 and n2 <= top and n <= top2 and (c < c2 or id < id2)")
+    found = skew_join(left, right, cell, rows=n).filter(fits & may_link(percent))
     swap = lambda k: F.when(F.col("id") < F.col("id2"), F.struct(k, f"{k}2")).otherwise(F.struct(F.col(f"{k}2").alias(k), F.col(k).alias(f"{k}2")))
     found = found.select(*[swap(k).alias(f"s{k}") for k in ("id", "n", "_pos")]).select("sid.*", "sn.*", "s_pos.*")
     # after the last token that met, both sets may share all that is left
