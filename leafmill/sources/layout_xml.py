@@ -12,8 +12,11 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 NODES = (
     "file string, page_id string, page_nr int, node string, parent_idx int, idx int, kind string, id string, content string, l int, t int, w int, h int, "
@@ -23,6 +26,8 @@ _NAMES = [f.split()[0] for f in NODES.split(", ")]
 
 
 def number(value: str | None, default=0):
+    if value is not None and value.isdecimal() and value.isascii() and len(value) < 16:
+        return type(default)(value)
     try:
         return type(default)(float(value))
     except (TypeError, ValueError):
@@ -47,12 +52,15 @@ def _local(e) -> str:
 
 def parse_layout(file: str, xml: str | bytes, default_lang: str = "yi") -> Iterator[dict]:
     """Rows of all nodes of a document in order; ``parent_idx`` points at another row's ``idx``."""
-    root, count = ET.fromstring(xml), 0
+    root, count, none = ET.fromstring(xml), 0, dict.fromkeys(_NAMES) | {"file": file}
 
     def row(node: str, parent: int | None, e, page: dict, **more):
         nonlocal count
-        box = {k: number(e.get(a)) for k, a in (("l", "HPOS"), ("t", "VPOS"), ("w", "WIDTH"), ("h", "HEIGHT"))}
-        got = dict.fromkeys(_NAMES) | {"file": file, "node": node, "parent_idx": parent, "idx": count, "id": e.get("ID"), "lang": e.get("LANG") or e.get("language"), "style_refs": e.get("STYLEREFS"), "tag_refs": e.get("TAGREFS")} | box | page | more
+        of, got = e.get, none.copy()
+        got["node"], got["parent_idx"], got["idx"], got["id"], got["lang"], got["style_refs"], got["tag_refs"] = node, parent, count, of("ID"), of("LANG") or of("language"), of("STYLEREFS"), of("TAGREFS")
+        got["l"], got["t"], got["w"], got["h"] = number(of("HPOS")), number(of("VPOS")), number(of("WIDTH")), number(of("HEIGHT"))
+        got.update(page)
+        got.update(more)
         count += 1
         return got
 
@@ -93,24 +101,42 @@ def _blocks(parent, parent_idx, page, row):
                 for sub in tok:
                     if _local(sub) == "ALTERNATIVE":
                         yield row("alternative", word["idx"], sub, page, kind=sub.get("PURPOSE"), content=sub.text or "")
-                for g in (x for x in tok.iter() if _local(x) == "Glyph"):
+                for g in (x for x in tok.iter() if _local(x) == "Glyph") if len(tok) else ():
                     yield row("glyph", word["idx"], g, page, content=g.get("CONTENT") or "", conf=number(g.get("GC"), 0.0))
 
 
-def read_layout(files: DataFrame, default_lang: str = "yi") -> DataFrame:
-    """``files``: ``file`` and ``xml``; one row per node. A file that is no XML gives one row of node "error"."""
+#: Nodes that leave the reader together: a batch of long files has far more than fit in memory.
+ROWS = 20_000
+
+
+def read_layout(files: DataFrame, default_lang: str = "yi", columns: tuple[str, ...] = tuple(_NAMES), only: tuple[str, ...] = ()) -> DataFrame:
+    """``files``: ``file`` and ``xml``; one row per node. A file that is no XML gives one row of node "error".
+
+    With ``columns`` or ``only`` (values of ``node``) nothing else leaves the parser.
+    """
+    kinds = dict(f.split() for f in NODES.split(", "))
+    schema = to_arrow_schema(StructType.fromDDL(", ".join(f"{c} {kinds[c]}" for c in columns)))
+
+    def nodes(file: str, xml: str) -> Iterator[dict]:
+        try:
+            yield from parse_layout(file, xml, default_lang)
+        except ET.ParseError as e:
+            yield dict.fromkeys(_NAMES) | {"file": file, "node": "error", "content": str(e)}
 
     def parse(batches):
+        rows: list[dict] = []
         for batch in batches:
-            rows: list[dict] = []
-            for file, xml in zip(batch["file"], batch["xml"]):
-                try:
-                    rows += parse_layout(file, xml, default_lang)
-                except ET.ParseError as e:
-                    rows.append(dict.fromkeys(_NAMES) | {"file": file, "node": "error", "content": str(e)})
-            yield pd.DataFrame(rows, columns=_NAMES)
+            for file, xml in zip(batch.column(0), batch.column(1)):
+                for row in nodes(file.as_py(), xml.as_py()):
+                    if only and row["node"] not in only:
+                        continue
+                    rows.append(row)
+                    if len(rows) >= ROWS:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows = []
+        yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select("file", "xml").mapInPandas(parse, NODES)
+    return files.select("file", "xml").mapInArrow(parse, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
 HEADERS = (
@@ -197,6 +223,103 @@ def header_xml(headers: DataFrame) -> DataFrame:
     return xml.groupBy("file").agg(rows.alias("rows")).select("file", F.concat(part("1", "Description"), part("2", "Styles"), part("3", "Tags")).alias("head"))
 
 
+def start_tag(node: str, depth: int | Column, columns: dict[str, Column]) -> Column:
+    """``struct<depth, tag, head, text>`` of a node of one kind: its tag, its attributes and, if it is no element's, its text. Columns may be missing."""
+    kinds = dict(f.split() for f in NODES.split(", "))
+    c = {n: columns.get(n, F.lit(None)).cast(t) for n, t in kinds.items()}
+    numbers = lambda **named: F.concat(*[F.when(c[n].isNotNull(), F.concat(F.lit(f' {a}="'), c[n].cast("string"), F.lit('"'))).otherwise("") for a, n in named.items()])
+    texts = lambda **named: F.concat(*[_attribute(a, c[n]) for a, n in named.items()])
+    cents = F.floor(c["conf"] * 100 + 0.5) / 100
+    conf = lambda name: F.when(cents.isNotNull(), F.concat(F.lit(f' {name}="'), cents.cast("string"), F.lit('"'))).otherwise("")
+    box, text = numbers(HPOS="l", VPOS="t", WIDTH="w", HEIGHT="h"), F.lit(None).cast("string")
+    if node == "page":
+        tag, head = F.lit("Page"), F.concat(texts(ID="page_id"), numbers(WIDTH="w", HEIGHT="h", PHYSICAL_IMG_NR="page_nr", ROTATION="rotation"), texts(LANG="lang"), conf("PC"))
+    elif node == "block":
+        tag, head = F.when(c["kind"] == "composed", "ComposedBlock").when(c["kind"] == "illustration", "Illustration").otherwise("TextBlock"), F.concat(texts(ID="id"), box, texts(STYLEREFS="style_refs", TAGREFS="tag_refs", LANG="lang"))
+    elif node == "line":
+        at = F.concat_ws(" ", F.concat_ws(",", c["x1"], c["y1"]), F.concat_ws(",", c["x2"], c["y2"]))
+        tag, head = F.lit("TextLine"), F.concat(F.lit(' BASELINE="'), at, F.lit('"'), box, texts(LANG="lang"))
+    elif node == "token":
+        word = F.when(c["kind"] == "word", F.concat(conf("WC"), texts(LANG="lang", SUBS_TYPE="subs_type", SUBS_CONTENT="subs_content"))).otherwise("")
+        tag, head = F.when(c["kind"] == "word", "String").when(c["kind"] == "space", "SP").otherwise("HYP"), F.concat(_attribute("CONTENT", F.when(c["kind"] != "space", c["content"])), box, word)
+    elif node == "glyph":
+        tag, head = F.lit("Glyph"), F.concat(texts(CONTENT="content"), box, conf("GC"))
+    else:
+        tag, head, text = F.lit("ALTERNATIVE"), texts(PURPOSE="kind"), escaped(c["content"])
+    return F.struct(F.lit(depth).cast("int").alias("depth") if isinstance(depth, int) else depth.cast("int").alias("depth"), tag.alias("tag"), head.alias("head"), text.alias("text"))
+
+
+#: Characters of files that leave the writer together.
+CHARACTERS = 2_000_000
+
+
+def write_layout_in_order(nodes: DataFrame) -> DataFrame:
+    """``file, xml`` as ``write_layout`` gives them, from nodes that lie in order: no shuffle.
+
+    All nodes of a file follow each other in one partition, each after the node
+    above it, as the reader gives them. ``depth`` (a page's is 0) says what is
+    above: the last node that is less deep.
+    """
+    of = lambda node: start_tag(node, F.col("depth"), {n: F.col(n) for n in nodes.columns if n in _NAMES})
+    tags = F.when(F.col("node") == "token", of("token"))
+    for node in ("glyph", "alternative", "line", "block", "page"):
+        tags = tags.when(F.col("node") == node, of(node))
+    return fold_tags(nodes.select("file", tags.alias("_t")).filter("_t is not null").select("file", "_t.*"))
+
+
+def fold_tags(tags: DataFrame) -> DataFrame:
+    """``file, xml`` from ``file, depth, tag, head, text`` (``start_tag``) that lie in order."""
+
+    def fold(batches):
+        files, xmls, size, file, parts, open_, bare = [], [], 0, None, [], [], False
+        start = '<?xml version="1.0" encoding="UTF-8"?><alto xmlns="http://www.loc.gov/standards/alto/ns-v4#"><Layout>'
+
+        def close(depth: float) -> None:
+            nonlocal bare
+            while open_ and open_[-1][0] >= depth:
+                parts.append("/>" if bare else f"</{open_[-1][1]}>")
+                bare = False
+                open_.pop()
+
+        def end() -> None:
+            nonlocal size
+            close(0)
+            files.append(file)
+            xmls.append(start + "".join(parts) + "</Layout></alto>")
+            size += len(xmls[-1])
+            parts.clear()
+
+        for batch in batches:
+            for f, depth, name, attributes, inner in zip(*[c.to_pylist() for c in batch.columns]):
+                if f != file:
+                    if file is not None:
+                        end()
+                    if size > CHARACTERS:
+                        yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(xmls, pa.string())], ["file", "xml"])
+                        files, xmls, size = [], [], 0
+                    file = f
+                close(depth)
+                if bare:
+                    parts.append(">")
+                if name == "Page":
+                    parts.append(f"<Page{attributes}><PrintSpace")
+                    open_ += [(depth, name), (depth + 0.5, "PrintSpace")]
+                    bare = True
+                elif inner is not None:
+                    parts.append(f"<{name}{attributes}>{inner}")
+                    open_.append((depth, name))
+                    bare = False
+                else:
+                    parts.append(f"<{name}{attributes}")
+                    open_.append((depth, name))
+                    bare = True
+        if file is not None:
+            end()
+        yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(xmls, pa.string())], ["file", "xml"])
+
+    return tags.select("file", "depth", "tag", "head", "text").mapInArrow(fold, "file string, xml string")
+
+
 def write_layout(nodes: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """``file, xml`` from rows as ``read_layout`` and ``read_headers`` give them; levels fold upwards, children in order."""
 

@@ -276,6 +276,25 @@ def test_layout_roundtrip_of_many_lines(spark, tmp_path):
     assert got == {str(d): (" ".join(t.split()), len(t.split())) for d, t in texts.items()}
 
 
+def test_layout_written_in_order(spark, tmp_path, monkeypatch):
+    """Nodes in order give the same files as nodes in any order, and few of them leave the reader together."""
+    xml = '<alto><Layout><Page ID="P1" WIDTH="100" HEIGHT="200"><PrintSpace><ComposedBlock ID="C"><TextBlock ID="T"><TextLine BASELINE="7" HPOS="1" WIDTH="9"><String CONTENT="a&amp;b" WC="0.456"><ALTERNATIVE PURPOSE="X">y&lt;</ALTERNATIVE><Glyph CONTENT="a" GC="0.5"/></String><SP/><String CONTENT="c"/><HYP CONTENT="-"/></TextLine></TextBlock></ComposedBlock><Illustration ID="I"/><TextBlock ID="U"/></PrintSpace></Page><Page ID="P2"><PrintSpace/></Page></Layout></alto>'
+    nodes = layout_xml.read_layout(spark.createDataFrame([("f", xml), ("g", xml.replace("C", "D"))], "file string, xml string").coalesce(1))
+    depth = F.when(F.col("node") == "page", 0).when(F.col("node") == "block", F.when(F.col("id") == "T", 2).otherwise(1)).when(F.col("node") == "line", 3).when(F.col("node") == "token", 4).otherwise(5)
+    show = lambda df: {r["file"]: r["xml"] for r in df.collect()}
+    assert show(layout_xml.write_layout_in_order(nodes.withColumn("depth", depth))) == show(layout_xml.write_layout(nodes))
+
+    texts = {1: "\n  a b\n \nc  d", 2: " ", 3: None, 4: "x & <y>\n"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = show(layout_xml.write_layout(source_queries.layout_nodes(spark, str(tmp_path))))
+    assert sorted(want) == ["1", "4"]
+    assert show(layout_xml.fold_tags(source_queries.layout_tags(spark, str(tmp_path)))) == want
+
+    monkeypatch.setattr(layout_xml, "ROWS", 3)
+    sizes = layout_xml.read_layout(spark.createDataFrame([("f", xml)], "file string, xml string"))
+    assert sizes.count() == nodes.filter("file = 'f'").count()
+
+
 def test_confidence_of_a_long_line(spark, monkeypatch):
     """The fold goes on to the last of more than a million words."""
     words = spark.range(1_000_003).select(F.lit(1).alias("doc_id"), F.lit(0).alias("line_idx"), F.col("id").cast("int").alias("tok_idx"), F.when(F.col("id") < 1_000_002, 1.0).otherwise(0.25).alias("conf"))
